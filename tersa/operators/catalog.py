@@ -18,6 +18,7 @@ from tersa.functions import dates, numbers, text
 from tersa.functions import vocabulary as V
 from tersa.operators.selection import column_median, most_frequent
 from tersa.sources.hygiene import row_hash
+from tersa.sources.local import local_frame
 
 Stage = Callable[[Column], Column]
 SMALL_MAPPING = 64
@@ -332,7 +333,7 @@ def remove_duplicates(
 def map_large_category(df: DataFrame, column: str, mappings: dict[str, str]) -> DataFrame:
     """Replacement from a large dictionary by a join; broadcast only up to a fixed entry count."""
     spark = df.sparkSession
-    table = spark.createDataFrame(list(mappings.items()), "__from string, __to string")
+    table = local_frame(spark, list(mappings.items()), "__from string, __to string")
     table = table.withColumn("__known", F.lit(True))
     if len(mappings) <= BROADCAST_MAPPING:
         table = F.broadcast(table)

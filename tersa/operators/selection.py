@@ -39,7 +39,7 @@ def _pick(counted: DataFrame, group: list[str], order: str, before: Column, keep
 def exact_medians(values: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     """Median of ``v`` weighted by ``w`` per ``key``.
 
-    ``values``: (key, v double, w bigint), without NULLs. ``limits``: (key, lo, hi, total), one row
+    ``values``: (key, v double, w bigint); NULLs are ignored. ``limits``: (key, lo, hi, total), one row
     per key; the number of keys must be small (profiled columns), as ``limits`` is broadcast.
     """
     cells = _with_cell(values, limits.select(key, "lo", "hi"), key)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tersa.operators import catalog
 from tersa.plans.steps import Step, numbered, plan_from_json
 from tersa.sources.hygiene import count_empty_rows, drop_empty_rows, fingerprint
+from tersa.sources.local import local_frame
 
 AUDIT_COLUMNS = (
     "position int, step_id string, operation string, column string, status string, "
@@ -196,7 +197,7 @@ def _message(step: Step, modified: Column, rows: Column, counts: dict) -> Column
 
 def _literal_audit(df: DataFrame, position: int, step: Step, status: str, message: str) -> DataFrame:
     row = (position, step.step_id, step.operation, step.target, status, None, None, None, None, message)
-    return df.sparkSession.createDataFrame([row], AUDIT_COLUMNS)
+    return local_frame(df.sparkSession, [row], AUDIT_COLUMNS)
 
 
 def execute_plan(
@@ -267,7 +268,7 @@ def execute_plan(
             errors.append((step, str(exc)))
             audits.append(_literal_audit(df, position, step, "error", str(exc)))
     frame = close(segment)
-    empty = df.sparkSession.createDataFrame([], AUDIT_COLUMNS)
+    empty = local_frame(df.sparkSession, [], AUDIT_COLUMNS)
     audit = reduce(DataFrame.unionByName, audits, empty)
     return Execution(source, frame, audit, applied, skipped, errors)
 
