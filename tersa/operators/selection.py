@@ -42,7 +42,8 @@ def exact_medians(values: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     ``values``: (key, v double, w bigint); NULLs are ignored. ``limits``: (key, lo, hi, total), one row
     per key; the number of keys must be small (profiled columns), as ``limits`` is broadcast.
     """
-    cells = _with_cell(values, limits.select(key, "lo", "hi"), key)
+    known = values.where(F.col("v").isNotNull())
+    cells = _with_cell(known, limits.select(key, "lo", "hi"), key)
     total = F.col("total")
     ranks = F.array_distinct(
         F.array(F.floor((total + 1) / 2).cast("bigint"), F.floor(total / 2 + 1).cast("bigint"))

@@ -27,8 +27,9 @@ def sniff_delimiter(sample: str) -> str:
 
 
 def _header_sample(spark: SparkSession, path: str) -> str:
-    lines = spark.read.text(path).limit(64).collect()
-    return "\n".join(row.value for row in lines)
+    lines = spark.read.text(path).limit(512)
+    start = lines.select(F.substring("value", 1, _SNIFF_CHARS).alias("value"))
+    return "\n".join(row.value for row in start.collect())
 
 
 def _column_names(header: list[str]) -> list[str]:
@@ -56,10 +57,10 @@ def scan_csv(
     plain numbers is typed; every other column stays text. Files stay splittable unless
     ``multiline`` is asked for.
     """
-    sample = _header_sample(spark, path) if sep is None or columns is None else ""
-    sep = sep or sniff_delimiter(sample)
+    sep = sep or sniff_delimiter(_header_sample(spark, path))
     if columns is None:
-        header = next(csv.reader(io.StringIO(sample), delimiter=sep), [])
+        first_line = spark.read.text(path).first()
+        header = next(csv.reader(io.StringIO(first_line.value), delimiter=sep), []) if first_line else []
         columns = _column_names(header)
     if not columns:
         raise ValueError("NO_COLUMNS_FOUND: the file has no header row")
