@@ -6,6 +6,8 @@ impossible day without raising, which a formatter-based parser cannot do cheaply
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,26 +95,15 @@ def wants_time(target_format: str) -> bool:
 
 def java_pattern(target_format: str) -> str:
     """Translate a strftime format; an unknown directive is refused."""
-    out, i = [], 0
-    while i < len(target_format):
-        ch = target_format[i]
-        if ch == "%":
-            i += 1
-            directive = target_format[i] if i < len(target_format) else ""
-            if directive == "%":
-                out.append("%")
-            elif directive in _DIRECTIVES:
-                out.append(_DIRECTIVES[directive])
-            else:
-                raise ValueError(f"INVALID_PARAMETER: unsupported date directive '%{directive}'")
-        elif ch.isalpha():
-            out.append(f"'{ch}'")
-        elif ch == "'":
-            out.append("''")
+    out = ""
+    for directive, literal in re.findall(r"%([^%]|$)|((?:[^%]|%%)+)", target_format):
+        if literal:
+            out += "'" + literal.replace("%%", "%").replace("'", "''") + "'"
+        elif directive in _DIRECTIVES:
+            out += _DIRECTIVES[directive]
         else:
-            out.append(ch)
-        i += 1
-    return "".join(out)
+            raise ValueError(f"INVALID_PARAMETER: unsupported date directive '%{directive}'")
+    return out
 
 
 def format_class(c: Column, parsed: Column) -> Column:

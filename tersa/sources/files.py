@@ -74,6 +74,8 @@ def scan_csv(
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
+        # A pruned parse would not see that a record has too many fields.
+        .option("columnPruning", False)
         .option("multiLine", multiline)
         .csv(path)
     )
@@ -84,9 +86,12 @@ def scan_csv(
 
 def drop_overlong_rows(raw: DataFrame, sep: str, width: int) -> DataFrame:
     """Drop records with more fields than the header; separators inside quotes do not count."""
-    unquoted = F.regexp_replace(F.col(_CORRUPT), r'"(?:[^"]|"")*"', "")
+    record = F.col(_CORRUPT)
+    unquoted = F.regexp_replace(record, r'"(?:[^"]|"")*"', "")
     fields = F.size(F.split(unquoted, re.escape(sep), -1))
-    return raw.where(F.col(_CORRUPT).isNull() | (fields <= width)).drop(_CORRUPT)
+    # Always true; a count alone would otherwise ask for the corrupt record only, which Spark refuses.
+    asked = F.coalesce(F.length(F.col(f"`{raw.columns[0]}`")) >= 0, F.lit(True))
+    return raw.where((record.isNull() & asked) | (fields <= width)).drop(_CORRUPT)
 
 
 def reader_null(name: str):
