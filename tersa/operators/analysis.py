@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tersa.functions import dates, names, numbers, text
 from tersa.functions import vocabulary as V
 from tersa.operators.catalog import NUMBER, OTHER, TEXT
-from tersa.operators.selection import exact_medians
+from tersa.operators.selection import FEW_VALUES, exact_medians, ordered_medians
 from tersa.sources.local import local_frame
 
 DATE = "date"
@@ -395,16 +395,23 @@ class Analysis:
         limits = self._facts_where(
             numeric, "position", "lo", "hi", F.col("numbers").alias("total"), mean
         )
-        positions = [r.position for r in self.fact_rows if r.inferred_type == "numeric" and r.numbers]
-        if not positions:
+        found = [r for r in self.fact_rows if r.inferred_type == "numeric" and r.numbers]
+        if not found:
             return limits.select("position", "mean", F.col("mean").alias("std"), F.col("mean").alias("median"))
-        weighted = self._numbers(positions)
         spread = (
-            weighted.join(F.broadcast(limits), "position")
+            self._numbers([r.position for r in found]).join(F.broadcast(limits), "position")
             .groupBy("position")
             .agg(F.sum(F.col("w") * F.pow(F.col("v") - F.col("mean"), 2)).alias("squares"))
         )
-        medians = exact_medians(weighted, limits.drop("mean"), "position")
+        parts = []
+        for select, chosen in (
+            (ordered_medians, [r.position for r in found if r.unique_count <= FEW_VALUES]),
+            (exact_medians, [r.position for r in found if r.unique_count > FEW_VALUES]),
+        ):
+            if chosen:
+                some = limits.drop("mean").where(F.col("position").isin(chosen))
+                parts.append(select(self._numbers(chosen), some, "position"))
+        medians = reduce(DataFrame.unionByName, parts)
         std = F.when(
             F.col("total") > 1, F.sqrt(F.col("squares") / (F.col("total") - 1))
         ).otherwise(F.lit(0.0))

@@ -238,16 +238,22 @@ def evidence_samples(analysis: Analysis, k: int = 3) -> DataFrame:
             .join(F.broadcast(out_of_range), "position")
             .select("row", "position", F.explode(kinds).alias("kind"), F.col("number").cast("string").alias("shown"))
         )
-    found = reduce(DataFrame.unionByName, parts)
-    by_row = Window.partitionBy("position", "kind").orderBy("row", "shown")
-    top = found.withColumn("rank", F.row_number().over(by_row)).where(F.col("rank") <= k)
+    found = reduce(DataFrame.unionByName, [_first_rows(p, k) for p in parts])
     listed = F.array_sort(F.collect_list(F.struct("rank", "shown")))
-    return top.groupBy("position", "kind").agg(listed["shown"].alias("evidence_sample"))
+    return found.groupBy("position", "kind").agg(listed["shown"].alias("evidence_sample"))
+
+
+def _first_rows(found: DataFrame, k: int) -> DataFrame:
+    by_row = Window.partitionBy("position", "kind").orderBy("row", "shown")
+    return found.withColumn("rank", F.row_number().over(by_row)).where(F.col("rank") <= k)
 
 
 def _text_evidence(analysis: Analysis, facts: DataFrame, k: int) -> DataFrame:
-    """(row, position, kind, shown): at least the first k offending rows of each issue."""
-    ranged = F.col("kind").isin("percent_range", "negatives")
+    """(row, position, kind, shown): at least the first k offending rows of each issue.
+
+    The candidates are broadcast: at most k per issue and column, a few fixed-width fields each
+    (values are matched by hash and length, so that long texts stay where they are).
+    """
     flagged = (
         analysis.text_cells.where(F.col("text").isNotNull())
         .join(F.broadcast(facts), "position")
@@ -255,17 +261,29 @@ def _text_evidence(analysis: Analysis, facts: DataFrame, k: int) -> DataFrame:
         .select(
             "position", "kind", "text", "first", "n",
             ((F.col("kind") == "case") & (F.col("all_caps") == 0)).alias("once"),
-            F.when(ranged, F.col("number").cast("string"))
-            .when(F.col("kind").isin("dates", "numbers"), F.col("t"))
-            .otherwise(F.col("text")).alias("shown"),
         )
     )
     by_first = Window.partitionBy("position", "kind").orderBy("first", "n", "text")
-    candidates = flagged.withColumn("rank", F.row_number().over(by_first)).where(F.col("rank") <= k)
-    located = analysis.text_rows().join(candidates.drop("rank"), ["position", "text"])
-    return located.where(~F.col("once") | (F.col("row") == F.col("first"))).select(
-        "row", "position", "kind", "shown"
+    few = flagged.withColumn("rank", F.row_number().over(by_first)).where(F.col("rank") <= k)
+    issue = Window.partitionBy("position", "kind")
+    # With k candidates at hand, no later row can be among the first k.
+    last = F.when(F.count(F.lit(1)).over(issue) == k, F.max("first").over(issue))
+    match = [F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes")]
+    candidates = few.select("position", *match, "kind", "once", "first", last.alias("last"))
+    located = (
+        analysis.text_rows().select("row", "position", "text", *match)
+        .join(F.broadcast(candidates), ["position", "hash", "bytes"])
+        .where(F.col("last").isNull() | (F.col("row") <= F.col("last")))
+        .where(~F.col("once") | (F.col("row") == F.col("first")))
+    )
+    top = _first_rows(located.select("row", "position", "kind", F.col("text").alias("shown")), k)
+    value = F.col("shown")
+    shown = (
+        F.when(F.col("kind").isin("percent_range", "negatives"), numbers.parse_number(value).cast("string"))
+        .when(F.col("kind").isin("dates", "numbers"), text.strip(value))
+        .otherwise(value)
     )
+    return top.select("row", "position", "kind", shown.alias("shown"))
 
 
 def _share_left(bad: Column, whole: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CELLS = float(2**32 - 1)
+FEW_VALUES = 65_536
 
 
 def _log_scale(x: Column) -> Column:
@@ -36,6 +37,23 @@ def _pick(counted: DataFrame, group: list[str], order: str, before: Column, keep
     return ranked.where(hit).select(*keep, "below")
 
 
+def _wanted_ranks(limits: DataFrame, key: str) -> DataFrame:
+    """(key, rank): the one or two middle ranks of each key."""
+    total = F.col("total")
+    ranks = F.array_distinct(
+        F.array(F.floor((total + 1) / 2).cast("bigint"), F.floor(total / 2 + 1).cast("bigint"))
+    )
+    return limits.select(key, F.explode(ranks).alias("rank"))
+
+
+def ordered_medians(values: DataFrame, limits: DataFrame, key: str) -> DataFrame:
+    """Like ``exact_medians``, for keys known to have at most ``FEW_VALUES`` distinct values."""
+    counted = values.where(F.col("v").isNotNull()).groupBy(key, "v").agg(F.sum("w").alias("w"))
+    ranked = counted.join(F.broadcast(_wanted_ranks(limits, key)), key)
+    hit = _pick(ranked, [key, "rank"], "v", F.lit(0), [key, "v"])
+    return hit.groupBy(key).agg(F.avg("v").alias("median"))
+
+
 def exact_medians(values: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     """Median of ``v`` weighted by ``w`` per ``key``.
 
@@ -44,11 +62,7 @@ def exact_medians(values: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     """
     known = values.where(F.col("v").isNotNull())
     cells = _with_cell(known, limits.select(key, "lo", "hi"), key)
-    total = F.col("total")
-    ranks = F.array_distinct(
-        F.array(F.floor((total + 1) / 2).cast("bigint"), F.floor(total / 2 + 1).cast("bigint"))
-    )
-    wanted = limits.select(key, F.explode(ranks).alias("rank"))
+    wanted = _wanted_ranks(limits, key)
 
     high, low = F.shiftright("cell", 16), F.col("cell").bitwiseAND(F.lit(65535).cast("bigint"))
     # Pass 1: at most 65 536 counters per key.
