@@ -182,10 +182,13 @@ class Analysis:
 
     @cached_property
     def typed_cells(self) -> DataFrame:
-        """Typed values: ``filled``, ``number`` (NULL for dates and infinities)."""
+        return self._read_typed(self.typed_values)
+
+    def _read_typed(self, cells: DataFrame) -> DataFrame:
+        """Adds ``filled`` and ``number`` (NULL for dates and infinities) to typed cells."""
         whole, number = F.col("whole"), F.col("number")
         dated = F.col("position").isin(self._positions(DATE))
-        return self.typed_values.withColumns({
+        return cells.withColumns({
             "filled": whole.isNotNull() | number.isNotNull(),
             "number": F.when(~dated, F.coalesce(whole.cast("double"), numbers.finite(number))),
             "real": number,
@@ -232,7 +235,10 @@ class Analysis:
             parts.append(self._text_facts())
         if self.has(NUMBER, DATE):
             parts.append(self._typed_facts())
-        return self._classified(reduce(DataFrame.unionByName, parts))
+        counted = reduce(DataFrame.unionByName, parts)
+        if self.approx:
+            counted = counted.drop("unique_count").join(F.broadcast(self._estimates()), "position")
+        return self._classified(counted)
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -247,7 +253,7 @@ class Analysis:
     def _statistics(self) -> list[Column]:
         """Aggregates over ``number``, the same for text and typed columns."""
         number, n = F.col("number"), F.col("n")
-        found = [
+        return [
             weight(number < 0).alias("negatives"),
             weight(number > 100).alias("over_hundred"),
             weight(number.isNotNull()).alias("numbers"),
@@ -255,20 +261,29 @@ class Analysis:
             F.max("number").alias("hi"),
             F.sum(number * n).alias("number_sum"),
         ]
-        if self.approx:
-            found += [
-                F.stddev_samp("number").alias("std"),
-                F.percentile_approx("number", 0.5, 10000).alias("median"),
-            ]
-        return found
+
+    def _estimates(self) -> DataFrame:
+        """Approximate mode: (position, unique_count, std, median), apart from the exact counts.
+
+        Sketches run interpreted; in one aggregate with the counts they would slow all of them.
+        """
+        parts = []
+        if self.has(TEXT, OTHER):
+            value = F.when(F.col("present"), F.xxhash64("text")).alias("value")
+            parts.append(self.text_cells.select("position", "number", value))
+        if self.has(NUMBER, DATE):
+            value = F.when(F.col("filled"), F.xxhash64(F.coalesce("whole", F.lit(0).cast("bigint")), "real"))
+            parts.append(self.typed_cells.select("position", "number", value.alias("value")))
+        return reduce(DataFrame.unionByName, parts).groupBy("position").agg(
+            F.approx_count_distinct("value").alias("unique_count"),
+            F.stddev_samp("number").alias("std"),
+            F.percentile_approx("number", 0.5, 10000).alias("median"),
+        )
 
     def _text_facts(self) -> DataFrame:
         t, raw = F.col("t"), F.col("text")
         number, present, marker = F.col("number"), F.col("present"), F.col("marker")
         filled = raw.isNotNull()
-        unique = (
-            F.approx_count_distinct(F.when(present, raw)) if self.approx else F.count_if(present)
-        )
         classes = [
             weight(F.col("date_class") == i + 1).alias(f"class_{i + 1}")
             for i in range(len(dates.FORMAT_CLASSES))
@@ -280,7 +295,7 @@ class Analysis:
             F.sum("n").alias("rows"),
             weight(~present).alias("nulls"),
             weight(filled).alias("filled"),
-            unique.alias("unique_count"),
+            F.count_if(present).alias("unique_count"),
             weight(present & marker).alias("markers"),
             weight(present & number.isNotNull()).alias("parsed"),
             weight(present & ~F.lower(raw).isin(V.DATE_SAMPLE_ERROR_TOKENS)).alias("date_pool"),
@@ -301,17 +316,18 @@ class Analysis:
         )
 
     def _typed_facts(self) -> DataFrame:
+        """Facts of typed columns straight from the rows: no value is shuffled.
+
+        The distinct count is only bounded here (by the filled cells); the profile puts
+        ``unique_counts`` in its place.
+        """
+        rows = self._read_typed(self.typed_rows().withColumn("n", F.lit(1).cast("bigint")))
         filled = F.col("filled")
-        value = F.struct("whole", "real")
-        unique = (
-            F.approx_count_distinct(F.when(filled, F.xxhash64(value))) if self.approx
-            else F.count_if(filled)
-        )
-        counted = self.typed_cells.groupBy("position").agg(
+        counted = rows.groupBy("position").agg(
             F.sum("n").alias("rows"),
             weight(~filled).alias("nulls"),
             weight(filled).alias("filled"),
-            unique.alias("unique_count"),
+            weight(filled).alias("unique_count"),
             weight(F.col("real").isNotNull() & F.col("number").isNull()).alias("dirty_numbers"),
             *self._statistics(),
         )
@@ -358,6 +374,12 @@ class Analysis:
 
     # --- derived per column ----------------------------------------------------------------------
 
+    def unique_counts(self) -> DataFrame:
+        """(position, exact_count): exact distinct counts of the typed columns."""
+        return self.typed_cells.groupBy("position").agg(
+            F.sum(F.when(F.col("filled"), 1).otherwise(0)).alias("exact_count")
+        )
+
     def samples(self, k: int = 5) -> DataFrame:
         """(position, sample_values): the first k distinct non-blank values of each column."""
         parts = []

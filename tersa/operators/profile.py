@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tersa.functions import numbers
-from tersa.operators.analysis import Analysis, percentage, round2
+from tersa.operators.analysis import DATE, Analysis, percentage, round2
+from tersa.operators.catalog import NUMBER
 
 
 def _column_warnings() -> Column:
@@ -28,8 +29,13 @@ def _column_warnings() -> Column:
 def profile(source: DataFrame | Analysis, order_by: str | None = None, approx: bool = False) -> DataFrame:
     """One row per column: type, hint, nulls, distinct values, sample, statistics, warnings."""
     analysis = _analysis(source, order_by, approx)
+    facts = analysis.facts.drop("std", "median")
+    if analysis.has(NUMBER, DATE) and not analysis.approx:
+        facts = facts.join(analysis.unique_counts(), "position", "left").withColumn(
+            "unique_count", F.coalesce("exact_count", "unique_count")
+        )
     joined = (
-        analysis.facts.drop("std", "median").join(analysis.number_stats(), "position", "left")
+        facts.join(analysis.number_stats(), "position", "left")
         .join(analysis.samples(), "position", "left")
     )
     numeric = F.col("inferred_type") == "numeric"

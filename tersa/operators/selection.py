@@ -47,7 +47,7 @@ def _wanted_ranks(limits: DataFrame, key: str) -> DataFrame:
 
 
 def ordered_medians(values: DataFrame, limits: DataFrame, key: str) -> DataFrame:
-    """Like ``exact_medians``, for keys known to have at most ``FEW_VALUES`` distinct values."""
+    """Like ``exact_medians``, for keys with few distinct values (about ``FEW_VALUES``): one pass."""
     counted = values.where(F.col("v").isNotNull()).groupBy(key, "v").agg(F.sum("w").alias("w"))
     ranked = counted.join(F.broadcast(_wanted_ranks(limits, key)), key)
     hit = _pick(ranked, [key, "rank"], "v", F.lit(0), [key, "v"])
