@@ -59,7 +59,7 @@ def read_stripped(s: Column, kind: str = "date") -> Column:
     def either(pattern: str, *templates: str) -> Column:
         return F.coalesce(*[_reorder(s, pattern, t, kind) for t in templates])
 
-    return (
+    read = (
         F.when(s.rlike(_ISO), either(_ISO, f"$1-$2-$3{clock}"))
         .when(s.rlike(_DAY_FIRST), either(_DAY_FIRST, f"$3-$2-$1{clock}", f"$3-$1-$2{clock}"))
         .when(s.rlike(_COMPACT), either(_COMPACT, "$1-$2-$3"))
@@ -69,6 +69,8 @@ def read_stripped(s: Column, kind: str = "date") -> Column:
         .when(s.rlike(_YEAR_MONTH), either(_YEAR_MONTH, "$1-$2-1"))
         .when(s.rlike(f"{_DAY_NAME}|{_NAME_DAY}"), month_name)
     )
+    # No pattern fits shorter or longer text; most other text is turned away here.
+    return F.when(F.length(s).between(6, 40), read)
 
 
 def parse_date(c: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,7 +58,7 @@ def is_code_token(c: Column) -> Column:
 
 
 def contains_any(c: Column, needles: list[str]) -> Column:
-    return c.rlike("|".join(re.escape(n) for n in needles))
+    return reduce(or_, [c.contains(n) for n in needles])
 
 
 def is_yes(c: Column) -> Column:

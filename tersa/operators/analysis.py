@@ -381,7 +381,13 @@ class Analysis:
         )
 
     def samples(self, k: int = 5) -> DataFrame:
-        """(position, sample_values): the first k distinct non-blank values of each column."""
+        """(position, sample_values): the first k distinct non-blank values of each column.
+
+        In approximate mode they are taken from the first rows of the table only.
+        """
+        if self.approx:
+            ordered = self.df.orderBy(F.col(f"`{self.order_by}`")) if self.order_by else self.df
+            return Analysis(ordered.limit(10 * k), self.order_by).samples(k)
         parts = []
         if self.has(TEXT, OTHER):
             present = F.coalesce(text.strip(F.col("text")) != "", F.lit(False))
