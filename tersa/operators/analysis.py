@@ -70,8 +70,8 @@ def percentage(part: Column, whole: Column) -> Column:
 class Analysis:
     """Lazy facts about one table.
 
-    ``order_by`` names the column that defines row order (scan order if not given); it decides
-    which values count as the first ones. ``date_standard`` is ``dominant`` (the most frequent
+    ``order_by`` names the column that defines row order; it decides which values count as the
+    first ones. Without it scan order does, which is only stable for tables read from files. ``date_standard`` is ``dominant`` (the most frequent
     format class of a column is its standard) or ``first`` (the class of its first value).
     """
 

@@ -265,18 +265,23 @@ def _text_evidence(analysis: Analysis, facts: DataFrame, k: int) -> DataFrame:
     )
     by_first = Window.partitionBy("position", "kind").orderBy("first", "n", "text")
     few = flagged.withColumn("rank", F.row_number().over(by_first)).where(F.col("rank") <= k)
+    spellings = few.where("once").select(
+        F.col("first").alias("row"), "position", "kind", F.col("text").alias("shown")
+    )
+    # With k candidates at hand, no later row can be among the first k. Scan order is not relied
+    # upon here: it may differ between two passes over a shuffled table.
     issue = Window.partitionBy("position", "kind")
-    # With k candidates at hand, no later row can be among the first k.
-    last = F.when(F.count(F.lit(1)).over(issue) == k, F.max("first").over(issue))
+    enough = (F.count(F.lit(1)).over(issue) == k) & F.lit(analysis.order_by is not None)
+    last = F.when(enough, F.max("first").over(issue))
     match = [F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes")]
-    candidates = few.select("position", *match, "kind", "once", "first", last.alias("last"))
+    candidates = few.where(~F.col("once")).select("position", *match, "kind", last.alias("last"))
     located = (
         analysis.text_rows().select("row", "position", "text", *match)
         .join(F.broadcast(candidates), ["position", "hash", "bytes"])
         .where(F.col("last").isNull() | (F.col("row") <= F.col("last")))
-        .where(~F.col("once") | (F.col("row") == F.col("first")))
+        .select("row", "position", "kind", F.col("text").alias("shown"))
     )
-    top = _first_rows(located.select("row", "position", "kind", F.col("text").alias("shown")), k)
+    top = _first_rows(located, k).drop("rank").unionByName(spellings)
     value = F.col("shown")
     shown = (
         F.when(F.col("kind").isin("percent_range", "negatives"), numbers.parse_number(value).cast("string"))

@@ -84,6 +84,10 @@ PROFILED = {
         ("id_pedido", "number"), ("fecha_pedido", "text"), ("prioridad", "text"),
         ("estado", "text"), ("total", "number"), ("urgente", "text"),
     ],
+    "zonas": [
+        ("id_pieza", "number"), ("marca", "text"), ("margen", "number"), ("tarifa", "text"),
+        ("gama", "text"),
+    ],
 }
 
 

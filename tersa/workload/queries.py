@@ -417,10 +417,13 @@ def p11(spark, sf_dir):
                          F.array_join("global_warnings", "|").alias("global_warnings"))
 
 
-@register("p12_profile_approx")
+@register("p12_profile_approx", O.analysed("pedidos") + f"""
+SELECT column_name, inferred_type, semantic_hint, nulls AS null_count, {_NUMERIC.format('lo')} AS min_value,
+  {_NUMERIC.format('hi')} AS max_value, {_NUMERIC.format('round_even(mean, 2)')} AS mean FROM facts""")
 def p12_approx(spark, sf_dir):
-    """One pass over the whole table: approximate distinct counts and medians."""
-    return profile(table(spark, sf_dir, "lineitem"), approx=True)
+    """The approximate mode over the whole table; the columns of it that are exact."""
+    p = profile(view(spark, sf_dir, "pedidos"), order_by="id_pedido", approx=True)
+    return p.select("column_name", "inferred_type", "semantic_hint", "null_count", "min_value", "max_value", "mean")
 
 
 # --- Q: quality --------------------------------------------------------------------------------------
@@ -630,6 +633,12 @@ _plan("r2_rule_consistency", "clientes", _plan_sql("clientes"), where="operation
 _plan("r3_rule_validity", "pedidos", _plan_sql("pedidos"), where="operation IN ('convert_datetime', 'convert_numeric')")
 _plan("r4_rule_integrity", "clientes", _plan_sql("clientes"), where="operation = 'clamp_range'")
 _plan("r5_rule_completeness", "pedidos", _plan_sql("pedidos"), where="operation = 'fill_missing'")
+_plan("r6_fallback_case", "zonas", _plan_sql("zonas"), where="operation = 'normalize_case'")
+_plan("r7_fallback_trim", "clientes", _plan_sql("clientes"), where="operation = 'trim_text'")
+_plan("r8_fallback_numeric_compat", "zonas", _plan_sql("zonas", compat=True), compat=True,
+      where="operation = 'convert_numeric'")
+_plan("r9_fallback_clamp", "zonas", _plan_sql("zonas"), where="operation = 'clamp_range'")
+_plan("r10_step_order", "zonas", _plan_sql("zonas"))
 _plan("r11_propose_plan", "clientes", _plan_sql("clientes"))
 _plan("r11_propose_plan_pedidos", "pedidos", _plan_sql("pedidos"))
 _plan("r8_propose_plan_compat", "pedidos", _plan_sql("pedidos", compat=True), compat=True)

@@ -63,6 +63,10 @@ SELECT p_partkey AS id_pieza,
   CASE WHEN p_partkey % 3 = 0 THEN concat(' ', upper(p_name), ' SA ')
     WHEN p_partkey % 3 = 1 THEN concat(p_name, ' ab-', CAST(p_size AS STRING))
     ELSE p_name END AS nombre
+FROM @part"""),
+    "zonas": (["part"], """
+SELECT p_partkey AS id_pieza, upper(replace(p_brand, '#', '-')) AS marca, p_size - 25 AS margen,
+  concat(CAST(p_size AS STRING), ' eur') AS tarifa, p_type AS gama
 FROM @part"""),
     "ventas": (["lineitem", "part"], """
 SELECT l_orderkey AS id_pedido, p_name AS producto, l_returnflag AS canal,
