@@ -20,22 +20,13 @@ from pyspark.sql import types as T
 
 from tersa.functions import dates, names, numbers, text
 from tersa.functions import vocabulary as V
-from tersa.operators.catalog import NUMBER, OTHER, TEXT
+from tersa.operators.catalog import DATE, NUMBER, OTHER, TEXT, kind_of
 from tersa.operators.selection import FEW_VALUES, exact_medians, ordered_medians
 from tersa.sources.local import local_frame
 
-DATE = "date"
 _NARROW_BYTES = 40
 
 
-def _kind(data_type: T.DataType) -> str:
-    if isinstance(data_type, T.NumericType):
-        return NUMBER
-    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return DATE
-    return TEXT if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)) else OTHER
-
-
 def shared(df: DataFrame, *keys: str) -> DataFrame:
     """Let several consumers of an aggregate share one shuffle.
 
@@ -91,7 +82,7 @@ class Analysis:
         self.date_standard = date_standard
         self.approx = approx
         self.columns = df.columns
-        self.kinds = [_kind(f.dataType) for f in df.schema]
+        self.kinds = [kind_of(f.dataType) for f in df.schema]
 
     # --- cells ---------------------------------------------------------------------------------
 

@@ -24,12 +24,14 @@ Stage = Callable[[Column], Column]
 SMALL_MAPPING = 64
 BROADCAST_MAPPING = 100_000
 
-TEXT, NUMBER, OTHER = "text", "number", "other"
+TEXT, NUMBER, DATE, OTHER = "text", "number", "date", "other"
 
 
 def kind_of(data_type: T.DataType) -> str:
     if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
         return TEXT
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return DATE
     return NUMBER if isinstance(data_type, T.NumericType) else OTHER
 
 
@@ -100,6 +102,8 @@ def _check_fill(kinds, column, params):
     strategy = params.get("strategy", "constant")
     if strategy not in ("constant", "mean", "median", "mode"):
         _fail("INVALID_PARAMETER", f"unsupported strategy '{strategy}'")
+    if strategy in ("mean", "median") and kinds[column] not in (TEXT, NUMBER):
+        _fail("INVALID_PARAMETER", f"'{column}' has no {strategy}")
     if strategy == "constant" and kinds[column] == NUMBER and not params.get("as_text"):
         try:
             float(params.get("value", V.DEFAULT_FILL))
@@ -137,16 +141,16 @@ def _case_stages(kind, params):
 
 
 def _category_stages(kind, params):
-    return [lambda c: text.map_values(c, params["mappings"])]
+    return [lambda c: text.map_values(c.cast("string"), params["mappings"])]
 
 
 def _datetime_stages(kind, params):
     target = params.get("target_format", "%Y-%m-%d")
-    if kind != TEXT:
+    if kind == DATE:
         return [lambda c: dates.strftime(c, target)]
     read_as = "timestamp" if dates.wants_time(target) else "date"
     return [
-        text.strip,
+        lambda c: text.strip(c.cast("string")),
         lambda c: dates.read_stripped(c, read_as),
         lambda c: dates.strftime(c, target),
     ]
@@ -164,7 +168,9 @@ def _numeric_stages(kind, params):
 
 
 def _coerced(kind: str) -> Stage:
-    return numbers.coerce_number if kind == TEXT else lambda c: c.try_cast("double")
+    if kind == NUMBER:
+        return lambda c: c.cast("double")
+    return lambda c: numbers.coerce_number(c.cast("string"))
 
 
 def _round_stages(kind, params):
@@ -178,7 +184,10 @@ def _clamp_stages(kind, params):
 
 
 def _present(kind: str) -> Stage:
-    return text.blank_to_null if kind == TEXT else lambda c: c
+    """The value, or NULL for blank text and NaN."""
+    if kind == TEXT:
+        return text.blank_to_null
+    return (lambda c: F.when(~F.isnan(c.cast("double")), c)) if kind == NUMBER else (lambda c: c)
 
 
 def _fill_stages(kind, params):
@@ -186,8 +195,8 @@ def _fill_stages(kind, params):
     fill = params.get("__fill__")
     if fill is None:
         value = params.get("value", V.DEFAULT_FILL)
-        if kind == NUMBER and params.get("as_text"):
-            return [lambda c: F.coalesce(c.cast("string"), F.lit(str(value)))]
+        if _fills_as_text(kind, params):
+            return [lambda c: F.coalesce(_present(kind)(c).cast("string"), F.lit(str(value)))]
         fill = F.lit(float(value)) if kind == NUMBER else F.lit(str(value))
     return [lambda c: F.coalesce(_present(kind)(c), fill)]
 
@@ -220,11 +229,20 @@ def _value_changed(before: Column, after: Column, kind: str, params: dict) -> Co
 def _number_changed(before: Column, after: Column, kind: str, params: dict) -> Column:
     if params.get("compare") == "text":
         return ~before.cast("string").eqNullSafe(numbers.float_text(after))
-    return ~before.try_cast("double").eqNullSafe(after) | (before.isNotNull() & after.isNull())
+    read = before.cast("double") if kind == NUMBER else before.cast("string").try_cast("double")
+    return ~read.eqNullSafe(after) | (before.isNotNull() & after.isNull())
+
+
+def _text_changed(before: Column, after: Column, kind: str, params: dict) -> Column:
+    return ~text.strip(before.cast("string")).eqNullSafe(after)
+
+
+def _label_changed(before: Column, after: Column, kind: str, params: dict) -> Column:
+    return ~before.cast("string").eqNullSafe(after)
 
 
 def _parsed_changed(before: Column, after: Column, kind: str, params: dict) -> Column:
-    read = numbers.parse_number(before) if kind == TEXT else before.try_cast("double")
+    read = before.cast("double") if kind == NUMBER else numbers.parse_number(before.cast("string"))
     return ~read.eqNullSafe(after)
 
 
@@ -244,8 +262,14 @@ _NUMERIC = lambda kind, params: NUMBER
 _TEXTUAL = lambda kind, params: TEXT
 
 
+def _fills_as_text(kind, params) -> bool:
+    """A constant turns dates and other types into text, and numbers if asked to."""
+    constant = params.get("strategy", "constant") == "constant"
+    return constant and (kind in (DATE, OTHER) or (kind == NUMBER and bool(params.get("as_text"))))
+
+
 def _fill_kind(kind, params):
-    return TEXT if params.get("as_text") else kind
+    return TEXT if _fills_as_text(kind, params) else kind
 
 
 _CATALOG: dict[str, Operation] = {
@@ -256,9 +280,9 @@ _CATALOG: dict[str, Operation] = {
         Operation("normalize_case", "Title case that keeps acronyms, lower or upper case", "low",
                   "row", _check_case, _case_stages, changed=_value_changed),
         Operation("normalize_category", "Replace values by their canonical label", "low", "row",
-                  _check_mapping, _category_stages, changed=_value_changed),
+                  _check_mapping, _category_stages, _TEXTUAL, _label_changed),
         Operation("convert_datetime", "Read mixed date formats, write one", "medium", "row",
-                  _check_datetime, _datetime_stages, _TEXTUAL, _value_changed),
+                  _check_datetime, _datetime_stages, _TEXTUAL, _text_changed),
         Operation("convert_numeric", "Read number text with symbols and separators", "medium",
                   "row", _check_column, _numeric_stages, _NUMERIC, _number_changed),
         Operation("round_numeric", "Round half to even", "low", "row", _check_round,
@@ -338,8 +362,8 @@ def map_large_category(df: DataFrame, column: str, mappings: dict[str, str]) ->
     if len(mappings) <= BROADCAST_MAPPING:
         table = F.broadcast(table)
     c = F.col(f"`{column}`")
-    joined = df.join(table, c == F.col("__from"), "left")
-    label = F.when(F.col("__known"), F.col("__to")).otherwise(c)
+    joined = df.join(table, c.cast("string") == F.col("__from"), "left")
+    label = F.when(F.col("__known"), F.col("__to")).otherwise(c.cast("string"))
     return joined.select(
         *[label.alias(n) if n == column else F.col(f"`{n}`") for n in df.columns]
     )

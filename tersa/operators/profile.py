@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tersa.functions import numbers
-from tersa.operators.analysis import DATE, Analysis, percentage, round2
-from tersa.operators.catalog import NUMBER
+from tersa.operators.analysis import Analysis, percentage, round2
+from tersa.operators.catalog import DATE, NUMBER
 
 
 def _column_warnings() -> Column:

@@ -5,7 +5,10 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tersa import apply_operation, list_operations, register_operation
+from tersa import (
+    Step, apply_operation, execute_plan, list_operations, profile, propose_steps, quality_issues,
+    quality_overall, register_operation,
+)
 from tersa.operators.catalog import remove_duplicates, unregister_operation
 from tersa.operators.selection import column_median, exact_medians, most_frequent
 
@@ -111,6 +114,43 @@ def test_parameter_checks(texts, operation, column, params, code):
         apply_operation(texts(["a"]), operation, column, **params)
 
 
+def test_every_row_operation_accepts_every_column_type(spark):
+    df = spark.sql(
+        "SELECT 1 AS n, 2.5D AS x, DATE'2026-01-05' AS d, TIMESTAMP'2026-01-05 10:00:00' AS t, true AS b, "
+        "CAST(1.5 AS DECIMAL(10,2)) AS m, 'a' AS s UNION ALL SELECT NULL, double('nan'), NULL, NULL, NULL, NULL, NULL"
+    )
+    operations = [
+        ("trim_text", {}), ("normalize_case", {}), ("normalize_category", {"mappings": {"1": "uno", "true": "si"}}),
+        ("convert_datetime", {}), ("convert_numeric", {}), ("round_numeric", {}),
+        ("clamp_range", {"min_value": 0, "max_value": 2}), ("fill_missing", {"value": 7}),
+        ("fill_missing", {"strategy": "mode"}),
+    ]
+    for operation, params in operations:
+        steps = [Step(operation, c, params) for c in df.columns]
+        done = execute_plan(df, steps)
+        assert not done.errors and done.frame.count() == 2
+        assert [r.status for r in done.audit.collect()] == ["applied"] * len(steps)
+        one = apply_operation(df, operation, "d", **params)
+        assert one.count() == 2
+    filled = apply_operation(df, "fill_missing", "x", value=7)
+    assert sorted(r.x for r in filled.collect()) == [2.5, 7.0]
+    assert apply_operation(df, "convert_datetime", "d").first().d == "2026-01-05"
+    labels = apply_operation(df, "normalize_category", "b", mappings={"true": "si"})
+    assert labels.first().b == "si"
+
+
+def test_odd_column_names_and_empty_tables(spark):
+    df = spark.createDataFrame([(" 1,5 € ", "x"), ("N/D", " y")], "`Precio (€) v1.0` string, `a b` string")
+    steps = propose_steps(df)
+    assert ("Precio (€) v1.0", "convert_numeric") in {(s.column, s.operation) for s in steps}
+    clean = execute_plan(df, steps).frame
+    assert {r[0] for r in clean.collect()} == {1.5, None} or {r[0] for r in clean.collect()} == {1.5}
+    assert quality_issues(df).count() > 0
+    empty = df.limit(0)
+    assert profile(empty).count() == 0 and propose_steps(empty) == []
+    assert quality_overall(empty).first().overall_score == 100.0
+
+
 def test_users_can_add_column_functions(run):
     register_operation("reverse_text", F.reverse, "Reverse")
     try:
