@@ -6,7 +6,7 @@ from tersa.operators.kpi import category_breakdown, kpi_report
 from tersa.operators.privacy import mask_by_hint, mask_embedded, masked_sample
 from tersa.operators.profile import profile, profile_report
 from tersa.operators.quality import before_after, quality_issues, quality_overall, quality_scores
-from tersa.plans.execute import execute_plan, replay_plan
+from tersa.plans.execute import execute_plan, replay_plan, run_plan
 from tersa.plans.propose import guardrail, propose_plan, propose_steps
 from tersa.plans.steps import Step, plan_from_json, plan_to_json, review
 from tersa.sources.files import scan_csv, scan_parquet, scan_table, write_clean
@@ -21,6 +21,7 @@ __all__ = [
     "fingerprint", "guardrail", "kpi_report", "list_operations", "mask_by_hint", "mask_embedded",
     "masked_sample", "plan_from_json", "plan_to_json", "profile", "profile_report",
     "propose_plan", "propose_steps", "quality_issues", "quality_overall", "quality_scores",
-    "register_operation", "replay_plan", "replay_stream", "review", "scan_csv", "scan_parquet",
+    "register_operation", "replay_plan", "replay_stream", "review", "run_plan", "scan_csv",
+    "scan_parquet",
     "scan_table", "validate_ingest", "write_clean",
 ]

@@ -358,10 +358,19 @@ class Analysis:
             "semantic_hint", semantic_hint()
         )
 
+    @cached_property
+    def checked_facts(self) -> DataFrame:
+        """The facts with ``case_variants``: the second small collect, shared by all quality results."""
+        variants = {r.position: r.case_variants for r in self.case_variants().collect()}
+        rows = [(*r, variants.get(r.position, 0)) for r in self.fact_rows]
+        schema = T.StructType([*self._fact_query.schema, T.StructField("case_variants", T.LongType())])
+        return local_frame(self.df.sparkSession, rows, schema)
+
     @cached_property
     def duplicates(self) -> DataFrame:
-        """One row: rows, repeated rows and their share."""
-        return duplicate_rows(self.df)
+        """One row, counted once: rows, repeated rows and their share."""
+        counted = duplicate_rows(self.df)
+        return local_frame(self.df.sparkSession, counted.collect(), counted.schema)
 
     # --- derived per column ----------------------------------------------------------------------
 

@@ -64,14 +64,13 @@ def is_positive_column() -> Column:
 
 def issue_counts(analysis: Analysis) -> DataFrame:
     """The facts plus one count per column-level issue kind."""
-    facts = analysis.facts.join(analysis.case_variants(), "position", "left")
-    variants = F.coalesce("case_variants", F.lit(0))
+    variants = F.col("case_variants")
     percent = F.col("semantic_hint") == "percentage"
 
     def only(condition: Column, count: Column) -> Column:
         return F.when(condition, count).otherwise(F.lit(0)).cast("bigint")
 
-    return facts.withColumns({
+    return analysis.checked_facts.withColumns({
         "count_nulls": F.col("nulls"),
         "count_whitespace": F.col("excess_space"),
         "count_case": only(wants_case_check(), F.greatest(variants, F.col("all_caps"))),
@@ -395,8 +394,10 @@ def quality_overall(source: DataFrame | Analysis) -> DataFrame:
     )
 
 
-def before_after(before: DataFrame | Analysis, after: DataFrame | Analysis) -> DataFrame:
-    """One row: sizes and overall score of a table before and after cleaning."""
+def before_after(
+    before: DataFrame | Analysis, after: DataFrame | Analysis, applied_steps: int | None = None
+) -> DataFrame:
+    """One row: sizes and overall score of a table before and after cleaning, steps applied."""
     first, second = _analysis(before), _analysis(after)
 
     def side(analysis: Analysis) -> DataFrame:
@@ -411,4 +412,5 @@ def before_after(before: DataFrame | Analysis, after: DataFrame | Analysis) -> D
         F.lit(len(first.columns)).cast("bigint").alias("columns_before"),
         F.lit(len(second.columns)).cast("bigint").alias("columns_after"),
         F.col("b.score").alias("score_before"), F.col("a.score").alias("score_after"),
+        F.lit(applied_steps).cast("bigint").alias("applied_steps"),
     )

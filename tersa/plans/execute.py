@@ -11,7 +11,9 @@ the write: accumulators count twice when a lost executor makes Spark re-run a ma
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from functools import reduce
+from time import perf_counter
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tersa.operators import catalog
 from tersa.plans.steps import Step, numbered, plan_from_json
+from tersa.sources.files import write_clean
 from tersa.sources.hygiene import count_empty_rows, drop_empty_rows, fingerprint
 from tersa.sources.local import local_frame
 
@@ -43,9 +46,13 @@ class Execution:
     def status(self) -> str:
         return "completed_with_errors" if self.errors else "completed"
 
-    def summary(self) -> DataFrame:
-        """One row: sizes, fingerprints, step counts and status, before and after."""
-        before, after = fingerprint(self.source), fingerprint(self.frame)
+    def summary(self, written: DataFrame | None = None) -> DataFrame:
+        """One row: sizes, fingerprints, step counts and status, before and after.
+
+        ``written``: the clean table as read back, so that the plan does not run again.
+        """
+        clean = self.frame if written is None else written
+        before, after = fingerprint(self.source), fingerprint(clean)
         b = before.select(F.struct("*").alias("b")).scalar()
         a = F.struct("*")
         return after.select(a.alias("a"), b.alias("b")).select(
@@ -292,6 +299,25 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def run_plan(
+    df: DataFrame, steps: list[Step], path: str, format: str = "parquet", **options
+) -> tuple[Execution, DataFrame]:
+    """Execute a plan, write the clean table and sum up the run.
+
+    Returns the execution and one summary row, with the path, the start and the seconds taken.
+    """
+    started, clock = datetime.now(timezone.utc), perf_counter()
+    done = execute_plan(df, steps, **options)
+    write_clean(done.frame, path, format)
+    seconds = round(perf_counter() - clock, 3)
+    reader = df.sparkSession.read
+    written = reader.parquet(path) if format == "parquet" else reader.option("header", True).csv(path)
+    summary = done.summary(written).withColumns({
+        "path": F.lit(path), "started_at": F.lit(started), "seconds": F.lit(seconds),
+    })
+    return done, summary
+
+
 def replay_plan(df: DataFrame, plan_json: str, order_by: str | None = None) -> Execution:
     """Run an approved plan, kept as JSON, on new data through the same operators."""
     return execute_plan(df, plan_from_json(plan_json), order_by=order_by)

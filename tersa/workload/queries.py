@@ -17,7 +17,7 @@ from tersa.operators.profile import profile, profile_report
 from tersa.operators.quality import (
     before_after, quality_issues, quality_overall, quality_scores, score_band,
 )
-from tersa.plans.execute import execute_plan, replay_plan
+from tersa.plans.execute import execute_plan, replay_plan, run_plan
 from tersa.plans.propose import guardrail, propose_plan
 from tersa.plans.steps import Step, collect_steps, plan_to_json
 from tersa.sources.files import scan_csv, scan_parquet, write_clean
@@ -544,10 +544,11 @@ _BEFORE_SQL = O.analysed("pedidos", O.scores("pedidos")) + f" SELECT {O.OVERALL}
 
 @register("q10_before_after", f"""
 SELECT b.n AS rows_before, a.n AS rows_after, CAST(6 AS BIGINT) AS columns_before, CAST(6 AS BIGINT) AS columns_after,
-  b.s AS score_before, a.s AS score_after FROM ({_BEFORE_SQL}) b, ({_AFTER_SQL}) a""")
+  b.s AS score_before, a.s AS score_after, CAST(4 AS BIGINT) AS applied_steps FROM ({_BEFORE_SQL}) b, ({_AFTER_SQL}) a""")
 def q10(spark, sf_dir):
     df = view(spark, sf_dir, "pedidos")
-    return before_after(df, execute_plan(df, _clean_pedidos(), order_by="id_pedido").frame)
+    done = execute_plan(df, _clean_pedidos(), order_by="id_pedido")
+    return before_after(df, done.frame, len(done.applied))
 
 
 # --- R: plans ----------------------------------------------------------------------------------------
@@ -757,6 +758,15 @@ def e9(spark, sf_dir):
     return execute_plan(view(spark, sf_dir, "actividad"), steps).summary().drop("fingerprint_before", "fingerprint_after")
 
 
+@register("e9_run_plan", ORACLES["e9_execution_summary"])
+def e9_run(spark, sf_dir):
+    """The same, with the clean table written and summed up from what was written."""
+    steps = [Step("remove_duplicates"), Step("trim_text", "tipo"), Step("drop_column", "tipo", status="rejected"),
+             Step("normalize_case", "tipo", {"mode": "camel"})]
+    _, summary = run_plan(view(spark, sf_dir, "actividad"), steps, shared_folder(spark, "run"))
+    return summary.drop("fingerprint_before", "fingerprint_after", "path", "started_at", "seconds")
+
+
 @register("e11_plan_from_data", O.analysed("pedidos") + """
 SELECT (SELECT count(*) FROM pedidos) AS row_count, (SELECT count(*) FROM pedidos) AS with_priority,
   (SELECT count(*) FROM pedidos) AS with_total""")

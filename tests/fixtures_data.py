@@ -1,4 +1,7 @@
-"""Small dirty tables, written out as CSV text."""
+"""Small dirty tables, written out as CSV text.
+
+Fixed values: the known answers in the tests belong to these rows.
+"""
 
 SALES = """Fecha,ID_Cliente,Nombre_Cliente,Producto,Cantidad,Precio_Unidad,Canal,Comercial
 2026-01-05,CLI-001, Juan Pérez ,Laptop Pro 15,2, 1200.50 €,Web, Carlos Ruiz 

@@ -10,7 +10,7 @@ from tersa import (
     Analysis, Step, before_after, drop_empty_rows, execute_plan, guardrail, kpi_report,
     mask_by_hint, masked_sample, plan_from_json, plan_to_json, profile, profile_report,
     propose_plan, propose_steps, quality_issues, quality_overall, quality_scores, replay_plan,
-    replay_stream, review, scan_csv,
+    replay_stream, review, run_plan, scan_csv,
 )
 from tersa.operators.analysis import duplicate_rows
 from tersa.plans.steps import collect_steps
@@ -238,6 +238,18 @@ def test_rejected_and_failing_steps(texts):
     assert summary.fingerprint_before != summary.fingerprint_after
 
 
+def test_run_plan_writes_and_sums_up(spark, load, tmp_path):
+    df = load(D.PEOPLE)
+    steps = propose_steps(df)
+    for kind in ("parquet", "csv"):
+        done, summary = run_plan(df, steps, str(tmp_path / kind), kind)
+        row = summary.first()
+        assert (row.rows_before, row.rows_after, row.applied_steps) == (7, 6, len(steps))
+        assert row.status == "completed" and row.seconds > 0 and row.path.endswith(kind)
+    again = spark.read.parquet(str(tmp_path / "parquet"))
+    assert again.exceptAll(done.frame).count() == 0
+
+
 def test_modified_counts(texts):
     df = texts(["2", "1.200,50 €", "N/D", None])
     one = execute_plan(df, [Step("convert_numeric", "v")]).audit.first()
