@@ -547,8 +547,9 @@ SELECT b.n AS rows_before, a.n AS rows_after, CAST(6 AS BIGINT) AS columns_befor
   b.s AS score_before, a.s AS score_after, CAST(4 AS BIGINT) AS applied_steps FROM ({_BEFORE_SQL}) b, ({_AFTER_SQL}) a""")
 def q10(spark, sf_dir):
     df = view(spark, sf_dir, "pedidos")
-    done = execute_plan(df, _clean_pedidos(), order_by="id_pedido")
-    return before_after(df, done.frame, len(done.applied))
+    path = shared_folder(spark, "clean")
+    done, _ = run_plan(df, _clean_pedidos(), path, order_by="id_pedido")
+    return before_after(df, scan_parquet(spark, path), len(done.applied))
 
 
 # --- R: plans ----------------------------------------------------------------------------------------
