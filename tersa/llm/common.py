@@ -39,9 +39,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows, so that memory is bounded."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def arrow_map(
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator], schema: str, rows: int = BATCH_ROWS
+) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``rows`` rows, so that memory is bounded."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(function, schema)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm import decontaminate
+from tersa.llm import decontaminate, packing, quality, simhash
 from tersa.llm.common import Scratch
 from tersa.workload.views import table
 
@@ -53,3 +53,21 @@ def op6(spark, sf_dir):
     )
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+@register("op2_pack_sequences")
+def op2(spark, sf_dir):
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
+    return packing.pack(pieces, Scratch(spark, "op2"))
+
+
+@register("op4_simhash_dedup")
+def op4(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op10_quality_gam")
+def op10(spark, sf_dir):
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op10"))
+    return scored.withColumn("predicted", quality.accepted().cast("int"))
