@@ -40,7 +40,7 @@ class Scratch:
 
 
 def arrow_map(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator], schema: str, rows: int = BATCH_ROWS
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator], schema, rows: int = BATCH_ROWS
 ) -> DataFrame:
     """``mapInArrow`` with batches of at most ``rows`` rows, so that memory is bounded."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -101,7 +101,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray):
         """is_word: byte -> bool; fold: byte -> byte, applied before words are hashed."""
-        self.rows, n = len(offsets) - 1, len(data)
+        self.rows, n, self._sums = len(offsets) - 1, len(data), None
         self.data = fold[data]
         inside = np.zeros(n + 2, bool)
         inside[1 : n + 1] = is_word[self.data]
@@ -115,13 +115,15 @@ class Words:
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(self.rows), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's bytes."""
+    def hashes(self, first_bytes: int | None = None) -> np.ndarray:
+        """64-bit hash of each word's bytes, or of its first ones."""
         n = len(self.data)
         up, down = _power_tables(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self._sums[1:])
+        ends = self.ends if first_bytes is None else np.minimum(self.ends, self.starts + first_bytes)
+        return mix((self._sums[ends] - self._sums[self.starts]) * down[self.starts])
 
     def text(self, first: int, last: int) -> bytes:
         """Words first to last - 1, joined by spaces."""

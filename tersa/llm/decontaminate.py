@@ -150,6 +150,18 @@ def contamination(
     return out, hits
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str = "doc_id", **options) -> DataFrame:
+    """The documents that are not contaminated, with the columns they have.
+
+    Rows are found again by key and text, so rows that repeat a key are judged by their own text.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.select(F.struct(F.col(key).alias("id"), text_hash.alias("text_hash")).alias("_id"), "text")
+    judged, _ = contamination(named, benchmark, scratch, key="_id", **options)
+    bad = judged.where(contaminated()).select("_id").distinct()
+    return docs.join(bad, docs[key].eqNullSafe(F.col("_id.id")) & (text_hash == F.col("_id.text_hash")), "left_anti")
+
+
 def contaminated(n_hit="n_hit", n_words="n_words"):
     """At least a twentieth of the words is hit."""
     return (F.col(n_hit) > 0) & (F.col(n_hit) * 20 >= F.col(n_words))

@@ -233,6 +233,19 @@ def held_out_rows(key: Column) -> Column:
     return F.coalesce(hold(key) % 5 == 0, F.lit(False))
 
 
+def learn(
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality", held_out=held_out_rows,
+    sample_rows: int = SAMPLE_ROWS, key: str = "doc_id",
+) -> tuple[AdditiveModel, DataFrame]:
+    """The model, and the features of all documents."""
+    table = scratch.keep(features(docs, key), "features")
+    sample = labelled_sample(table, labels, label, held_out, sample_rows, key).select("x", "_y").toArrow()
+    x = np.array(sample.column("x").combine_chunks().flatten(), np.float32).reshape(-1, len(NAMES))
+    y = sample.column("_y").to_numpy().astype(float)
+    order = np.lexsort((*x.T, y))  # the same model however rows arrive
+    return fit(x[order], y[order]), table
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality", held_out=held_out_rows,
     sample_rows: int = SAMPLE_ROWS, key: str = "doc_id",
@@ -241,12 +254,8 @@ def classify(
 
     Null and empty texts are scored by their zero features. Without labels the score is a half.
     """
-    table = scratch.keep(features(docs, key), "features")
-    sample = labelled_sample(table, labels, label, held_out, sample_rows, key).select("x", "_y").toArrow()
-    x = np.array(sample.column("x").combine_chunks().flatten(), np.float32).reshape(-1, len(NAMES))
-    y = sample.column("_y").to_numpy().astype(float)
-    order = np.lexsort((*x.T, y))  # the same model however rows arrive
-    model = docs.sparkSession.sparkContext.broadcast(fit(x[order], y[order]))
+    fitted, table = learn(docs, labels, scratch, label, held_out, sample_rows, key)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def score(batches):
         for batch in batches:
@@ -259,5 +268,21 @@ def classify(
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The documents that score ``threshold`` or more, with the columns they have; rows are judged in place."""
+    fitted, _ = learn(docs, labels, scratch, **options)
+    scratch.drop("features")
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def judge(batches):
+        for batch in batches:
+            data, offsets = text_column(batch)
+            for a, b in chunks(offsets):
+                x = text_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float32)
+                yield batch.slice(a, b - a).filter(pa.array(model.value.score(x) >= threshold))
+
+    return arrow_map(docs, judge, docs.schema)
+
+
 def accepted(score="score", threshold: float = THRESHOLD):
     return F.col(score) >= threshold

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm import decontaminate, packing, quality, simhash
+from tersa.llm import decontaminate, lm_score, packing, quality, sharding, simhash, suffix_dedup, topk, toxicity
 from tersa.llm.common import Scratch
 from tersa.workload.views import table
 
@@ -71,3 +71,63 @@ def op4(spark, sf_dir):
 def op10(spark, sf_dir):
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op10"))
     return scored.withColumn("predicted", quality.accepted().cast("int"))
+
+
+_OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, j, h[200 * j + 1:200 * j + 298] AS h
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 200 + 1)) AS j FROM d WHERE len(h) >= 100)),
+g AS (SELECT doc_id, 100 * j + o AS i, md5(h[2 * o + 1:2 * o + 100]) AS k
+  FROM (SELECT doc_id, j, h, unnest(range(0, least(100, len(h) // 2 - 49))) AS o FROM p WHERE len(h) >= 100)),
+f AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k HAVING min(doc_id) < max(doc_id)),
+w AS (SELECT doc_id, i FROM g JOIN f USING (k) WHERE least < doc_id),
+s AS (SELECT doc_id, i, i > coalesce(lag(i) OVER by_doc, -100) + 50 AS fresh FROM w WINDOW by_doc AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM s),
+r AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY 1, 2),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+t AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS tail,
+    string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS head FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || h[2 * coalesce(tail, 0) + 1:])) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)"""
+
+
+@register("op9_suffix_dedup", _OP9_SQL)
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = suffix_dedup.remove_repeats(docs, Scratch(spark, "op9"))
+    return done.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op8_balanced_shards")
+def op8(spark, sf_dir):
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+_OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@register("op5_threshold_topk", _OP5_SQL)
+def op5(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), Scratch(spark, "op5"))
+
+
+@register("op3_toxic_segments")
+def op3(spark, sf_dir):
+    found = toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op3"))
+    return found.select("doc_id", "held_out", "score", toxicity.flagged().cast("int").alias("predicted"))
+
+
+@register("op1_pseudo_likelihood")
+def op1(spark, sf_dir):
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
