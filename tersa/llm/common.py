@@ -144,6 +144,34 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Indices of all bytes of the slices, one after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def chunk_rows(docs: DataFrame, size: int) -> DataFrame:
+    """(payload, n_bytes): whole rows, about ``size`` text bytes together, as compressed Arrow streams."""
+
+    def cut(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            _, offsets = text_column(batch)
+            for a, b in chunks(offsets, size):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    out.write_batch(batch.slice(a, b - a))
+                n = pa.array([offsets[b] - offsets[a]], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), n], names=["payload", "n_bytes"])
+
+    return arrow_map(docs, cut, "payload binary, n_bytes bigint")
+
+
+def read_chunk(payload) -> pa.RecordBatch:
+    with pa.ipc.open_stream(payload) as stream:
+        return stream.read_next_batch()
+
+
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     """A number for each row. It is only stable once written: use it right before ``Scratch.keep``."""
     return df.withColumn(name, F.monotonically_increasing_id())

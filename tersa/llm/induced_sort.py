@@ -116,10 +116,14 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _refine(rank: np.ndarray, key: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Split equal ranks by key; a rank is the place of its group's first member. Returns who is still tied."""
-    order = among[np.lexsort((key, rank[among]))]
-    place = np.empty(len(rank), np.int64)
-    place[among] = np.arange(len(among))
-    k, r = key[place[order]], rank[order]
+    place = np.argsort(key)
+    r = rank[among]
+    if len(r) and (r[0] != r).any():  # ranks and keys in order as one number: a string is shorter than 2 ** 32
+        k = key[place]
+        dense = np.empty(len(key), np.uint64)
+        dense[place] = np.cumsum(np.concatenate(([False], k[1:] != k[:-1])))
+        place = np.argsort(r.astype(np.uint64) << np.uint64(32) | dense)
+    order, k, r = among[place], key[place], r[place]
     new_group = np.concatenate(([True], r[1:] != r[:-1]))
     new_part = new_group | np.concatenate(([True], k[1:] != k[:-1]))
     at = np.arange(len(order))
@@ -154,10 +158,8 @@ def _descending(text: np.ndarray, n: int) -> np.ndarray:
     differ = np.flatnonzero(text[: n - 1] != text[1:n])
     larger = np.zeros(n, bool)
     if len(differ):
-        nearest = np.searchsorted(differ, np.arange(n - 1))
-        found = nearest < len(differ)
-        at = differ[np.minimum(nearest, len(differ) - 1)]
-        larger[: n - 1] = found & (text[at] > text[at + 1])
+        falls = text[differ] > text[differ + 1]
+        larger[: differ[-1] + 1] = np.repeat(falls, np.diff(differ, prepend=-1))
     return larger
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm import decontaminate, lm_score, packing, quality, sharding, simhash, suffix_dedup, topk, toxicity
+from tersa.llm import decontaminate, lm_score, packing, paragraphs, quality, sharding, simhash, suffix_dedup, topk, toxicity
 from tersa.llm.common import Scratch
 from tersa.workload.views import table
 
@@ -131,3 +131,8 @@ def op3(spark, sf_dir):
 @register("op1_pseudo_likelihood")
 def op1(spark, sf_dir):
     return lm_score.score_documents(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+
+
+@register("op7_near_paragraphs")
+def op7(spark, sf_dir):
+    return paragraphs.near_paragraphs(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))

@@ -1,11 +1,12 @@
 """Exact substring deduplication on sharded suffix arrays.
 
-Every 50-byte string goes to the shard of the least 20-gram hash in it, so equal strings meet, whatever
+Every 50-byte string goes to the shard of the least 16-gram hash in it, so equal strings meet, whatever
 document they are in. Neighbouring strings of a document with one least hash travel together, as one
-segment. A chunk of documents sends each distinct segment once, with the smallest and largest document that
+segment. First the hashes alone are compared: segments whose hash no other document has cannot repeat. Of the
+others a chunk of documents sends each distinct segment once, with the smallest and largest document that
 holds it, so text that a third of all documents share is one segment a chunk. A shard sorts the suffixes of
-the segments whose hash occurs in two documents (``induced_sort``), takes the smallest document of each run
-of suffixes that agree in 50 bytes, and replies to the chunks where that removes anything.
+its segments (``induced_sort``), takes the smallest document of each run of suffixes that agree in 50 bytes,
+and replies to the chunks where that removes anything.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.common import Scratch, arrow_map, chunks, mix, text_column, with_row
+from tersa.llm.common import Scratch, arrow_map, chunk_rows, mix, read_chunk, slices, text_column, with_row
 from tersa.llm.induced_sort import DEPTH, sorted_suffixes
 
-GRAM = 20
+GRAM = 16
 #: Strings of one segment at most; longer runs of one least hash (periodic text) are cut.
 SEGMENT = 256
 CHUNK = 1 << 20
@@ -30,33 +31,40 @@ QUEUE_BYTES = 64 << 20
 _LAST = np.iinfo(np.int64).max
 
 
-def _chunked(docs: DataFrame, key: str) -> DataFrame:
-    """(payload, n_bytes): rows of about ``CHUNK`` text bytes as compressed Arrow streams."""
-
-    def cut(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            _, offsets = text_column(batch)
-            for a, b in chunks(offsets, CHUNK):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
-                    out.write_batch(batch.slice(a, b - a))
-                size = pa.array([offsets[b] - offsets[a]], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), size], names=["payload", "n_bytes"])
-
-    return arrow_map(docs, cut, "payload binary, n_bytes bigint")
-
-
-def _read(payload: bytes) -> pa.RecordBatch:
-    with pa.ipc.open_stream(payload) as stream:
-        return stream.read_next_batch()
-
-
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    padded = np.concatenate((data, np.zeros(GRAM, np.uint8)))
-    at = lambda k: np.ndarray((len(data),), "<u8", padded, offset=k, strides=(1,)).astype(np.uint64)
-    x = at(0) * np.uint64(0x9E3779B97F4A7C15) + at(8) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return mix(x + at(GRAM - 8) * np.uint64(0x165667B19E3779F9))
+    n = len(data) - GRAM + 1
+    at = lambda k: np.ndarray((n,), "<u8", data, offset=k, strides=(1,))
+    x = at(0) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x += at(8) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x165667B19E3779F9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def segment_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, number of strings, hash) of the runs of neighbouring strings with one least hash."""
+    if len(data) < DEPTH:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    least, width, windows = _gram_hashes(np.ascontiguousarray(data)), 1, DEPTH - GRAM + 1
+    while width * 2 <= windows:
+        least, width = np.minimum(least[:-width], least[width:]), width * 2
+    if windows > width:
+        least = np.minimum(least[: width - windows], least[windows - width :])
+    whole = np.ones(len(least), bool)  # strings that end in the document they begin in
+    for end in np.unique(offsets[1:-1]).tolist():
+        whole[max(end - DEPTH + 1, 0) : end] = False
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(least)))
+    start, count = start[whole[start]], count[whole[start]]
+    if len(count) and count.max() > SEGMENT:
+        parts = -(-count // SEGMENT)
+        turn = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, count = np.repeat(start, parts) + turn * SEGMENT, np.minimum(np.repeat(count, parts) - turn * SEGMENT, SEGMENT)
+    return start, count, mix(least[start])
 
 
 def _content_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -70,53 +78,30 @@ def _content_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) ->
     return out
 
 
-def _slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Indices of all bytes of the slices, one after the other."""
-    ends = np.cumsum(length)
-    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
-
-
-class Segments:
-    """The strings of a chunk by least hash: runs in its documents, and distinct segments ordered by shard."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, shards: int):
-        n, windows = len(data), DEPTH - GRAM + 1
-        size = np.diff(offsets)
-        least = _gram_hashes(data)
-        width = 1
-        while width * 2 <= windows:
-            least = np.minimum(least, np.concatenate((least[width:], least[-1:].repeat(width)))) if n > width else least
-            width *= 2
-        rest = windows - width
-        if rest and n > rest:
-            least = np.minimum(least, np.concatenate((least[rest:], least[-1:].repeat(rest))))
-        inside = np.zeros(n + 1, np.int8)  # starts of whole strings
-        long = size >= DEPTH
-        np.add.at(inside, offsets[:-1][long], 1)
-        np.add.at(inside, offsets[1:][long] - DEPTH + 1, -1)
-        at = np.flatnonzero(np.cumsum(inside[:n]))
-        self.at, hashes = at, least[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (hashes[1:] != hashes[:-1])
-        first = np.flatnonzero(new)
-        place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-        first = np.flatnonzero(place % SEGMENT == 0)
-        self.count = np.diff(np.append(first, len(at)))  # strings in each run
-        start, length, hashes = at[first], self.count + DEPTH - 1, hashes[first]
-        self.run_doc = doc[np.searchsorted(offsets, start, side="right") - 1]
-        name = mix(hashes ^ mix(_content_hashes(data, start, length)))
-        shard = (mix(hashes) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((name, shard))
-        new = np.ones(len(order), bool)
-        new[1:] = (name[order][1:] != name[order][:-1]) | (shard[order][1:] != shard[order][:-1])
-        part = np.flatnonzero(new)
-        self.distinct = np.empty(len(order), np.int64)  # of each run
-        self.distinct[order] = np.cumsum(new) - 1
-        pick = order[part]
-        self.start, self.length, self.hashes, self.shard = start[pick], length[pick], hashes[pick], shard[pick]
-        docs = self.run_doc[order]
-        self.low = np.minimum.reduceat(docs, part) if len(part) else docs
-        self.high = np.maximum.reduceat(docs, part) if len(part) else docs
+class Hashes:
+    """The distinct hashes of a chunk's runs, by shard, and which of them several of its documents have."""
+
+    def __init__(self, hashes: np.ndarray, doc: np.ndarray, shards: int):
+        self.values, of = np.unique(hashes, return_inverse=True)
+        shard = self.values % np.uint64(shards)
+        self.order = np.argsort(shard, kind="stable")
+        self.edges = np.searchsorted(shard[self.order], np.arange(shards + 1).astype(np.uint64))
+        by_hash = np.argsort(of, kind="stable")
+        first = np.searchsorted(of[by_hash], np.arange(len(self.values)))
+        docs = doc[by_hash]
+        self.several = np.zeros(len(self.values), bool)
+        if len(first):
+            self.several = np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first)
+        self.of = of
+
+
+def _chunk(payload, key: str):
+    """A chunk's rows, text bytes, offsets and runs with their documents."""
+    rows = read_chunk(payload.as_buffer())
+    data, offsets = text_column(rows)
+    doc = _doc_numbers(rows.column(rows.schema.get_field_index(key)))
+    start, count, hashes = segment_runs(data, offsets)
+    return data, start, count, hashes, doc[np.searchsorted(offsets, start, side="right") - 1]
 
 
 def _doc_numbers(column: pa.Array) -> np.ndarray:
@@ -138,34 +123,81 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _send(batches, key: str, shards: int):
+def _send_hashes(batches, key: str, shards: int):
+    """Each chunk's hashes, 48 bits of them, to their shards."""
     for batch in batches:
         for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows = _read(payload.as_buffer())
-            data, offsets = text_column(rows)
-            s = Segments(data, offsets, _doc_numbers(rows.column(rows.schema.get_field_index(key))), shards)
-            edges = np.searchsorted(s.shard, np.arange(shards + 1))
-            blobs, used = [], np.flatnonzero(np.diff(edges))
-            for k in used:
-                a, b = edges[k], edges[k + 1]
-                content = data[_slices(s.start[a:b], s.length[a:b])]
-                blobs.append(_pack(s.hashes[a:b], s.length[a:b].astype(np.int32), s.low[a:b], s.high[a:b], content))
+            _, _, _, hashes, doc = _chunk(payload, key)
+            own = Hashes(hashes, doc, shards)
+            short = (own.values[own.order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+            used = np.flatnonzero(np.diff(own.edges))
+            blobs = [short[own.edges[k] : own.edges[k + 1]].tobytes() for k in used]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used, pa.int64()), pa.array([chunk] * len(used), pa.int64()), pa.array(blobs, pa.binary())],
-                names=["shard", "chunk", "segments"],
+                names=["shard", "chunk", "hashes"],
             )
 
 
+def _shared_hashes(table: pa.Table) -> pa.Table:
+    """One shard: which of each chunk's hashes another chunk has too, as bits."""
+    blobs = [b.as_py() for b in table.column("hashes")]
+    wide = np.zeros((sum(map(len, blobs)) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    values = wide.view(np.uint64).ravel()
+    order = np.argsort(values, kind="stable")
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = values[order][1:] == values[order][:-1]
+    shared = np.zeros(len(order), bool)
+    shared[order] = same[1:] | same[:-1]
+    ends = np.cumsum([len(b) // 6 for b in blobs])
+    bits = [np.packbits(x).tobytes() for x in np.split(shared, ends[:-1])]
+    return pa.Table.from_arrays([table.column("chunk"), table.column("shard"), pa.array(bits, pa.binary())], names=["chunk", "shard", "bits"])
+
+
+def _send_segments(left: pa.Table, right: pa.Table, key: str, shards: int) -> pa.Table:
+    """One chunk: its runs with a shared hash (for itself, shard -1), and their distinct segments by shard."""
+    data, start, count, hashes, doc = _chunk(left.column("payload")[0], key)
+    own = Hashes(hashes, doc, shards)
+    wanted, shared = own.several, np.zeros(len(own.values), bool)
+    for shard, bits in zip(right.column("shard").to_pylist(), right.column("bits")):
+        a, b = own.edges[shard], own.edges[shard + 1]
+        shared[own.order[a:b]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=b - a).astype(bool)
+    run = np.flatnonzero((wanted | shared)[own.of])
+    start, count, hashes, doc = start[run], count[run], hashes[run], doc[run]
+    length = count + DEPTH - 1
+    name = mix(hashes ^ mix(_content_hashes(data, start, length)))
+    shard = (hashes % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((name, shard))
+    new = np.ones(len(order), bool)
+    new[1:] = name[order][1:] != name[order][:-1]
+    first = np.flatnonzero(new)
+    pick, distinct = order[first], np.empty(len(order), np.int64)
+    distinct[order] = np.cumsum(new) - 1
+    low = np.minimum.reduceat(doc[order], first) if len(first) else doc
+    high = np.maximum.reduceat(doc[order], first) if len(first) else doc
+    edges = np.searchsorted(shard[pick], np.arange(shards + 1))
+    chunk = left.column("chunk")[0].as_py()
+    out = [(-1, _pack(start.astype(np.int64), count.astype(np.int16), distinct.astype(np.int32), edges))]
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        part = pick[edges[k] : edges[k + 1]]
+        content = data[slices(start[part], length[part])]
+        where = slice(edges[k], edges[k + 1])
+        out.append((k, _pack(hashes[part], length[part].astype(np.int16), low[where], high[where], content)))
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    columns = [[k for k, _ in out], [chunk] * len(out), [b for _, b in out]]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "chunk", "segments"])
+
+
 def _smallest_holders(content: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of the segments, laid out one after the other with a mark behind each: the smallest
     document of the segments that hold the 50 bytes from there. Returns that and where each segment begins."""
     begin = np.concatenate(([0], np.cumsum(length + 1)))
     used = np.zeros(256, bool)
     text = np.zeros(begin[-1], np.uint8)
-    source = content[_slices(start, length)]
+    source = content[slices(start, length)]
     used[source] = True
     symbol = np.cumsum(used).astype(np.uint8)  # UTF-8 leaves 13 byte values unused
-    text[_slices(begin[:-1], length)] = symbol[source]
+    text[slices(begin[:-1], length)] = symbol[source]
     holder = np.repeat(doc, length + 1)
     lowest = np.full(len(text), _LAST)
 
@@ -189,7 +221,7 @@ def _smallest_holders(content: np.ndarray, start: np.ndarray, length: np.ndarray
 def _answer(table: pa.Table) -> pa.Table:
     """One shard: replies to its chunks."""
     schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("reply", pa.binary())])
-    parts = [_unpack(b.as_buffer(), np.uint64, np.int32, np.int64, np.int64, np.uint8) for b in table.column("segments")]
+    parts = [_unpack(b.as_buffer(), np.uint64, np.int16, np.int64, np.int64, np.uint8) for b in table.column("segments")]
     sizes = [len(p[0]) for p in parts]
     hashes, length, low, high, content = (np.concatenate(x) for x in zip(*parts))
     del parts
@@ -209,7 +241,7 @@ def _answer(table: pa.Table) -> pa.Table:
     np.minimum.at(least, same, low[pick])
     lowest, begin = _smallest_holders(content, start[pick][one], length[pick][one], least)
     strings = length[pick] - DEPTH + 1
-    where = _slices(begin[same], strings)
+    where = slices(begin[same], strings)
     found = lowest[where]
     edge = np.cumsum(strings) - strings
     removing = np.minimum.reduceat(found, edge) < high[pick]
@@ -220,7 +252,7 @@ def _answer(table: pa.Table) -> pa.Table:
         a, b = chunk_edge[k], chunk_edge[k + 1]
         keep = np.flatnonzero(removing[a:b]) + a
         if len(keep):
-            values = found[_slices(edge[keep], strings[keep])]
+            values = found[slices(edge[keep], strings[keep])]
             index = pick[keep] - sum(sizes[:k])
             out.append((chunk, shard, _pack(index.astype(np.int32), values)))
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema) if out else schema.empty_table()
@@ -243,33 +275,44 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, whole_characters: bool = F
     empty. ``whole_characters`` keeps characters of which only some bytes are covered, so that ``kept`` is UTF-8.
     """
     spark = docs.sparkSession
-    table = scratch.keep(with_row(_chunked(docs, key), "chunk").select("chunk", "payload", "n_bytes"), "chunks")
+    table = scratch.keep(with_row(chunk_rows(docs, CHUNK), "chunk").select("chunk", "payload", "n_bytes"), "chunks")
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
-    sent = arrow_map(
-        table.select("chunk", "payload"), lambda it: _send(it, key, shards),
-        "shard bigint, chunk bigint, segments binary", rows=8,
+    packed = table.select("chunk", "payload")
+    hashes = arrow_map(
+        packed, lambda it: _send_hashes(it, key, shards), "shard bigint, chunk bigint, hashes binary", rows=8
+    )
+    shared = hashes.groupBy("shard").applyInArrow(_shared_hashes, "chunk bigint, shard bigint, bits binary")
+    shared = scratch.keep(shared, "shared")
+    sent = packed.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
+        lambda left, right: _send_segments(left, right, key, shards), "shard bigint, chunk bigint, segments binary"
     )
-    replies = sent.groupBy("shard").applyInArrow(_answer, "chunk bigint, shard bigint, reply binary")
-    replies = scratch.keep(replies, "replies")
+    sent = scratch.keep(sent, "segments")
+    replies = sent.where("shard >= 0").groupBy("shard").applyInArrow(_answer, "chunk bigint, shard bigint, reply binary")
+    own_runs = sent.where("shard < 0").select("chunk", "shard", F.col("segments").alias("reply"))
+    replies = scratch.keep(replies.union(own_runs), "replies")
     row_type = docs.schema.simpleString()
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = _read(left.column("payload")[0].as_buffer())
+        rows = read_chunk(left.column("payload")[0].as_buffer())
         data, offsets = text_column(rows)
-        s = Segments(data, offsets, _doc_numbers(rows.column(rows.schema.get_field_index(key))), shards)
-        strings = s.length - DEPTH + 1
+        doc = _doc_numbers(rows.column(rows.schema.get_field_index(key)))
+        told = dict(zip(right.column("shard").to_pylist(), right.column("reply")))
+        start, count, distinct, shard_first = _unpack(told.pop(-1).as_buffer(), np.int64, np.int16, np.int32, np.int64)
+        count = count.astype(np.int64)
+        strings = np.zeros(int(shard_first[-1]), np.int64)
+        strings[distinct] = count
         begin = np.cumsum(strings) - strings
         lowest = np.full(int(strings.sum()), _LAST)
-        shard_first = np.searchsorted(s.shard, np.arange(shards + 1))
-        for shard, reply in zip(right.column("shard").to_pylist(), right.column("reply")):
+        for shard, reply in told.items():
             index, values = _unpack(reply.as_buffer(), np.int32, np.int64)
             which = shard_first[shard] + index
-            lowest[_slices(begin[which], strings[which])] = values
-        cut = lowest[_slices(begin[s.distinct], s.count)] < np.repeat(s.run_doc, s.count)
+            lowest[slices(begin[which], strings[which])] = values
+        run_doc = doc[np.searchsorted(offsets, start, side="right") - 1]
+        at = slices(start, count)[lowest[slices(begin[distinct], count)] < np.repeat(run_doc, count)]
         edge = np.zeros(len(data) + 1, np.int32)
-        edge[s.at[cut]] += 1
-        edge[s.at[cut] + DEPTH] -= 1
+        edge[at] += 1
+        edge[at + DEPTH] -= 1
         removed = np.cumsum(edge[:-1]) > 0
         if whole_characters:
             removed = _whole_characters(data, removed)
@@ -287,7 +330,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, whole_characters: bool = F
             pa.array(np.bincount(row[fresh], minlength=rows.num_rows), pa.int64()), pa.array(kept, pa.binary()),
         ], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = table.select("chunk", "payload").groupBy("chunk").cogroup(replies.groupBy("chunk"))
+    joined = packed.groupBy("chunk").cogroup(replies.groupBy("chunk"))
     return joined.applyInArrow(finish, f"doc {row_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 

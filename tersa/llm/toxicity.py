@@ -25,8 +25,8 @@ CELLS = 1 << 20
 #: Bytes of the stems; a word that is no longer is its own stem.
 STEMS = (5, 6, 7, 8)
 PRIOR_WORDS = 2000.0
-ERRORS = 2.0
-DRIFT = 0.02
+ERRORS = 3.0
+DRIFT = 0.05
 THRESHOLD = 0.3
 
 
@@ -49,14 +49,18 @@ def held_out_rows(key: Column) -> Column:
 
 
 def word_counts(docs: DataFrame, known: dict[int, int], key: str = "doc_id") -> np.ndarray:
-    """Counts by cell: in documents labelled 0, labelled 1, and in all. ``known`` is the bounded labelled sample."""
+    """By cell: counts in documents labelled 0, in documents labelled 1, and in the whole corpus.
+
+    In a labelled document the n-th occurrence counts about 1/n, so that no document makes a word toxic by
+    repeating it. ``known`` is the bounded labelled sample.
+    """
     spark = docs.sparkSession
     ids = np.array(sorted(known), np.int64)
     shared = spark.sparkContext.broadcast((ids, np.array([known[i] for i in ids.tolist()], np.int64)))
 
     def count(batches):
         ids, labels = shared.value
-        total = np.zeros((3, CELLS), np.int64)
+        total = np.zeros((3, CELLS))
         for batch in batches:
             data, offsets = text_column(batch)
             keys = batch.column(0).cast(pa.int64())
@@ -70,17 +74,17 @@ def word_counts(docs: DataFrame, known: dict[int, int], key: str = "doc_id") ->
                 known = [np.flatnonzero(of == k) for k in (0, 1)]
                 for kind in cells:
                     for k in (0, 1):
-                        if len(known[k]):
-                            np.add.at(total[k], kind[known[k]], 1)
+                        pairs, times = np.unique(words.row[known[k]] * CELLS + kind[known[k]], return_counts=True)
+                        np.add.at(total[k], pairs % CELLS, 1 + np.log(times))
                     np.add.at(total[2], kind, 1)
         used = np.flatnonzero(total[2])
         for a in range(0, len(used), 1 << 16):
             part = used[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(t[part]) for t in total)], names=["cell", "c0", "c1", "c2"])
 
-    counted = arrow_map(docs.select(key, "text"), count, "cell bigint, c0 bigint, c1 bigint, c2 bigint")
+    counted = arrow_map(docs.select(key, "text"), count, "cell bigint, c0 double, c1 double, c2 double")
     summed = counted.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "c2")]).toArrow()  # at most CELLS rows
-    out = np.zeros((3, CELLS), np.int64)
+    out = np.zeros((3, CELLS))
     for k in range(3):
         out[k, summed.column("cell").to_numpy()] = summed.column(f"c{k}").to_numpy()
     return out
@@ -123,15 +127,7 @@ class Calibration:
 
     scale: float = 1.0
     log_k: float = 0.0
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
-
-    def evidence(self, score, words):
-        """Nats beyond what chance gives in a document of so many words."""
-        return self.scale * score - self.log_k - np.log(np.maximum(words, 1))
-
-    def probability(self, features: np.ndarray) -> np.ndarray:
-        x = self.weights[0] + features @ np.array(self.weights[1:])
-        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
 
 def _scale(scores: np.ndarray, counts: np.ndarray) -> float:
@@ -222,10 +218,10 @@ def assess(
     positive, n = sum(sample.values()), len(sample)
     share = float(np.log((positive + 1) / (n - positive + 1)))
     both = 0 < positive < n
-    counts = word_counts(docs, sample, key) if both else np.zeros((3, CELLS), np.int64)
+    counts = word_counts(docs, sample, key) if both else np.zeros((3, CELLS))
     scores = word_scores(counts) if both else np.zeros(CELLS)
     found = scratch.keep(passages(docs, scores, key), "passages")
-    law = Calibration(_scale(scores - DRIFT, counts[2]), 0.0, (share, 0.0, 0.0))
+    law = Calibration(_scale(scores - DRIFT, counts[2]), 0.0, (share, 0.0, 0.0, 0.0))
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
 
     def described(law):
@@ -233,7 +229,7 @@ def assess(
         sure = F.filter(F.transform("segments", lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end"), value(s).alias("evidence"))), lambda s: s["evidence"] > 0)
         top = F.greatest(F.lit(-10.0), F.lit(law.scale) * best - F.lit(law.log_k) - F.log(F.greatest("n_words", F.lit(1))))
         rest = F.aggregate(sure, F.lit(0.0), lambda t, s: t + s["evidence"])
-        return sure, F.least(top, F.lit(30.0)), F.log1p(rest)
+        return sure, F.least(top, F.lit(30.0)), F.log1p(rest), F.log1p("n_words")
 
     if both:
         ids = docs.sparkSession.createDataFrame(pa.table({"_id": pa.array(list(sample), pa.int64()), "_y": pa.array(list(sample.values()), pa.int32())}))
@@ -243,15 +239,15 @@ def assess(
         use = s > 0
         if use.any():  # the mean of an extreme-value law lies Euler's constant above its location
             law.log_k = float(np.mean(law.scale * s[use] - np.log(np.maximum(words[use], 1))) - np.euler_gamma)
-        _, top, rest = described(law)
-        table = learnt.select(top.alias("top"), rest.alias("rest"), "_y").toArrow()
-        x = np.column_stack([table.column("top").to_numpy(), table.column("rest").to_numpy()])
+        _, top, rest, size = described(law)
+        table = learnt.select(top.alias("top"), rest.alias("rest"), size.alias("size"), "_y").toArrow()
+        x = np.column_stack([table.column(c).to_numpy() for c in ("top", "rest", "size")])
         y = table.column("_y").to_numpy().astype(float)
         order = np.lexsort((*x.T, y))
         law.weights = _logistic(x[order], y[order])
-    sure, top, rest = described(law)
+    sure, top, rest, size = described(law)
     w = [F.lit(v) for v in law.weights]
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(w[0] + w[1] * top + w[2] * rest)))
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(w[0] + w[1] * top + w[2] * rest + w[3] * size)))
     return found.select(key, held_out(F.col(key)).alias("held_out"), score.alias("score"), "n_words", sure.alias("passages"))
 
 
