@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from tersa.functions import vocabulary as V
 from tersa.functions.text import SPACE, contains_any, strip
 
-_DIGITS = r"\d+(_\d+)*"
-_FLOAT = rf"[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?"
-_STRICT = r"[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))"
-PLAIN_FLOAT = rf"^[{SPACE}]*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[{SPACE}]*$"
-PLAIN_INTEGER = rf"^[{SPACE}]*[+-]?\d{{1,18}}[{SPACE}]*$"
+# Possessive quantifiers: the engine neither recurses nor goes back, so a test takes time in proportion to the text.
+_DIGITS = r"\d++(?:_\d++)*+"
+_FLOAT = rf"[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+_UNSIGNED = r"(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?"
+_STRICT = rf"[+-]?(?:{_UNSIGNED}|(?i:inf(?:inity)?))"
+PLAIN_FLOAT = rf"^[{SPACE}]*+[+-]?{_UNSIGNED}[{SPACE}]*+$"
+PLAIN_INTEGER = rf"^[{SPACE}]*+[+-]?\d++[{SPACE}]*+$"
 
 
 def is_missing_marker(c: Column) -> Column:

@@ -12,6 +12,7 @@ is the mode for tables with hundreds of high-cardinality columns.
 
 from __future__ import annotations
 
+import json
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -21,25 +22,12 @@ from pyspark.sql import types as T
 from tersa.functions import dates, names, numbers, text
 from tersa.functions import vocabulary as V
 from tersa.operators.catalog import DATE, NUMBER, OTHER, TEXT, kind_of
-from tersa.operators.selection import FEW_VALUES, exact_medians, ordered_medians
+from tersa.operators.selection import FEW_VALUES, exact_medians, ordered_medians, shared
 from tersa.sources.local import local_frame
 
 _NARROW_BYTES = 40
 
 
-def shared(df: DataFrame, *keys: str) -> DataFrame:
-    """Let several consumers of an aggregate share one shuffle.
-
-    Catalyst would prune the columns that a consumer does not need, or push its filters below the
-    grouping; the consumers' exchanges would then differ and the source would be scanned and
-    shuffled once for each. Tying the keys to all other columns by a test that always holds keeps
-    the exchanges equal, so that Spark re-uses the first.
-    """
-    others = [c for c in df.columns if c not in keys]
-    always = F.xxhash64(*others) >= F.lit(-(2**63))
-    return df.withColumns({k: F.when(always, F.col(k)) for k in keys})
-
-
 def weight(condition: Column) -> Column:
     """Rows that meet a condition, counted over the value table."""
     return F.sum(F.when(condition, F.col("n")).otherwise(0))
@@ -101,23 +89,25 @@ class Analysis:
         return self._stack(parts, 2, "position", "text")
 
     def typed_rows(self) -> DataFrame:
-        """(row, position, whole, number): one row per cell of the number and date columns.
+        """(row, position, whole, number, digits): one row per cell of the number and date columns.
 
-        Whole numbers and dates (as microseconds) travel as bigint, other numbers as double.
+        Whole numbers and dates (as microseconds) travel as bigint, other numbers as double, decimals
+        with their digits besides: a double would make different ones equal.
         """
         parts = []
         for i in self._positions(NUMBER, DATE):
             field = self.df.schema[i]
             c = F.col(f"`{field.name}`")
             if self.kinds[i] == DATE:
-                pair = [F.unix_micros(c.cast("timestamp")), F.lit(None).cast("double")]
+                cell = [F.unix_micros(c.cast("timestamp")), F.lit(None).cast("double")]
             elif isinstance(field.dataType, T.IntegralType):
-                pair = [c.cast("bigint"), F.lit(None).cast("double")]
+                cell = [c.cast("bigint"), F.lit(None).cast("double")]
             else:
                 number = c.cast("double")
-                pair = [F.lit(None).cast("bigint"), F.when(~F.isnan(number), number)]
-            parts += [F.lit(i), *pair]
-        return self._stack(parts, 3, "position", "whole", "number")
+                cell = [F.lit(None).cast("bigint"), F.when(~F.isnan(number), number)]
+            digits = c if isinstance(field.dataType, T.DecimalType) else F.lit(None)
+            parts += [F.lit(i), *cell, digits.cast("string")]
+        return self._stack(parts, 4, "position", "whole", "number", "digits")
 
     def _stack(self, parts: list[Column], width: int, *names: str) -> DataFrame:
         stacked = F.stack(F.lit(len(parts) // width), *parts).alias(*names)
@@ -139,8 +129,8 @@ class Analysis:
 
     @cached_property
     def typed_values(self) -> DataFrame:
-        """(position, whole, number, n, first): the same for number and date columns."""
-        return self._counted(self.typed_rows(), "whole", "number")
+        """(position, whole, number, digits, n, first): the same for number and date columns."""
+        return self._counted(self.typed_rows(), "whole", "number", "digits")
 
     @cached_property
     def text_cells(self) -> DataFrame:
@@ -190,7 +180,7 @@ class Analysis:
         dated = F.col("position").isin(self._positions(DATE))
         return (
             F.when(dated, F.timestamp_micros("whole").cast("string"))
-            .otherwise(F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string")))
+            .otherwise(F.coalesce(F.col("whole").cast("string"), F.col("digits"), F.col("real").cast("string")))
         )
 
     def has(self, *kinds: str) -> bool:
@@ -263,7 +253,7 @@ class Analysis:
             value = F.when(F.col("present"), F.xxhash64("text")).alias("value")
             parts.append(self.text_cells.select("position", "number", value))
         if self.has(NUMBER, DATE):
-            value = F.when(F.col("filled"), F.xxhash64(F.coalesce("whole", F.lit(0).cast("bigint")), "real"))
+            value = F.when(F.col("filled"), F.xxhash64(F.coalesce("whole", F.lit(0).cast("bigint")), "real", "digits"))
             parts.append(self.typed_cells.select("position", "number", value.alias("value")))
         return reduce(DataFrame.unionByName, parts).groupBy("position").agg(
             F.approx_count_distinct("value").alias("unique_count"),
@@ -383,25 +373,47 @@ class Analysis:
     def samples(self, k: int = 5) -> DataFrame:
         """(position, sample_values): the first k distinct non-blank values of each column.
 
-        In approximate mode they are taken from the first rows of the table only.
+        In approximate mode values are not grouped: a pass then finds each column's first rows, and
+        columns that repeat a few values in these take another pass without them.
         """
-        if self.approx:
-            ordered = self.df.orderBy(F.col(f"`{self.order_by}`")) if self.order_by else self.df
-            return Analysis(ordered.limit(10 * k), self.order_by).samples(k)
         parts = []
         if self.has(TEXT, OTHER):
             present = F.coalesce(text.strip(F.col("text")) != "", F.lit(False))
             parts.append(self.text_values.where(present).select("position", "text", "first", "n"))
         if self.has(NUMBER, DATE):
             shown = self.typed_text().alias("text")
-            typed = self.typed_cells.where("filled").select("position", "whole", "real", "first", "n")
+            typed = self.typed_cells.where("filled").select("position", "whole", "real", "digits", "first", "n")
             parts.append(typed.select("position", shown, "first", "n"))
         values = reduce(DataFrame.unionByName, parts)
         window = Window.partitionBy("position").orderBy("first", "n", "text")
+        if self.approx:
+            return self._first_values(values, window, k)
         first = values.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
         listed = F.array_sort(F.collect_list(F.struct("rank", "text")))["text"]
         return first.groupBy("position").agg(F.array_distinct(listed).alias("sample_values"))
 
+    def _first_values(self, values: DataFrame, window: Window, k: int) -> DataFrame:
+        """The first k distinct values of ungrouped cells; at most k passes, ``10 * k`` rows a column each."""
+        found: dict[int, list[str]] = {i: [] for i in range(len(self.columns))}
+        open_, size = list(found), 10 * k
+        while open_:
+            known = [
+                (F.col("position") == i) & F.col("text").isin(found[i]) for i in open_ if found[i]
+            ]
+            rest = values.where(F.col("position").isin(open_))
+            rest = rest.where(~reduce(Column.__or__, known)) if known else rest
+            ranked = rest.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= size)
+            rows = ranked.select("position", "rank", "text").orderBy("position", "rank").collect()
+            read: dict[int, int] = {}
+            for r in rows:
+                read[r.position] = read.get(r.position, 0) + 1
+                if len(found[r.position]) < k and r.text not in found[r.position]:
+                    found[r.position].append(r.text)
+            open_ = [i for i in open_ if read.get(i, 0) == size and len(found[i]) < k]
+        listed = [(i, json.dumps(v)) for i, v in found.items() if v]
+        local = local_frame(self.df.sparkSession, listed, "position int, listed string")
+        return local.select("position", F.from_json("listed", "array<string>").alias("sample_values"))
+
     def _numbers(self, positions: list[int]) -> DataFrame:
         """(position, v, w): the numbers of some columns with their row counts."""
         parts = []
@@ -421,7 +433,7 @@ class Analysis:
             std = F.coalesce("std", F.lit(0.0)).alias("std")
             return self._facts_where(numeric, "position", mean, std, "median")
         limits = self._facts_where(
-            numeric, "position", "lo", "hi", F.col("numbers").alias("total"), mean
+            numeric, "position", F.col("numbers").alias("total"), mean
         )
         found = [r for r in self.fact_rows if r.inferred_type == "numeric" and r.numbers]
         if not found:
@@ -451,7 +463,8 @@ class Analysis:
     def case_variants(self) -> DataFrame:
         """(position, case_variants): stripped spellings minus spellings that differ without case.
 
-        One shuffle on (column, lower-case value) serves both groupings.
+        Exact in both modes. One shuffle on (column, lower-case value) serves both groupings, of
+        spellings that each task has made distinct.
         """
         eligible = self._facts_where(wants_case_check(), "position")
         positions = [r.position for r in eligible.collect()]
@@ -461,12 +474,7 @@ class Analysis:
             self.text_cells.where(F.col("position").isin(positions) & F.col("text").isNotNull())
             .select("position", "low", "t")
         )
-        if self.approx:
-            return spelled.groupBy("position").agg(
-                F.greatest(F.approx_count_distinct("t") - F.approx_count_distinct("low"), F.lit(0))
-                .alias("case_variants")
-            )
-        spellings = spelled.repartition("position", "low").distinct()
+        spellings = spelled.distinct() if self.approx else spelled.repartition("position", "low").distinct()
         extra = spellings.groupBy("position", "low").agg((F.count(F.lit(1)) - 1).alias("extra"))
         return extra.groupBy("position").agg(F.sum("extra").alias("case_variants"))
 
@@ -520,6 +528,15 @@ def wants_case_check() -> Column:
 # --- whole-row facts -------------------------------------------------------------------------------
 
 
+def _encoded(kind: T.DataType, c: Column) -> Column:
+    """Text that is equal where grouping finds the values equal: 0.0 and -0.0 are, and nested fields are named."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (c + F.lit(0.0).cast(kind)).cast("string")
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    return F.hex(c) if isinstance(kind, T.BinaryType) else c.cast("string")
+
+
 def row_key(df: DataFrame) -> list[Column]:
     """Columns that identify a row's content.
 
@@ -535,8 +552,8 @@ def row_key(df: DataFrame) -> list[Column]:
     if None not in sizes and sum(sizes) <= _NARROW_BYTES:
         return [c.alias(f"k{i}") for i, c in enumerate(columns)]
     parts = []
-    for c in columns:
-        s = c.cast("string")
+    for field, c in zip(df.schema, columns):
+        s = _encoded(field.dataType, c)
         parts.append(F.coalesce(F.concat(F.octet_length(s).cast("string"), F.lit(":"), s), F.lit("-")))
     return [F.unhex(F.sha2(F.concat(*parts), 256)).alias("k0")]
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tersa.functions import dates, numbers, text
 from tersa.functions import vocabulary as V
-from tersa.operators.selection import column_median, most_frequent
+from tersa.operators.selection import grouped_medians, most_frequent
 from tersa.sources.hygiene import row_hash
 from tersa.sources.local import local_frame
 
@@ -151,7 +151,7 @@ def _datetime_stages(kind, params):
     read_as = "timestamp" if dates.wants_time(target) else "date"
     return [
         lambda c: text.strip(c.cast("string")),
-        lambda c: dates.read_stripped(c, read_as),
+        lambda c: dates.read_stripped(c, read_as, bool(params.get("any_year"))),
         lambda c: dates.strftime(c, target),
     ]
 
@@ -201,22 +201,67 @@ def _fill_stages(kind, params):
     return [lambda c: F.coalesce(_present(kind)(c), fill)]
 
 
-def fill_statistic(df: DataFrame, column: str, kind: str, params: dict) -> Column:
-    """The filling value as a scalar subquery over the current table: one pass, one row."""
-    c = F.col(f"`{column}`")
-    strategy = params["strategy"]
-    if strategy == "mode":
-        present = _present(kind)(c)
-        return F.coalesce(
-            most_frequent(df, present).scalar(),
-            F.lit(str(params.get("value", V.DEFAULT_FILL))) if kind == TEXT else F.lit(None),
-        )
-    number = numbers.finite(_coerced(kind)(c))
-    if strategy == "mean":
-        statistic = df.select(number.alias("v")).agg(F.avg("v").alias("mean")).scalar()
-    else:
-        statistic = column_median(df, number).scalar()
-    return numbers.float_text(statistic) if kind == TEXT else statistic
+def fill_statistics(
+    df: DataFrame, wanted: list[tuple[str, str, dict]], prefix: str = "__statistics"
+) -> tuple[DataFrame, list[Column]]:
+    """The table with its statistics, and the filling value of each (column, kind, parameters).
+
+    All means are one scalar subquery, all medians another, all most frequent texts a third, whatever
+    the number of columns. Each is a column of its own, named with ``prefix``, that the fills read fields of:
+    referred to by each fill, Spark would run it once for each.
+    """
+    extra: dict[str, Column] = {}
+
+    def attached(name: str, value: Column) -> Column:
+        extra[f"{prefix}_{name}"] = value
+        return F.col(f"{prefix}_{name}")
+
+    def picked(rows: DataFrame, value: str, slots: list[int], kind: str) -> Column:
+        fields = [F.max(F.when(F.col("k") == i, F.col(value))).cast(kind).alias(f"s{i}") for i in slots]
+        return rows.agg(*fields).select(F.struct(*[f"s{i}" for i in slots])).scalar()
+
+    def stacked(slots: list[int], value: Callable[[int], Column], kind: str) -> DataFrame:
+        parts = [x for i in slots for x in (F.lit(i), value(i).cast(kind))]
+        return df.select(F.stack(F.lit(len(slots)), *parts).alias("k", "v"))
+
+    def number(i: int) -> Column:
+        column, kind, _ = wanted[i]
+        return numbers.finite(_coerced(kind)(F.col(f"`{column}`")))
+
+    def present(i: int) -> Column:
+        column, kind, _ = wanted[i]
+        return _present(kind)(F.col(f"`{column}`"))
+
+    slots: dict[str, list[int]] = {"mean": [], "median": [], "mode": []}
+    for i, (_, _, params) in enumerate(wanted):
+        slots[params["strategy"]].append(i)
+    found: dict[int, Column] = {}
+    if slots["mean"]:
+        means = stacked(slots["mean"], number, "double").groupBy("k").agg(F.avg("v").alias("mean"))
+        row = attached("mean", picked(means, "mean", slots["mean"], "double"))
+        found |= {i: row[f"s{i}"] for i in slots["mean"]}
+    if slots["median"]:
+        medians = grouped_medians(stacked(slots["median"], number, "double"))
+        row = attached("median", picked(medians, "median", slots["median"], "double"))
+        found |= {i: row[f"s{i}"] for i in slots["median"]}
+    words = [i for i in slots["mode"] if wanted[i][1] == TEXT]
+    if words:
+        counted = stacked(words, present, "string").where("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+        first = Window.partitionBy("k").orderBy(F.desc("n"), "v")
+        top = counted.withColumn("place", F.row_number().over(first)).where("place = 1")
+        row = attached("mode", picked(top, "v", words, "string"))
+        found |= {i: row[f"s{i}"] for i in words}
+    for i in set(slots["mode"]) - set(words):  # other types keep theirs: one subquery a column
+        found[i] = attached(f"mode_{i}", most_frequent(df, present(i)).scalar())
+    values = []
+    for i, (_, kind, params) in enumerate(wanted):
+        value = found[i]
+        if params["strategy"] == "mode":
+            default = F.lit(str(params.get("value", V.DEFAULT_FILL))) if kind == TEXT else F.lit(None)
+            values.append(F.coalesce(value, default))
+        else:
+            values.append(numbers.float_text(value) if kind == TEXT else value)
+    return df.withColumns(extra), values
 
 
 # --- what counts as a changed cell -------------------------------------------------------------
@@ -354,8 +399,13 @@ def remove_duplicates(
     return first.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def map_large_category(df: DataFrame, column: str, mappings: dict[str, str]) -> DataFrame:
-    """Replacement from a large dictionary by a join; broadcast only up to a fixed entry count."""
+def map_large_category(
+    df: DataFrame, column: str, mappings: dict[str, str], keep_as: str | None = None
+) -> DataFrame:
+    """Replacement from a large dictionary by a join; broadcast only up to a fixed entry count.
+
+    ``keep_as`` names an extra column with the value before.
+    """
     spark = df.sparkSession
     table = local_frame(spark, list(mappings.items()), "__from string, __to string")
     table = table.withColumn("__known", F.lit(True))
@@ -364,8 +414,9 @@ def map_large_category(df: DataFrame, column: str, mappings: dict[str, str]) ->
     c = F.col(f"`{column}`")
     joined = df.join(table, c.cast("string") == F.col("__from"), "left")
     label = F.when(F.col("__known"), F.col("__to")).otherwise(c.cast("string"))
+    before = [c.alias(keep_as)] if keep_as else []
     return joined.select(
-        *[label.alias(n) if n == column else F.col(f"`{n}`") for n in df.columns]
+        *[label.alias(n) if n == column else F.col(f"`{n}`") for n in df.columns], *before
     )
 
 
@@ -388,11 +439,13 @@ def apply_operation(
         return df.drop(column)
     if operation == "normalize_category" and len(params["mappings"]) > SMALL_MAPPING:
         return map_large_category(df, column, params["mappings"])
+    names = df.columns
     if needs_statistic(operation, params):
-        params = {**params, "__fill__": fill_statistic(df, column, kinds[column], params)}
+        df, (fill,) = fill_statistics(df, [(column, kinds[column], params)])
+        params = {**params, "__fill__": fill}
     for stage in op.stages(kinds[column], params):
         df = df.withColumn(column, stage(F.col(f"`{column}`")))
-    return df
+    return df.select(*[F.col(f"`{c}`") for c in names])
 
 
 def needs_statistic(operation: str, params: dict) -> bool:

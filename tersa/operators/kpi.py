@@ -38,6 +38,7 @@ ROLE_WORDS = {
 AHT_GOOD_UP_TO, QUALITY_GOOD_FROM, CONVERSION_GOOD_FROM = 450.0, 80.0, 10.0
 ABSENCE_RATE_BAD_OVER, PRODUCTIVITY_GOOD_FROM, ABSENCE_DAYS_BAD_OVER = 15.0, 85.0, 10.0
 
+# The ids of the KPIs.
 TITLES = {
     "kpi-agents": ("Agentes", "agentes distintos", "operaciones"),
     "kpi-aht": ("AHT medio", "segundos por llamada", "operaciones"),
@@ -56,23 +57,14 @@ TITLES = {
     "kpi-gen-cols": ("Columnas", "", "general"),
 }
 
-RECOMMENDATIONS = {
-    "contact_center": [
-        "Ajustar turnos donde el AHT es más alto.",
-        "Formar a los agentes con calidad por debajo de 80.",
-        "Vigilar el absentismo en horas punta.",
-    ],
-    "sales": [
-        "Proponer ventas cruzadas en los canales con más pedidos.",
-        "Asegurar existencias del producto líder.",
-        "Seguir la facturación por canal cada día.",
-    ],
-    "people_analytics": [
-        "Acompañar a los equipos con productividad por debajo de 85.",
-        "Buscar las causas de las ausencias repetidas.",
-        "Revisar los salarios junto con las evaluaciones.",
-    ],
-    "general": ["Definir medidas sobre las columnas numéricas.", "Agrupar por las categorías."],
+# What a KPI that is not on its good side calls for, with the threshold that it missed.
+ADVICE = {
+    "kpi-aht": ("Acortar las llamadas: el tiempo medio pasa de", AHT_GOOD_UP_TO),
+    "kpi-quality": ("Reforzar la formación: la calidad media no llega a", QUALITY_GOOD_FROM),
+    "kpi-conv": ("Revisar el argumentario: la conversión media no llega a", CONVERSION_GOOD_FROM),
+    "kpi-absenteeism": ("Estudiar las ausencias: su tasa pasa de", ABSENCE_RATE_BAD_OVER),
+    "kpi-avg-prod": ("Acompañar a la plantilla: la productividad media no llega a", PRODUCTIVITY_GOOD_FROM),
+    "kpi-total-abs": ("Estudiar las ausencias: los días perdidos pasan de", ABSENCE_DAYS_BAD_OVER),
 }
 
 
@@ -109,7 +101,7 @@ class KpiReport:
     kpis: DataFrame
     breakdown: DataFrame | None
     narrative: DataFrame
-    recommendations: list[str]
+    recommendations: DataFrame
 
 
 class _Domain:
@@ -252,7 +244,20 @@ def kpi_report(
         subtitle = F.when(F.col("kpi_id") == "kpi-gen-cols", F.lit(built.subtitle))
         kpis = kpis.withColumn("subtitle", F.coalesce(subtitle, F.col("subtitle")))
     breakdown = category_breakdown(df, found["category"]) if "category" in found else None
-    return KpiReport(domain, found, kpis, breakdown, built.narrative(), RECOMMENDATIONS[domain])
+    return KpiReport(domain, found, kpis, breakdown, built.narrative(), recommendations(kpis))
+
+
+def recommendations(kpis: DataFrame) -> DataFrame:
+    """(kpi_id, change_direction, recommendation): one row for each KPI that is not on its good side."""
+    texts = {k: f"{text} {numbers_text(limit)}" for k, (text, limit) in ADVICE.items()}
+    advice = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
+    missed = kpis.where(F.col("change_direction").isin("neutral", "negative") & F.col("numeric_value").isNotNull())
+    text = F.concat(F.element_at(advice, F.col("kpi_id")), F.lit(" ("), "value", F.lit(")"))
+    return missed.select("kpi_id", "change_direction", text.alias("recommendation"))
+
+
+def numbers_text(limit: float) -> str:
+    return f"{limit:g}"
 
 
 def category_breakdown(df: DataFrame, column: str) -> DataFrame:

@@ -27,7 +27,11 @@ def _column_warnings() -> Column:
 
 
 def profile(source: DataFrame | Analysis, order_by: str | None = None, approx: bool = False) -> DataFrame:
-    """One row per column: type, hint, nulls, distinct values, sample, statistics, warnings."""
+    """One row per column: type, hint, nulls, distinct values, sample, statistics, warnings.
+
+    ``estimated``: whether unique_count, median and std (and what rests on unique_count: the types
+    "categorical" and "text", two of the warnings) come from sketches, as they do with ``approx``.
+    """
     analysis = _analysis(source, order_by, approx)
     facts = analysis.facts.drop("std", "median")
     if analysis.has(NUMBER, DATE) and not analysis.approx:
@@ -54,6 +58,7 @@ def profile(source: DataFrame | Analysis, order_by: str | None = None, approx: b
         round2(F.col("median")).alias("median"),
         round2(F.col("std")).alias("std"),
         _column_warnings().alias("warnings"),
+        F.lit(analysis.approx).alias("estimated"),
     )
 
 

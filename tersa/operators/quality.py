@@ -395,9 +395,10 @@ def quality_overall(source: DataFrame | Analysis) -> DataFrame:
 
 
 def before_after(
-    before: DataFrame | Analysis, after: DataFrame | Analysis, applied_steps: int | None = None
+    before: DataFrame | Analysis, after: DataFrame | Analysis, applied_steps: int | None = None,
+    seconds: float | None = None,
 ) -> DataFrame:
-    """One row: sizes and overall score of a table before and after cleaning, steps applied."""
+    """One row: sizes and overall score of a table before and after cleaning, steps applied, seconds taken."""
     first, second = _analysis(before), _analysis(after)
 
     def side(analysis: Analysis) -> DataFrame:
@@ -413,4 +414,5 @@ def before_after(
         F.lit(len(second.columns)).cast("bigint").alias("columns_after"),
         F.col("b.score").alias("score_before"), F.col("a.score").alias("score_after"),
         F.lit(applied_steps).cast("bigint").alias("applied_steps"),
+        F.lit(seconds).cast("double").alias("execution_seconds"),
     )

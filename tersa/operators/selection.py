@@ -1,9 +1,9 @@
 """Exact medians that never gather a column's values into one task.
 
-``median``/``percentile`` keep every distinct value of a group in one aggregation buffer. Here the
-value range of each group is cut into 2^32 cells on a logarithmic scale; two counting passes of at
-most 65 536 counters per group find the cell that holds the middle, and only that cell's distinct
-values are put in order. All passes are plain aggregates with map-side combine.
+``median``/``percentile`` keep every distinct value of a group in one aggregation buffer. Here a value
+is a 64-bit number that orders like it (its exponent, then its mantissa). Four counting passes find
+16 bits each, with at most 65 536 counters per group, however the values are spread. All passes are plain
+aggregates with map-side combine over one shared exchange.
 """
 
 from __future__ import annotations
@@ -11,20 +11,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CELLS = float(2**32 - 1)
 FEW_VALUES = 65_536
+_LEAST = -1022  # the exponent of zero and of all numbers below the normal ones
 
 
-def _log_scale(x: Column) -> Column:
-    return F.signum(x) * F.log1p(F.abs(x))
+def shared(df: DataFrame, *keys: str) -> DataFrame:
+    """Let several consumers of an aggregate share one shuffle.
+
+    Catalyst would prune the columns that a consumer does not need, or push its filters below the
+    grouping; the consumers' exchanges would then differ and the source would be scanned and
+    shuffled once for each. Tying the keys to all other columns by a test that always holds keeps
+    the exchanges equal, so that Spark re-uses the first.
+    """
+    others = [c for c in df.columns if c not in keys]
+    always = F.xxhash64(*others) >= F.lit(-(2**63))
+    return df.withColumns({k: F.when(always, F.col(k)) for k in keys})
 
 
-def _with_cell(values: DataFrame, limits: DataFrame, key: str) -> DataFrame:
-    joined = values.join(F.broadcast(limits), key)
-    y, lo, hi = _log_scale(F.col("v")), _log_scale(F.col("lo")), _log_scale(F.col("hi"))
-    share = F.least(F.greatest((y - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))
-    cell = F.when(hi > lo, F.floor(share * _CELLS)).otherwise(F.lit(0)).cast("bigint")
-    return joined.withColumn("cell", cell)
+def _with_order(values: DataFrame) -> DataFrame:
+    """Adds ``order``: a bigint that orders as the finite doubles of ``v`` do, one for each of them.
+
+    Powers of two and divisions by them are exact, so no two values share a number; the logarithm
+    only guesses the exponent, which is then put right.
+    """
+    size = F.abs("v")
+    guess = F.greatest(F.lit(_LEAST), F.least(F.lit(1023), F.floor(F.log2("size")).cast("int")))
+    sized = values.withColumn("size", size).withColumn("guess", F.coalesce(guess, F.lit(_LEAST)))
+    power = lambda e: F.pow(F.lit(2.0), e)
+    right = (
+        F.when((F.col("guess") > _LEAST) & (F.col("size") < power(F.col("guess"))), F.col("guess") - 1)
+        .when(F.col("size") >= power(F.col("guess") + 1), F.col("guess") + 1)
+        .otherwise(F.col("guess"))
+    )
+    exact = sized.withColumn("exponent", right).withColumn("part", F.col("size") / power(F.col("exponent")))
+    # part lies in [1, 2), or in [0, 1) below the normal numbers
+    fraction = ((F.col("part") - F.when(F.col("part") >= 1, 1.0).otherwise(0.0)) * float(2**52)).cast("bigint")
+    step = F.when(F.col("part") >= 1, F.col("exponent") - _LEAST + 1).otherwise(0).cast("bigint")
+    whole = F.shiftleft(step, 52) + fraction
+    order = F.when(F.col("v") < 0, -whole - 1).otherwise(whole)
+    return exact.withColumn("order", order).drop("size", "guess", "exponent", "part")
 
 
 def _pick(counted: DataFrame, group: list[str], order: str, before: Column, keep: list[str]) -> DataFrame:
@@ -57,48 +82,39 @@ def ordered_medians(values: DataFrame, limits: DataFrame, key: str) -> DataFrame
 def exact_medians(values: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     """Median of ``v`` weighted by ``w`` per ``key``.
 
-    ``values``: (key, v double, w bigint); NULLs are ignored. ``limits``: (key, lo, hi, total), one row
-    per key; the number of keys must be small (profiled columns), as ``limits`` is broadcast.
+    ``values``: (key, v double, w bigint); NULLs are ignored. ``limits``: (key, total), one row per key;
+    the number of keys must be small (profiled columns), as ``limits`` is broadcast.
     """
-    known = values.where(F.col("v").isNotNull())
-    cells = _with_cell(known, limits.select(key, "lo", "hi"), key)
-    wanted = _wanted_ranks(limits, key)
-
-    high, low = F.shiftright("cell", 16), F.col("cell").bitwiseAND(F.lit(65535).cast("bigint"))
-    # Pass 1: at most 65 536 counters per key.
-    coarse = cells.groupBy(key, high.alias("hi_bits")).agg(F.sum("w").alias("w"))
-    coarse = coarse.join(F.broadcast(wanted), key)
-    hit1 = _pick(coarse, [key, "rank"], "hi_bits", F.lit(0), [key, "rank", "hi_bits"])
-    # Pass 2: the same inside the cell found, one row per wanted rank.
-    inside = cells.withColumn("hi_bits", high).join(F.broadcast(hit1), [key, "hi_bits"])
-    fine = inside.groupBy(key, "rank", "hi_bits", "below", low.alias("lo_bits")).agg(
-        F.sum("w").alias("w")
-    )
-    hit2 = _pick(
-        fine.withColumnRenamed("below", "base"), [key, "rank"], "lo_bits", F.col("base"),
-        [key, "rank", "hi_bits", "lo_bits"],
-    )
-    # Pass 3: the distinct values of one cell in order.
-    located = cells.withColumn("hi_bits", high).withColumn("lo_bits", low)
-    last = located.join(F.broadcast(hit2), [key, "hi_bits", "lo_bits"])
-    last = last.groupBy(key, "rank", "below", "v").agg(F.sum("w").alias("w"))
-    hit3 = _pick(
-        last.withColumnRenamed("below", "base"), [key, "rank"], "v", F.col("base"), [key, "v"]
-    )
-    return hit3.groupBy(key).agg(F.avg("v").alias("median"))
+    known = _with_order(values.where(F.col("v").isNotNull()))
+    # No group has a prefix at first; each pass adds 16 bits to the prefix of the wanted ranks.
+    hit = _wanted_ranks(limits, key).withColumns({"prefix": F.lit(0).cast("bigint"), "below": F.lit(0).cast("bigint")})
+    for done in (64, 48, 32, 16):
+        own = F.shiftright("order", done).alias("prefix") if done < 64 else F.lit(0).cast("bigint").alias("prefix")
+        bits = F.shiftright("order", done - 16)
+        # The top bits keep their sign, so that negative values come first.
+        bits = bits if done == 64 else bits.bitwiseAND(F.lit(65535).cast("bigint"))
+        inside = known.select(key, "v", "w", own, bits.alias("bits")).join(F.broadcast(hit), [key, "prefix"])
+        counted = inside.groupBy(key, "rank", "prefix", "below", "bits").agg(F.sum("w").alias("w"), F.min("v").alias("v"))
+        counted = counted.withColumnRenamed("below", "base")
+        found = _pick(counted, [key, "rank"], "bits", F.col("base"), [key, "rank", "prefix", "bits", "v"])
+        prefix = F.col("bits") if done == 64 else F.shiftleft("prefix", 16) + F.col("bits")
+        hit = found.select(key, "rank", prefix.alias("prefix"), "below", "v")
+        if done > 16:
+            hit = hit.drop("v")
+    return hit.groupBy(key).agg(F.avg("v").alias("median"))
+
+
+def grouped_medians(numbers: DataFrame, key: str = "k") -> DataFrame:
+    """(key, median): the exact medians of (key, v); one grouping of the values serves all passes."""
+    counted = numbers.where(F.col("v").isNotNull()).groupBy(key, "v").agg(F.count(F.lit(1)).alias("w"))
+    counted = shared(counted, key, "v")
+    limits = counted.groupBy(key).agg(F.sum("w").alias("total"))
+    return exact_medians(counted, limits, key)
 
 
 def column_median(df: DataFrame, number: Column) -> DataFrame:
     """One row, one column ``median``: the exact median of a numeric expression."""
-    counted = (
-        df.select(number.alias("v")).where(F.col("v").isNotNull())
-        .groupBy("v").agg(F.count(F.lit(1)).alias("w"))
-        .select(F.lit(1).alias("k"), "v", "w")
-    )
-    limits = counted.groupBy("k").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("total")
-    )
-    return exact_medians(counted, limits, "k").agg(F.max("median").alias("median"))
+    return grouped_medians(df.select(F.lit(1).alias("k"), number.alias("v"))).agg(F.max("median").alias("median"))
 
 
 def most_frequent(df: DataFrame, value: Column) -> DataFrame:

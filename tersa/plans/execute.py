@@ -4,15 +4,15 @@ Consecutive row steps are fused: the n-th stage of every column goes into the n-
 a plan of hundreds of steps is a handful of projections. Only steps that need an aggregate of the
 current table (mean, median, mode) or that remove rows start a new segment.
 
-The audit is an ordinary aggregate over each segment rather than an accumulator that rides on
-the write: accumulators count twice when a lost executor makes Spark re-run a map stage.
+The audit is one ordinary aggregate for each segment rather than an accumulator that rides on the
+write: accumulators count twice when a lost executor makes Spark re-run a map stage. What a dedup drops is
+the difference of its neighbours' row counts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from functools import reduce
 from time import perf_counter
 
 from pyspark.errors import PySparkException
@@ -79,15 +79,26 @@ def _hash_text(side: str) -> Column:
 class _Segment:
     """Row and schema steps that share projections over one base table."""
 
-    def __init__(self, base: DataFrame):
+    def __init__(self, base: DataFrame, hidden: set[str] = frozenset()):
         self.base = base
-        self.names = {c: c for c in base.columns}  # visible name -> physical column
+        self.names = {c: c for c in base.columns if c not in hidden}  # visible name -> physical column
         self.kinds = catalog.column_kinds(base)
         self.layers: list[dict[str, Column]] = []
         self.flags: list[dict[str, Column]] = []
         self.depth: dict[str, int] = {}
         self.audited: list[tuple[int, Step, list[str]]] = []
 
+    @classmethod
+    def mapped(cls, df: DataFrame, position: int, step: Step, kind: str, params: dict) -> _Segment:
+        """A segment that begins with a large dictionary: the value before rides along for the count."""
+        saved = f"__before_{position}"
+        segment = cls(catalog.map_large_category(df, step.target, params["mappings"], saved), {saved})
+        changed = catalog.get_operation(step.operation).changed
+        flag = changed(F.col(saved), F.col(f"`{step.target}`"), kind, params)
+        segment.flags[segment._layer(0)][f"__modified_{position}"] = flag
+        segment.audited.append((position, step, ["modified"]))
+        return segment
+
     def visible_kinds(self) -> dict[str, str]:
         return {name: self.kinds[phys] for name, phys in self.names.items()}
 
@@ -145,20 +156,42 @@ class _Segment:
         df = self._project(with_flags=False)
         return df.select(*[F.col(f"`{p}`").alias(n) for n, p in self.names.items()])
 
-    def audit(self) -> DataFrame | None:
-        """One aggregate for all steps of the segment; reads only the columns they touch."""
-        if not self.audited:
-            return None
+    def totals(self) -> DataFrame:
+        """One row: the segment's rows and what its steps counted; reads only the columns they touch."""
         df = self._project(with_flags=True)
         totals = [F.count(F.lit(1)).alias("rows")]
         for position, _, flags in self.audited:
             totals += [F.count_if(f"__{f}_{position}").alias(f"{f}_{position}") for f in flags]
-        rows = F.col("rows")
-        entries = []
-        for position, step, flags in self.audited:
-            counts = {f: F.col(f"{f}_{position}") for f in flags}
-            entries.append(_audit_entry(position, step, "applied", rows, counts))
-        return df.agg(*totals).select(F.inline(F.array(*entries)))
+        return df.agg(*totals)
+
+    def entries(self, totals: Column) -> list[Column]:
+        """The audit entries of the segment's steps, read from its totals."""
+        return [
+            _audit_entry(position, step, "applied", totals["rows"], {f: totals[f"{f}_{position}"] for f in flags})
+            for position, step, flags in self.audited
+        ]
+
+
+class _Audit:
+    """Collects audit entries; every segment is aggregated once, whatever reads its row count."""
+
+    def __init__(self, spark):
+        self.spark, self.totals, self.entries = spark, {}, []
+
+    def total(self, name: str, row: DataFrame) -> Column:
+        self.totals[name] = row.select(F.struct("*")).scalar()
+        return F.col(name)
+
+    def literal(self, position: int, step: Step, status: str, message: str) -> None:
+        empty = F.lit(None).cast("bigint")
+        entry = _audit_entry(position, step, status, empty, {"modified": empty})
+        self.entries.append(entry.withField("message", F.lit(message)))
+
+    def frame(self) -> DataFrame:
+        if not self.entries:
+            return local_frame(self.spark, [], AUDIT_COLUMNS)
+        one = local_frame(self.spark, [(1,)], "one int")
+        return one.withColumns(self.totals).select(F.inline(F.array(*self.entries)))
 
 
 def _audit_entry(position: int, step: Step, status: str, rows: Column, counts: dict) -> Column:
@@ -202,11 +235,6 @@ def _message(step: Step, modified: Column, rows: Column, counts: dict) -> Column
     return F.concat(F.lit(f"{where}: "), n, F.lit(" celda(s) cambiadas"))
 
 
-def _literal_audit(df: DataFrame, position: int, step: Step, status: str, message: str) -> DataFrame:
-    row = (position, step.step_id, step.operation, step.target, status, None, None, None, None, message)
-    return local_frame(df.sparkSession, [row], AUDIT_COLUMNS)
-
-
 def execute_plan(
     df: DataFrame,
     steps: list[Step],
@@ -222,27 +250,36 @@ def execute_plan(
     after each step that removes rows, so that the audit of later steps does not repeat the
     shuffle; it uses the session's checkpoint directory.
     """
-    audits: list[DataFrame] = []
+    audit = _Audit(df.sparkSession)
     applied, skipped, errors = [], [], []
     source = df
     if purge_empty_rows:
         purge = Step("drop_empty_rows", step_id="STEP-000")
-        counted = count_empty_rows(df)
-        entry = _audit_entry(0, purge, "applied", F.col("rows_kept"), {"modified": F.col("rows_purged")})
-        audits.append(counted.select(F.inline(F.array(entry))))
+        counted = audit.total("__purge", count_empty_rows(df))
+        audit.entries.append(_audit_entry(0, purge, "applied", counted["rows_kept"], {"modified": counted["rows_purged"]}))
         df = drop_empty_rows(df)
     segment = _Segment(df)
-
-    def close(current: _Segment) -> DataFrame:
-        part = current.audit()
-        if part is not None:
-            audits.append(part)
+    dedup: tuple[int, Step, Column] | None = None  # waits for the row count of the segment after it
+
+    def close(current: _Segment, counted: bool = False) -> DataFrame:
+        nonlocal dedup
+        if counted or dedup or current.audited:
+            totals = audit.total(f"__segment_{len(audit.totals)}", current.totals())
+            if dedup:
+                position, step, before = dedup
+                dropped = {"modified": before - totals["rows"]}
+                audit.entries.append(_audit_entry(position, step, "applied", totals["rows"], dropped))
+                dedup = None
+            audit.entries.extend(current.entries(totals))
+            current.rows = totals["rows"]
         return current.frame()
 
-    for position, step in enumerate(numbered(steps), 1):
+    plan = list(enumerate(numbered(steps), 1))
+    fills: dict[int, Column] = {}
+    for position, step in plan:
         if step.status == "rejected":
             skipped.append(step)
-            audits.append(_literal_audit(df, position, step, "omitted", f"{step.operation}: paso rechazado"))
+            audit.literal(position, step, "omitted", f"{step.operation}: paso rechazado")
             continue
         try:
             op = catalog.get_operation(step.operation)
@@ -251,41 +288,59 @@ def execute_plan(
             if step.operation == "convert_numeric":
                 params["compare"] = compare
             if op.shape == "frame":
-                before = close(segment)
+                before = close(segment, counted=True)
                 after = catalog.remove_duplicates(before, params.get("subset_columns"), order_by)
                 if checkpoint:
                     after = reliable_checkpoint(after)
-                audits.append(_dedup_audit(position, step, before, after))
+                dedup = (position, step, segment.rows)
                 segment = _Segment(after)
             elif catalog.needs_statistic(step.operation, params):
-                kind = segment.visible_kinds()[step.target]
-                current = close(segment)
-                params["__fill__"] = catalog.fill_statistic(current, step.target, kind, params)
-                segment = _Segment(current)
+                if position not in fills:  # a barrier for this step and those after it that it can serve
+                    together = _statistic_steps(plan, position, segment.visible_kinds())
+                    current = close(segment)
+                    wanted = [(s.target, segment.visible_kinds()[s.target], p) for _, s, p in together]
+                    known, values = catalog.fill_statistics(current, wanted, f"__statistics_{position}")
+                    fills |= dict(zip([i for i, _, _ in together], values))
+                    segment = _Segment(known, set(known.columns) - set(current.columns))
+                params["__fill__"] = fills[position]
                 segment.add(position, step, params)
             elif step.operation == "normalize_category" and len(params["mappings"]) > catalog.SMALL_MAPPING:
                 current = close(segment)
-                mapped = catalog.map_large_category(current, step.target, params["mappings"])
-                segment = _Segment(mapped)
-                segment.audited.append((position, step, []))
+                kind = segment.visible_kinds()[step.target]
+                segment = _Segment.mapped(current, position, step, kind, params)
             else:
                 segment.add(position, step, params)
             applied.append(step)
         except (ValueError, PySparkException) as exc:
             errors.append((step, str(exc)))
-            audits.append(_literal_audit(df, position, step, "error", str(exc)))
+            audit.literal(position, step, "error", str(exc))
     frame = close(segment)
-    empty = local_frame(df.sparkSession, [], AUDIT_COLUMNS)
-    audit = reduce(DataFrame.unionByName, audits, empty)
-    return Execution(source, frame, audit, applied, skipped, errors)
+    # A stream has no totals to read: its audit is empty.
+    entries = local_frame(df.sparkSession, [], AUDIT_COLUMNS) if df.isStreaming else audit.frame()
+    return Execution(source, frame, entries, applied, skipped, errors)
+
+
+def _statistic_steps(plan: list, position: int, kinds: dict[str, str]) -> list[tuple[int, Step, dict]]:
+    """The statistic steps from ``position`` on that follow each other on different, sound columns."""
+    found, seen = [], set()
+    for i, step in plan[position - 1 :]:
+        if step.status == "rejected":
+            continue
+        params = {k: v for k, v in step.parameters.items() if k != "column"}
+        if not catalog.needs_statistic(step.operation, params) or step.target in seen:
+            break
+        try:
+            catalog.get_operation(step.operation).check(kinds, step.target, params)
+        except ValueError:
+            continue  # its own turn reports it
+        found.append((i, step, params))
+        seen.add(step.target)
+    return found
 
 
-def _dedup_audit(position: int, step: Step, before: DataFrame, after: DataFrame) -> DataFrame:
-    total = before.agg(F.count(F.lit(1))).scalar()
-    counted = after.agg(F.count(F.lit(1)).alias("rows")).select("rows", total.alias("total"))
-    dropped = F.col("total") - F.col("rows")
-    entry = _audit_entry(position, step, "applied", F.col("rows"), {"modified": dropped})
-    return counted.select(F.inline(F.array(entry)))
+def _has_checkpoint_folder(df: DataFrame) -> bool:
+    spark = df.sparkSession
+    return bool(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None))
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
@@ -304,8 +359,11 @@ def run_plan(
 ) -> tuple[Execution, DataFrame]:
     """Execute a plan, write the clean table and sum up the run.
 
-    Returns the execution and one summary row, with the path, the start and the seconds taken.
+    Returns the execution and one summary row, with the path, the start and the seconds taken. Steps that
+    remove rows are checkpointed if the session names a folder, so that writing and auditing do
+    not shuffle the table again.
     """
+    options.setdefault("checkpoint", _has_checkpoint_folder(df))
     started, clock = datetime.now(timezone.utc), perf_counter()
     done = execute_plan(df, steps, **options)
     write_clean(done.frame, path, format)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, Row
@@ -50,8 +51,9 @@ def step_from_row(row: Row) -> Step:
 
 
 def collect_steps(plan: DataFrame) -> list[Step]:
-    """The steps of one plan; a plan has at most a few rows per column of the table."""
-    return [step_from_row(r) for r in plan.orderBy("step_id").collect()]
+    """The steps of one plan, by number; a plan has at most a few rows per column of the table."""
+    steps = [step_from_row(r) for r in plan.collect()]
+    return sorted(steps, key=lambda s: (int(re.sub(r"\D", "", s.step_id) or 0), s.step_id))
 
 
 def plan_to_json(steps: list[Step]) -> str:

@@ -59,7 +59,8 @@ def scan_csv(
     """
     sep = sep or sniff_delimiter(_header_sample(spark, path))
     if columns is None:
-        first_line = spark.read.text(path).first()
+        # Blank lines above the header are skipped, as the reader does.
+        first_line = spark.read.text(path).where(F.trim("value") != "").first()
         header = next(csv.reader(io.StringIO(first_line.value), delimiter=sep), []) if first_line else []
         columns = _column_names(header)
     if not columns:
@@ -87,7 +88,7 @@ def scan_csv(
 def drop_overlong_rows(raw: DataFrame, sep: str, width: int) -> DataFrame:
     """Drop records with more fields than the header; separators inside quotes do not count."""
     record = F.col(_CORRUPT)
-    unquoted = F.regexp_replace(record, r'"(?:[^"]|"")*"', "")
+    unquoted = F.regexp_replace(record, r'"[^"]*+(?:""[^"]*+)*+"', "")
     fields = F.size(F.split(unquoted, re.escape(sep), -1))
     # Always true; a count alone would otherwise ask for the corrupt record only, which Spark refuses.
     asked = F.coalesce(F.length(F.col(f"`{raw.columns[0]}`")) >= 0, F.lit(True))
@@ -110,7 +111,8 @@ def apply_reader_nulls(df: DataFrame) -> DataFrame:
 def type_plain_numbers(df: DataFrame) -> DataFrame:
     """Type text columns that hold plain numbers only: whole numbers as bigint, others as double.
 
-    One map-side aggregate with two flags per column decides for all of them.
+    Whole numbers that do not all fit 64 bits (long codes) stay text. One map-side aggregate with
+    three flags per column decides for all of them.
     """
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not text:
@@ -120,10 +122,13 @@ def type_plain_numbers(df: DataFrame) -> DataFrame:
         c = F.col(f"`{name}`")
         flags.append(F.every(c.rlike(PLAIN_FLOAT)).alias(f"f{i}"))
         flags.append(F.every(F.coalesce(c.rlike(PLAIN_INTEGER), F.lit(False))).alias(f"i{i}"))
+        flags.append(F.some(c.rlike(PLAIN_INTEGER) & F.trim(c).try_cast("bigint").isNull()).alias(f"l{i}"))
     found = df.agg(*flags).first()
     kinds = {}
     for i, name in enumerate(text):
         if found[f"f{i}"]:
+            if found[f"i{i}"] and found[f"l{i}"]:
+                continue
             kinds[name] = "bigint" if found[f"i{i}"] else "double"
     return df.select(
         *[

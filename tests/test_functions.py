@@ -57,6 +57,9 @@ def test_date_vectors(apply):
         "5 Jan 2026": dt.date(2026, 1, 5), "January 5, 2026": dt.date(2026, 1, 5),
         "2026.01.05": dt.date(2026, 1, 5), "05.01.2026": dt.date(2026, 5, 1),
         "1/2/26": dt.date(2026, 1, 2), "2026-01": dt.date(2026, 1, 1),
+        "2026": dt.date(2026, 1, 1), "Jan 2026": dt.date(2026, 1, 1), "September 2026": dt.date(2026, 9, 1),
+        "20260105 10:00": dt.date(2026, 1, 5), "2026-01-05T10": dt.date(2026, 1, 5), "5-MAR-2026": dt.date(2026, 3, 5),
+        "12 Decorations 2026": None, "10 Marbles 2026": None, "Marbles 10, 2026": None, "9999-12-31": None, "0850": None,
         "31/02/2026": None, "2026-13-05": None, "2026-01-05xyz": None, "2026-01-05 25:00": None,
         "31/12/1600": None, "hello": None, "85": None, "invalid_date": None, "": None, None: None,
     }
@@ -142,3 +145,30 @@ def test_clamp_stays_in_range(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     got = [r[0] for r in df.select(numbers.clamp(F.col("x"), -1, 5)).collect()]
     assert got == [min(max(v, -1.0), 5.0) for v in values]
+
+
+def test_any_year_is_an_option(apply):
+    read = lambda c: dates.parse_date(c, any_year=True)
+    assert apply(read, ["9999-12-31", "31/12/1600", "2026"]) == [
+        dt.date(9999, 12, 31), dt.date(1600, 12, 31), dt.date(2026, 1, 1)
+    ]
+
+
+def test_hours_are_read(apply):
+    read = lambda c: dates.strftime(dates.parse_timestamp(c), "%Y-%m-%d %H:%M")
+    values = ["2026-01-05T10", "2026-01-05 07", "20260105 10:07", "05/01/2026 23"]
+    assert apply(read, values) == ["2026-01-05 10:00", "2026-01-05 07:00", "2026-01-05 10:07", "2026-01-05 23:00"]
+
+
+def test_long_texts_take_time_in_proportion(apply):
+    n = 100_000
+    values = ["1" + "_1" * n, "1" * n + "x", "1" * n, "_" + "1_" * n, " " * n + "7", "1." + "0" * n + "e"]
+    assert apply(numbers.parse_number, values) == [None, None, None, None, 7.0, None]
+    assert apply(numbers.coerce_number, values)[1] is None
+    assert apply(lambda c: c.rlike(numbers.PLAIN_FLOAT), values) == [False, False, True, False, True, False]
+
+
+def test_number_separators_still_read(apply):
+    assert apply(numbers.parse_number, ["1_000", "1__0", "_1", "1_", "12.", ".5", "1_0.2_5e1_0", "1e5", "+3", "-0.5"]) == [
+        1000.0, None, None, None, 12.0, 0.5, 10.25e10, 1e5, 3.0, -0.5
+    ]

@@ -85,3 +85,22 @@ def test_many_part_files_share_one_header(spark, tmp_path):
     df = spark.range(20).select(F.col("id").alias("k"), F.lit("v").alias("t")).repartition(4)
     write_clean(df, str(tmp_path / "parts"), "csv")
     assert scan_csv(spark, str(tmp_path / "parts")).agg(F.sum("k")).first()[0] == 190
+
+
+def test_long_whole_numbers_keep_their_digits(spark, csv_file):
+    path = csv_file("id,code,mixed\n1234567890123456789,12345678901234567890,1.5\n1234567890123456790,2,3\n-1,3,4\n")
+    df = scan_csv(spark, path)
+    assert dict(df.dtypes) == {"id": "bigint", "code": "string", "mixed": "double"}
+    assert df.select("id").distinct().count() == 3
+    assert {r.code for r in df.collect()} == {"12345678901234567890", "2", "3"}
+
+
+def test_blank_lines_above_the_header(spark, csv_file):
+    df = scan_csv(spark, csv_file("\n  \na,b\n1,x\n2,y\n"), sep=",")
+    assert df.columns == ["a", "b"] and [tuple(r) for r in df.orderBy("a").collect()] == [(1, "x"), (2, "y")]
+
+
+def test_long_quoted_fields_in_malformed_rows(spark, csv_file):
+    long = "x" * 100_000 + '""' * 1000
+    path = csv_file(f'a,b\n1,"{long}",3\n2,"{long}"\n3,y\n')
+    assert [r.a for r in scan_csv(spark, path, sep=",").orderBy("a").collect()] == [2, 3]
