@@ -23,6 +23,7 @@ from tersa.functions import dates, names, numbers, text
 from tersa.functions import vocabulary as V
 from tersa.operators.catalog import DATE, NUMBER, OTHER, TEXT, kind_of
 from tersa.operators.selection import FEW_VALUES, exact_medians, ordered_medians, shared
+from tersa.sources.checkpoints import has_checkpoint_folder, reliable_checkpoint
 from tersa.sources.local import local_frame
 
 _NARROW_BYTES = 40
@@ -49,6 +50,10 @@ def percentage(part: Column, whole: Column) -> Column:
 class Analysis:
     """Lazy facts about one table.
 
+    With ``materialize`` (the default if the session names a checkpoint folder) the distinct text values are
+    written there when first asked for; facts, spelling variants and evidence then read them back
+    instead of scanning and shuffling the table again.
+
     ``order_by`` names the column that defines row order; it decides which values count as the
     first ones. Without it scan order does, which is only stable for tables read from files. ``date_standard`` is ``dominant`` (the most frequent
     format class of a column is its standard) or ``first`` (the class of its first value).
@@ -60,6 +65,7 @@ class Analysis:
         order_by: str | None = None,
         date_standard: str = "dominant",
         approx: bool = False,
+        materialize: bool | None = None,
     ):
         if date_standard not in ("dominant", "first"):
             raise ValueError(f"INVALID_PARAMETER: unknown date standard '{date_standard}'")
@@ -71,6 +77,11 @@ class Analysis:
         self.approx = approx
         self.columns = df.columns
         self.kinds = [kind_of(f.dataType) for f in df.schema]
+        self._has_decimals = any(isinstance(f.dataType, T.DecimalType) for f in df.schema)
+        self._typed_keys = ["whole", "number", *["digits"] * self._has_decimals]
+        if materialize is None:
+            materialize = not approx and has_checkpoint_folder(df.sparkSession)
+        self._materialize = materialize
 
     # --- cells ---------------------------------------------------------------------------------
 
@@ -89,10 +100,10 @@ class Analysis:
         return self._stack(parts, 2, "position", "text")
 
     def typed_rows(self) -> DataFrame:
-        """(row, position, whole, number, digits): one row per cell of the number and date columns.
+        """(row, position, whole, number[, digits]): one row per cell of the number and date columns.
 
-        Whole numbers and dates (as microseconds) travel as bigint, other numbers as double, decimals
-        with their digits besides: a double would make different ones equal.
+        Whole numbers and dates (as microseconds) travel as bigint, other numbers as double. If the table
+        has decimals, their digits go besides: a double would make different ones equal.
         """
         parts = []
         for i in self._positions(NUMBER, DATE):
@@ -105,9 +116,11 @@ class Analysis:
             else:
                 number = c.cast("double")
                 cell = [F.lit(None).cast("bigint"), F.when(~F.isnan(number), number)]
-            digits = c if isinstance(field.dataType, T.DecimalType) else F.lit(None)
-            parts += [F.lit(i), *cell, digits.cast("string")]
-        return self._stack(parts, 4, "position", "whole", "number", "digits")
+            if self._has_decimals:
+                digits = c if isinstance(field.dataType, T.DecimalType) else F.lit(None)
+                cell.append(digits.cast("string"))
+            parts += [F.lit(i), *cell]
+        return self._stack(parts, 1 + len(self._typed_keys), "position", *self._typed_keys)
 
     def _stack(self, parts: list[Column], width: int, *names: str) -> DataFrame:
         stacked = F.stack(F.lit(len(parts) // width), *parts).alias(*names)
@@ -125,12 +138,13 @@ class Analysis:
     @cached_property
     def text_values(self) -> DataFrame:
         """(position, text, n, first): distinct text values with their count and first row."""
-        return self._counted(self.text_rows(), "text")
+        values = self._counted(self.text_rows(), "text")
+        return reliable_checkpoint(values) if self._materialize else values
 
     @cached_property
     def typed_values(self) -> DataFrame:
         """(position, whole, number, digits, n, first): the same for number and date columns."""
-        return self._counted(self.typed_rows(), "whole", "number", "digits")
+        return self._counted(self.typed_rows(), *self._typed_keys)
 
     @cached_property
     def text_cells(self) -> DataFrame:
@@ -168,6 +182,8 @@ class Analysis:
     def _read_typed(self, cells: DataFrame) -> DataFrame:
         """Adds ``filled`` and ``number`` (NULL for dates and infinities) to typed cells."""
         whole, number = F.col("whole"), F.col("number")
+        if not self._has_decimals:
+            cells = cells.withColumn("digits", F.lit(None).cast("string"))
         dated = F.col("position").isin(self._positions(DATE))
         return cells.withColumns({
             "filled": whole.isNotNull() | number.isNotNull(),
@@ -191,8 +207,6 @@ class Analysis:
 
         Later results then read them back instead of scanning and shuffling the table again.
         """
-        from tersa.plans.execute import reliable_checkpoint
-
         for name, kinds in (("text_values", (TEXT, OTHER)), ("typed_values", (NUMBER, DATE))):
             if self.has(*kinds):
                 self.__dict__[name] = reliable_checkpoint(getattr(self, name))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tersa.operators import catalog
 from tersa.plans.steps import Step, numbered, plan_from_json
+from tersa.sources.checkpoints import has_checkpoint_folder, reliable_checkpoint
 from tersa.sources.files import write_clean
 from tersa.sources.hygiene import count_empty_rows, drop_empty_rows, fingerprint
 from tersa.sources.local import local_frame
@@ -338,22 +339,6 @@ def _statistic_steps(plan: list, position: int, kinds: dict[str, str]) -> list[t
     return found
 
 
-def _has_checkpoint_folder(df: DataFrame) -> bool:
-    spark = df.sparkSession
-    return bool(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None))
-
-
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the cluster names in ``spark.checkpoint.dir``."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("INVALID_PARAMETER: set spark.checkpoint.dir to use checkpoint=True")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def run_plan(
     df: DataFrame, steps: list[Step], path: str, format: str = "parquet", **options
 ) -> tuple[Execution, DataFrame]:
@@ -363,7 +348,7 @@ def run_plan(
     remove rows are checkpointed if the session names a folder, so that writing and auditing do
     not shuffle the table again.
     """
-    options.setdefault("checkpoint", _has_checkpoint_folder(df))
+    options.setdefault("checkpoint", has_checkpoint_folder(df.sparkSession))
     started, clock = datetime.now(timezone.utc), perf_counter()
     done = execute_plan(df, steps, **options)
     write_clean(done.frame, path, format)

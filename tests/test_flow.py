@@ -16,6 +16,7 @@ from tersa import (
 from tersa.operators.analysis import duplicate_rows
 from tersa.operators.catalog import apply_operation
 from tersa.plans.steps import collect_steps
+from tersa.sources.checkpoints import drop_checkpoints, reliable_checkpoint
 from tersa.sources.local import local_frame
 
 
@@ -374,7 +375,7 @@ def test_duplicates_of_wide_and_narrow_rows(spark):
 
 def test_hot_value_is_one_row_per_task_in_the_value_table(spark):
     df = spark.range(9000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('v', id) END AS v")
-    a = Analysis(df.repartition(4), order_by="id")
+    a = Analysis(df.repartition(4), order_by="id", materialize=False)
     plan = a.text_values._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_count") > plan.index("Exchange hashpartitioning")
     hot = a.text_values.where("text = 'hot'").collect()
@@ -517,3 +518,23 @@ def test_an_audit_reads_each_segment_once(spark, tmp_path):
 def test_audit_without_steps_is_empty(spark):
     done = execute_plan(spark.range(3).toDF("x"), [])
     assert done.audit.count() == 0 and "modified" in done.audit.columns
+
+
+def test_checkpoints_keep_types_and_can_be_dropped(spark):
+    import glob
+
+    df = spark.sql("SELECT id, NULL AS nothing, CAST(id AS DECIMAL(20,2)) AS d, date'2026-01-05' AS day FROM range(5)")
+    back = reliable_checkpoint(df)
+    assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert drop_checkpoints(spark) >= 1
+    assert not glob.glob(spark.conf.get("spark.checkpoint.dir") + "/tersa-" + "[0-9a-f]" * 16)
+
+
+def test_quality_reads_a_written_value_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(500).selectExpr("id", "concat(' v', id % 40) AS a", "upper(concat('w', id % 30)) AS b").write.parquet(path)
+    df = spark.read.parquet(path)
+    kept, plain = (Analysis(df, order_by="id", materialize=m) for m in (True, False))
+    rows = lambda a: sorted(map(str, quality_issues(a).collect()))
+    assert rows(kept) == rows(plain)
+    assert "partial_count" not in kept.text_values._jdf.queryExecution().executedPlan().toString()
