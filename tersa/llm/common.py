@@ -42,7 +42,10 @@ class Scratch:
 def arrow_map(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator], schema, rows: int = BATCH_ROWS
 ) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``rows`` rows, so that memory is bounded."""
+    """``mapInArrow`` with batches of at most ``rows`` rows, so that memory is bounded.
+
+    The bound is a setting of the session, which Spark reads when a job starts; the last one set stays.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(function, schema)
 
@@ -154,7 +157,7 @@ def chunk_rows(docs: DataFrame, size: int) -> DataFrame:
     """(payload, n_bytes): whole rows, about ``size`` text bytes together, as compressed Arrow streams."""
 
     def cut(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for batch in batches:
             _, offsets = text_column(batch)
             for a, b in chunks(offsets, size):

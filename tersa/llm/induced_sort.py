@@ -138,15 +138,25 @@ def _sort_descents(text: np.ndarray, star: np.ndarray) -> np.ndarray:
     """S* positions in the order of their suffixes, as far as ``DEPTH`` bytes tell them apart."""
     m = len(star)
     length = np.append(np.diff(star) + 1, 1)
-    rank, tied, step = np.zeros(m, np.int64), np.arange(m), 0
-    while len(tied) and (step == 0 or length[tied].max() > 8 * step):
-        word, left = words_at(text, star[tied], step), length[tied] - 8 * step
+    rank, open_, step = np.zeros(m, np.int64), np.ones(m, bool), 0
+    part = np.arange(m)
+    while len(part):  # names, by eight bytes at a time; groups in which none goes on are left as they are
+        word, left = words_at(text, star[part], step), length[part] - 8 * step
         past = np.clip(8 * (8 - left), 0, 63).astype(np.uint64)
         word = np.where(left < 8, word | ((np.uint64(1) << past) - np.uint64(1)), word)
         word = np.where(left <= 0, ~np.uint64(0), word)  # a name that ends is larger than one that goes on
-        tied, step = _refine(rank, word, tied), step + 1
-    span = 1
-    while len(tied) and span < DEPTH:  # the string of names, doubled; a name spans a byte at least
+        open_[part] = False
+        open_[_refine(rank, word, part)] = True
+        step += 1
+        tied = np.flatnonzero(open_)
+        longer = np.zeros(m, bool)
+        longer[rank[tied[length[tied] > 8 * step]]] = True
+        part = tied[longer[rank[tied]]]
+    tied, span = np.flatnonzero(open_), 1
+    while len(tied):  # the string of names, doubled, until the names span the depth
+        after = np.minimum(tied + span, m)
+        covered = np.append(star, star[-1:] + DEPTH)[after] - star[tied] if m else after
+        tied = tied[covered < DEPTH]
         after = tied + span
         tied = _refine(rank, np.where(after < m, rank[np.minimum(after, m - 1)], -1), tied)
         span *= 2

@@ -2,7 +2,8 @@
 
 Every 50-byte string goes to the shard of the least 16-gram hash in it, so equal strings meet, whatever
 document they are in. Neighbouring strings of a document with one least hash travel together, as one
-segment. First the hashes alone are compared: segments whose hash no other document has cannot repeat. Of the
+segment. First hashes alone are compared: a string reaches 17 bytes or more from its least gram to the left or
+to the right, so segments of which neither side's 33 bytes are in another document cannot repeat. Of the
 others a chunk of documents sends each distinct segment once, with the smallest and largest document that
 holds it, so text that a third of all documents share is one segment a chunk. A shard sorts the suffixes of
 its segments (``induced_sort``), takes the smallest document of each run of suffixes that agree in 50 bytes,
@@ -21,6 +22,11 @@ from tersa.llm.common import Scratch, arrow_map, chunk_rows, mix, read_chunk, sl
 from tersa.llm.induced_sort import DEPTH, sorted_suffixes
 
 GRAM = 16
+#: Bytes that a string has at least on one side of its least gram, and the length of both.
+REACH = (DEPTH - GRAM) // 2
+ANCHOR = REACH + GRAM
+#: Bytes of an anchor's hash that are sent; a false match only sends a segment that does not repeat.
+SHORT = 4
 #: Strings of one segment at most; longer runs of one least hash (periodic text) are cut.
 SEGMENT = 256
 CHUNK = 1 << 20
@@ -43,15 +49,22 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return x
 
 
-def segment_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, number of strings, hash) of the runs of neighbouring strings with one least hash."""
+def _sliding(best: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The best of each ``width`` neighbours."""
+    size = 1
+    while size * 2 <= width:
+        values, size = best(values[:-size], values[size:]), size * 2
+    return best(values[: size - width], values[width - size :]) if width > size else values
+
+
+def segment_runs(data: np.ndarray, offsets: np.ndarray):
+    """Runs of neighbouring strings with one least hash: (start, number of strings, hash), and the places of
+    all least grams with their hashes."""
+    none = np.zeros(0, np.int64)
     if len(data) < DEPTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least, width, windows = _gram_hashes(np.ascontiguousarray(data)), 1, DEPTH - GRAM + 1
-    while width * 2 <= windows:
-        least, width = np.minimum(least[:-width], least[width:]), width * 2
-    if windows > width:
-        least = np.minimum(least[: width - windows], least[windows - width :])
+        return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
+    grams, width = _gram_hashes(np.ascontiguousarray(data)), DEPTH - GRAM + 1
+    least = _sliding(np.minimum, grams, width)
     whole = np.ones(len(least), bool)  # strings that end in the document they begin in
     for end in np.unique(offsets[1:-1]).tolist():
         whole[max(end - DEPTH + 1, 0) : end] = False
@@ -64,7 +77,26 @@ def segment_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         parts = -(-count // SEGMENT)
         turn = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start, count = np.repeat(start, parts) + turn * SEGMENT, np.minimum(np.repeat(count, parts) - turn * SEGMENT, SEGMENT)
-    return start, count, mix(least[start])
+    # a gram is the least of some string if it equals the largest of the least hashes around it
+    around = np.zeros(len(least) + 2 * (width - 1), np.uint64)
+    around[width - 1 : width - 1 + len(least)] = np.where(whole, least, 0)
+    place = np.flatnonzero(grams == _sliding(np.maximum, around, width))
+    return start, count, least[start], place, grams[place]
+
+
+def anchor_hashes(data: np.ndarray, offsets: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the place) of the 33 bytes that end or begin with each least gram inside its document."""
+    row = np.searchsorted(offsets, place, side="right") - 1
+    view = np.ndarray((max(len(data) - 7, 0),), "<u8", np.ascontiguousarray(data), strides=(1,))
+    hashes, index = [], []
+    for side, first in ((1, place - REACH), (2, place)):
+        own = np.flatnonzero((first >= offsets[row]) & (first + ANCHOR <= offsets[row + 1]))
+        at, x = first[own], np.full(len(own), side, np.uint64)
+        for step in (0, 8, 16, ANCHOR - 8):
+            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + view[at + step])
+        hashes.append(x)
+        index.append(own)
+    return np.concatenate(hashes), np.concatenate(index)
 
 
 def _content_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -79,7 +111,7 @@ def _content_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) ->
 
 
 class Hashes:
-    """The distinct hashes of a chunk's runs, by shard, and which of them several of its documents have."""
+    """The distinct hashes of a chunk, by shard, and which of them several of its documents have."""
 
     def __init__(self, hashes: np.ndarray, doc: np.ndarray, shards: int):
         self.values, of = np.unique(hashes, return_inverse=True)
@@ -95,23 +127,42 @@ class Hashes:
         self.of = of
 
 
-def _chunk(payload, key: str):
-    """A chunk's rows, text bytes, offsets and runs with their documents."""
-    rows = read_chunk(payload.as_buffer())
-    data, offsets = text_column(rows)
-    doc = _doc_numbers(rows.column(rows.schema.get_field_index(key)))
-    start, count, hashes = segment_runs(data, offsets)
-    return data, start, count, hashes, doc[np.searchsorted(offsets, start, side="right") - 1]
-
-
 def _doc_numbers(column: pa.Array) -> np.ndarray:
     """Documents without an id come after all others."""
     return column.cast(pa.int64()).fill_null(int(_LAST)).to_numpy(zero_copy_only=False)
 
 
+class Chunk:
+    """A chunk's text, runs and anchors."""
+
+    def __init__(self, payload, key: str, shards: int):
+        rows = read_chunk(payload.as_buffer())
+        self.data, offsets = text_column(rows)
+        doc = _doc_numbers(rows.column(rows.schema.get_field_index(key)))
+        self.start, self.count, self.hashes, self.place, self.grams = segment_runs(self.data, offsets)
+        anchors, self.anchored = anchor_hashes(self.data, offsets, self.place)
+        of = lambda at: doc[np.searchsorted(offsets, at, side="right") - 1]
+        self.doc = of(self.start)
+        self.anchors = Hashes(anchors, of(self.place[self.anchored]), shards)
+
+    def shared_runs(self, shared: np.ndarray) -> np.ndarray:
+        """The runs of which a least gram has an anchor that another document has too."""
+        found = (self.anchors.several | shared)[self.anchors.of]
+        place = np.unique(self.anchored[found])
+        at, gram = self.place[place], self.grams[place]
+        wanted = np.zeros(len(self.start), bool)
+        run = np.maximum(np.searchsorted(self.start, at - (DEPTH - GRAM), side="right") - 1, 0)
+        while len(run):  # the few runs whose strings reach over the gram
+            hit = (self.hashes[run] == gram) & (self.start[run] + self.count[run] > at - (DEPTH - GRAM)) & (self.start[run] <= at)
+            wanted[run[hit]] = True
+            more = (run + 1 < len(self.start)) & (self.start[np.minimum(run + 1, len(self.start) - 1)] <= at)
+            run, at, gram = run[more] + 1, at[more], gram[more]
+        return np.flatnonzero(wanted)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
@@ -124,12 +175,11 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 def _send_hashes(batches, key: str, shards: int):
-    """Each chunk's hashes, 48 bits of them, to their shards."""
+    """Each chunk's anchors, some bytes of their hashes, to their shards."""
     for batch in batches:
         for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-            _, _, _, hashes, doc = _chunk(payload, key)
-            own = Hashes(hashes, doc, shards)
-            short = (own.values[own.order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+            own = Chunk(payload, key, shards).anchors
+            short = (own.values[own.order] >> np.uint64(64 - 8 * SHORT)).view(np.uint8).reshape(-1, 8)[:, :SHORT]
             used = np.flatnonzero(np.diff(own.edges))
             blobs = [short[own.edges[k] : own.edges[k + 1]].tobytes() for k in used]
             yield pa.RecordBatch.from_arrays(
@@ -141,29 +191,29 @@ def _send_hashes(batches, key: str, shards: int):
 def _shared_hashes(table: pa.Table) -> pa.Table:
     """One shard: which of each chunk's hashes another chunk has too, as bits."""
     blobs = [b.as_py() for b in table.column("hashes")]
-    wide = np.zeros((sum(map(len, blobs)) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    wide = np.zeros((sum(map(len, blobs)) // SHORT, 8), np.uint8)
+    wide[:, :SHORT] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, SHORT)
     values = wide.view(np.uint64).ravel()
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     same = np.zeros(len(order) + 1, bool)
     same[1:-1] = values[order][1:] == values[order][:-1]
     shared = np.zeros(len(order), bool)
     shared[order] = same[1:] | same[:-1]
-    ends = np.cumsum([len(b) // 6 for b in blobs])
+    ends = np.cumsum([len(b) // SHORT for b in blobs])
     bits = [np.packbits(x).tobytes() for x in np.split(shared, ends[:-1])]
     return pa.Table.from_arrays([table.column("chunk"), table.column("shard"), pa.array(bits, pa.binary())], names=["chunk", "shard", "bits"])
 
 
 def _send_segments(left: pa.Table, right: pa.Table, key: str, shards: int) -> pa.Table:
-    """One chunk: its runs with a shared hash (for itself, shard -1), and their distinct segments by shard."""
-    data, start, count, hashes, doc = _chunk(left.column("payload")[0], key)
-    own = Hashes(hashes, doc, shards)
-    wanted, shared = own.several, np.zeros(len(own.values), bool)
+    """One chunk: its runs that may repeat (for itself, shard -1), and their distinct segments by shard."""
+    own = Chunk(left.column("payload")[0], key, shards)
+    data, anchors = own.data, own.anchors
+    shared = np.zeros(len(anchors.values), bool)
     for shard, bits in zip(right.column("shard").to_pylist(), right.column("bits")):
-        a, b = own.edges[shard], own.edges[shard + 1]
-        shared[own.order[a:b]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=b - a).astype(bool)
-    run = np.flatnonzero((wanted | shared)[own.of])
-    start, count, hashes, doc = start[run], count[run], hashes[run], doc[run]
+        a, b = anchors.edges[shard], anchors.edges[shard + 1]
+        shared[anchors.order[a:b]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=b - a).astype(bool)
+    run = own.shared_runs(shared)
+    start, count, hashes, doc = own.start[run], own.count[run], mix(own.hashes[run]), own.doc[run]
     length = count + DEPTH - 1
     name = mix(hashes ^ mix(_content_hashes(data, start, length)))
     shard = (hashes % np.uint64(shards)).astype(np.int64)
@@ -176,13 +226,15 @@ def _send_segments(left: pa.Table, right: pa.Table, key: str, shards: int) -> pa
     low = np.minimum.reduceat(doc[order], first) if len(first) else doc
     high = np.maximum.reduceat(doc[order], first) if len(first) else doc
     edges = np.searchsorted(shard[pick], np.arange(shards + 1))
+    docs, places = np.unique(np.concatenate((low, high)), return_inverse=True)  # few documents: two or four bytes each
+    places = places.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32).reshape(2, -1)
     chunk = left.column("chunk")[0].as_py()
     out = [(-1, _pack(start.astype(np.int64), count.astype(np.int16), distinct.astype(np.int32), edges))]
     for k in np.flatnonzero(np.diff(edges)).tolist():
         part = pick[edges[k] : edges[k + 1]]
         content = data[slices(start[part], length[part])]
-        where = slice(edges[k], edges[k + 1])
-        out.append((k, _pack(hashes[part], length[part].astype(np.int16), low[where], high[where], content)))
+        used, place = np.unique(places[:, edges[k] : edges[k + 1]], return_inverse=True)
+        out.append((k, _pack(length[part].astype(np.int16), docs[used], place.astype(np.int32).ravel(), content)))
     kinds = [pa.int64(), pa.int64(), pa.binary()]
     columns = [[k for k, _ in out], [chunk] * len(out), [b for _, b in out]]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "chunk", "segments"])
@@ -221,31 +273,25 @@ def _smallest_holders(content: np.ndarray, start: np.ndarray, length: np.ndarray
 def _answer(table: pa.Table) -> pa.Table:
     """One shard: replies to its chunks."""
     schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("reply", pa.binary())])
-    parts = [_unpack(b.as_buffer(), np.uint64, np.int16, np.int64, np.int64, np.uint8) for b in table.column("segments")]
+    parts = [_unpack(b.as_buffer(), np.int16, np.int64, np.int32, np.uint8) for b in table.column("segments")]
     sizes = [len(p[0]) for p in parts]
-    hashes, length, low, high, content = (np.concatenate(x) for x in zip(*parts))
+    low = np.concatenate([docs[place[: len(place) // 2]] for _, docs, place, _ in parts])
+    high = np.concatenate([docs[place[len(place) // 2 :]] for _, docs, place, _ in parts])
+    length = np.concatenate([p[0] for p in parts]).astype(np.int64)
+    content = np.concatenate([p[3] for p in parts])
     del parts
-    length = length.astype(np.int64)
     start = np.cumsum(length) - length
-    order = np.argsort(hashes, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
-    several = np.minimum.reduceat(low[order], first) < np.maximum.reduceat(high[order], first)
-    wanted = np.zeros(len(order), bool)
-    wanted[order] = np.repeat(several, np.diff(np.append(first, len(order))))
-    pick = np.flatnonzero(wanted)
-    if not len(pick):
-        return schema.empty_table()
-    name = mix(hashes[pick] ^ mix(_content_hashes(content, start[pick], length[pick])))
-    _, one, same = np.unique(name, return_index=True, return_inverse=True)
+    _, one, same = np.unique(mix(_content_hashes(content, start, length)), return_index=True, return_inverse=True)
     least = np.full(len(one), _LAST)
-    np.minimum.at(least, same, low[pick])
-    lowest, begin = _smallest_holders(content, start[pick][one], length[pick][one], least)
-    strings = length[pick] - DEPTH + 1
+    np.minimum.at(least, same, low)
+    lowest, begin = _smallest_holders(content, start[one], length[one], least)
+    del content
+    strings = length - DEPTH + 1
     where = slices(begin[same], strings)
     found = lowest[where]
     edge = np.cumsum(strings) - strings
-    removing = np.minimum.reduceat(found, edge) < high[pick]
-    chunk_edge = np.searchsorted(pick, np.cumsum([0, *sizes]))
+    removing = np.minimum.reduceat(found, edge) < high
+    chunk_edge = np.cumsum([0, *sizes])
     out = []
     shard = table.column("shard")[0].as_py()
     for k, chunk in enumerate(table.column("chunk").to_pylist()):
@@ -253,7 +299,7 @@ def _answer(table: pa.Table) -> pa.Table:
         keep = np.flatnonzero(removing[a:b]) + a
         if len(keep):
             values = found[slices(edge[keep], strings[keep])]
-            index = pick[keep] - sum(sizes[:k])
+            index = keep - a
             out.append((chunk, shard, _pack(index.astype(np.int32), values)))
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema) if out else schema.empty_table()
 
