@@ -68,6 +68,7 @@ def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds:
     spark = items.sparkSession
     n = items.count()
     many = items.where(F.col("hub").isNotNull()).groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    many = scratch.keep(many, "hubs")  # written, so that Spark can split a hub that holds much in the join
     dealt = gapless(items.select("_row", "hub"), n, ["_row"], [], "_rank")
     known = dealt.join(many.select(F.col("hub").alias("_hub")), F.col("hub") == F.col("_hub"), "left")
     state = known.select("_row", F.col("_hub").alias("hub"), F.pmod("_rank", F.lit(shards)).cast("int").alias("shard"))
@@ -82,7 +83,7 @@ def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds:
         order = F.struct("size", F.xxhash64("hub", "shard", F.lit("tie")).alias("tie"), "shard")
         best = parts.groupBy("hub").agg(F.max(F.when(open_, order)).alias("best"))
         wish = parts.join(best, "hub").where((F.col("best.shard") != F.col("shard")) & (order < F.col("best")))
-        wish = wish.select("hub", "shard", F.col("best.shard").alias("to"), "size")
+        wish = scratch.keep(wish.select("hub", "shard", F.col("best.shard").alias("to"), "size"), f"wishes{turn}")
         flows = wish.groupBy("shard", "to").agg(F.sum("size").alias("size")).collect()  # at most shards ** 2
         granted, surplus = _quotas(Counter({(r.shard, r.to): r["size"] for r in flows}), spare)
         if not granted:
@@ -95,7 +96,7 @@ def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds:
         back = _send_back(fillers, surplus, spare, spark).select("_row", "hub", F.col("to").alias("shard"))
         stay = movers.where("to is null").select("_row", "hub", "shard")
         state = scratch.keep(stay.union(moved).union(back), f"state{turn}")
-        scratch.drop(f"state{turn - 1}", f"parts{turn}")
+        scratch.drop(f"state{turn - 1}", f"parts{turn}", f"wishes{turn}")
     return state.select("_row", "shard")
 
 
