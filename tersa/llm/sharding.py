@@ -63,7 +63,7 @@ def _send_back(fillers: DataFrame, surplus: Counter, counts: Counter, spark) ->
 def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(_row, shard): ``items`` has a distinct ``_row`` and a ``hub`` (null: no neighbours).
 
-    Counts of shards differ by at most one. It ends when no wish can be granted, or after ``rounds``.
+    Counts of shards differ by at most one. It ends when nothing wishes to move, or after ``rounds``.
     """
     spark = items.sparkSession
     n = items.count()
@@ -72,22 +72,25 @@ def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds:
     dealt = gapless(items.select("_row", "hub"), n, ["_row"], [], "_rank")
     known = dealt.join(many.select(F.col("hub").alias("_hub")), F.col("hub") == F.col("_hub"), "left")
     state = known.select("_row", F.col("_hub").alias("hub"), F.pmod("_rank", F.lit(shards)).cast("int").alias("shard"))
-    state = scratch.keep(state, "state0")
+    state, before = scratch.keep(state, "state0"), "state0"
     for turn in range(1, rounds + 1):
         linked, fillers = state.where("hub is not null"), state.where("hub is null")
         spare = Counter({r.shard: r["count"] for r in fillers.groupBy("shard").count().collect()})  # at most ``shards``
         parts = scratch.keep(linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("size")), f"parts{turn}")
-        # the largest part whose shard can still take in documents, ties by hash: flows then go both ways
+        # the largest part whose shard can still take in documents, ties by a hash that differs by round: flows
+        # then go both ways, and a wish that could not be granted may turn round
         full = [s for s in range(shards) if not spare[s]]
         open_ = ~F.col("shard").isin(full) if spare and full else F.lit(True)
-        order = F.struct("size", F.xxhash64("hub", "shard", F.lit("tie")).alias("tie"), "shard")
+        order = F.struct("size", F.xxhash64("hub", "shard", F.lit(turn)).alias("tie"), "shard")
         best = parts.groupBy("hub").agg(F.max(F.when(open_, order)).alias("best"))
         wish = parts.join(best, "hub").where((F.col("best.shard") != F.col("shard")) & (order < F.col("best")))
         wish = scratch.keep(wish.select("hub", "shard", F.col("best.shard").alias("to"), "size"), f"wishes{turn}")
         flows = wish.groupBy("shard", "to").agg(F.sum("size").alias("size")).collect()  # at most shards ** 2
         granted, surplus = _quotas(Counter({(r.shard, r.to): r["size"] for r in flows}), spare)
-        if not granted:
+        if not flows:
             break
+        if not granted:
+            continue
         quota = local_frame(spark, [(s, t, k) for (s, t), k in granted.items()], "shard int, to int, _k bigint")
         movers = linked.join(wish.drop("size"), ["hub", "shard"], "left").select("_row", "hub", "shard", "to")
         wishing = movers.where("to is not null")
@@ -96,7 +99,8 @@ def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds:
         back = _send_back(fillers, surplus, spare, spark).select("_row", "hub", F.col("to").alias("shard"))
         stay = movers.where("to is null").select("_row", "hub", "shard")
         state = scratch.keep(stay.union(moved).union(back), f"state{turn}")
-        scratch.drop(f"state{turn - 1}", f"parts{turn}", f"wishes{turn}")
+        scratch.drop(before, f"parts{turn}", f"wishes{turn}")
+        before = f"state{turn}"
     return state.select("_row", "shard")
 
 
