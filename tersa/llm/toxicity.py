@@ -221,7 +221,9 @@ def assess(
     counts = word_counts(docs, sample, key) if both else np.zeros((3, CELLS))
     scores = word_scores(counts) if both else np.zeros(CELLS)
     found = scratch.keep(passages(docs, scores, key), "passages")
-    law = Calibration(_scale(scores - DRIFT, counts[2]), 0.0, (share, 0.0, 0.0, 0.0))
+    # chance is clean text, with a little of everything that the corpus holds
+    background = counts[0] + PRIOR_WORDS * counts[2] / max(counts[2].sum(), 1)
+    law = Calibration(_scale(scores - DRIFT, background), 0.0, (share, 0.0, 0.0, 0.0))
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
 
     def described(law):
