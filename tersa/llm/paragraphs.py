@@ -26,7 +26,7 @@ RECALL = 0.995
 MOST_HASHES = 48
 CHUNK = 1 << 20
 #: Lines of one key that a task compares; more are cut into blocks, and every pair of blocks is compared.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 512
 
 
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -224,7 +224,7 @@ def near_paragraphs(
     rooted = scratch.keep(rooted.drop("copies").join(sizes, "root"), "classes")
     slim = lines.select("doc", "paragraph", "n_words", "c1", "c2", "line").join(rooted, ["c1", "c2"])
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "paragraph", "line")
-    first = slim.groupBy("root").agg(F.min(order).alias("first"))
+    first = scratch.keep(slim.groupBy("root").agg(F.min(order).alias("first")), "first")
     return slim.join(first, "root").select(
         F.col("doc").alias(key), "paragraph", "n_words", F.col("first.doc").alias("class_doc"),
         F.col("first.paragraph").alias("class_paragraph"), "copies", (F.col("line") != F.col("first.line")).alias("removed"),
