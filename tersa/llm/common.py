@@ -215,17 +215,18 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     while True:
         # larger neighbours move to the smallest neighbour
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        # written, so that Spark can split a node with many neighbours in the join
+        low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), f"near{turn}")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         # smaller neighbours, and the node itself, move to the smallest one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"least{turn}")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = small.union(low.select("u", F.col("m").alias("v"))).distinct()
         turn += 1
         after = scratch.keep(after, f"cc{turn}")
         moved = e.exceptAll(after).limit(1).count() + after.exceptAll(e).limit(1).count()
-        scratch.drop(f"cc{turn - 1}")
+        scratch.drop(f"cc{turn - 1}", f"near{turn - 1}", f"least{turn - 1}")
         e = after
         if not moved:
             break

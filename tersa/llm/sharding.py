@@ -18,7 +18,7 @@ from tersa.llm.common import Scratch, gapless, with_row
 from tersa.sources.local import local_frame
 
 SHARDS = 40
-ROUNDS = 12
+ROUNDS = 5
 
 
 def _quotas(wishes: Counter, spare: Counter) -> tuple[dict, Counter]:
@@ -79,7 +79,8 @@ def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds:
         parts = scratch.keep(linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("size")), f"parts{turn}")
         # the largest part whose shard can still take in documents, ties by a hash that differs by round: flows
         # then go both ways, and a wish that could not be granted may turn round
-        full = [s for s in range(shards) if not spare[s]]
+        # (a shard that could take in less than a hundredth of its size counts as full)
+        full = [s for s in range(shards) if not spare[s] or 100 * spare[s] * shards < n]
         open_ = ~F.col("shard").isin(full) if spare and full else F.lit(True)
         order = F.struct("size", F.xxhash64("hub", "shard", F.lit(turn)).alias("tie"), "shard")
         best = parts.groupBy("hub").agg(F.max(F.when(open_, order)).alias("best"))
