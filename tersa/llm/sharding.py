@@ -19,6 +19,8 @@ from tersa.sources.local import local_frame
 
 SHARDS = 40
 ROUNDS = 5
+#: It also ends with a round that moves less than one in so many linked documents.
+SETTLED = 50
 
 
 def _quotas(wishes: Counter, spare: Counter) -> tuple[dict, Counter]:
@@ -63,7 +65,8 @@ def _send_back(fillers: DataFrame, surplus: Counter, counts: Counter, spark) ->
 def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(_row, shard): ``items`` has a distinct ``_row`` and a ``hub`` (null: no neighbours).
 
-    Counts of shards differ by at most one. It ends when nothing wishes to move, or after ``rounds``.
+    Counts of shards differ by at most one. It ends when nothing wishes to move, when a round moves next to
+    nothing, or after ``rounds``.
     """
     spark = items.sparkSession
     n = items.count()
@@ -73,10 +76,12 @@ def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds:
     known = dealt.join(many.select(F.col("hub").alias("_hub")), F.col("hub") == F.col("_hub"), "left")
     state = known.select("_row", F.col("_hub").alias("hub"), F.pmod("_rank", F.lit(shards)).cast("int").alias("shard"))
     state, before = scratch.keep(state, "state0"), "state0"
+    # unlinked documents of each shard: at most ``shards`` numbers, kept up to date by what the rounds move
+    spare = Counter({r.shard: r["count"] for r in state.where("hub is null").groupBy("shard").count().collect()})
+    linked_rows = n - sum(spare.values())
     for turn in range(1, rounds + 1):
         linked, fillers = state.where("hub is not null"), state.where("hub is null")
-        spare = Counter({r.shard: r["count"] for r in fillers.groupBy("shard").count().collect()})  # at most ``shards``
-        parts = scratch.keep(linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("size")), f"parts{turn}")
+        parts = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("size"))
         # the largest part whose shard can still take in documents, ties by a hash that differs by round: flows
         # then go both ways, and a wish that could not be granted may turn round
         # (a shard that could take in less than a hundredth of its size counts as full)
@@ -100,8 +105,11 @@ def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds:
         back = _send_back(fillers, surplus, spare, spark).select("_row", "hub", F.col("to").alias("shard"))
         stay = movers.where("to is null").select("_row", "hub", "shard")
         state = scratch.keep(stay.union(moved).union(back), f"state{turn}")
-        scratch.drop(before, f"parts{turn}", f"wishes{turn}")
+        scratch.drop(before, f"wishes{turn}")
         before = f"state{turn}"
+        spare.subtract(surplus)
+        if SETTLED * sum(granted.values()) < linked_rows:
+            break
     return state.select("_row", "shard")
 
 
@@ -121,9 +129,3 @@ def shard_documents(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, key
     placed = items.join(propagate(items.select("_row", "hub"), scratch, shards), "_row")
     placed = scratch.keep(placed.select("_row", key, "size", "text_crc32", "shard"), "placed")
     return gapless(placed, placed.count(), ["_row"], ["shard"], "slot").select(key, "size", "text_crc32", "shard", "slot")
-
-
-def cut_links(docs_placed: DataFrame, hub: str = "text_crc32") -> DataFrame:
-    """For each hub with several documents: how many shards hold it."""
-    parts = docs_placed.groupBy(hub).agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("shard").alias("shards"))
-    return parts.where("documents > 1")
