@@ -18,7 +18,7 @@ import numpy as np
 
 #: Common prefixes are exact up to here; longer ones count as this or more.
 DEPTH = 50
-BATCH = 1 << 20
+BATCH = 1 << 18
 _NONE = np.uint8(255)
 
 
