@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,15 @@ BATCH_ROWS = 512
 CHUNK_BYTES = 2 << 20
 
 
+def workers_import_package(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it, whatever folder it was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 class Scratch:
     """Intermediate tables below ``spark.checkpoint.dir``; they cut lineage and outlive executors.
 
@@ -25,6 +35,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        workers_import_package(spark)
         self.spark, self.root = spark, shared_folder(spark, f"tersa-{name}")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +57,7 @@ def arrow_map(
 
     The bound is a setting of the session, which Spark reads when a job starts; the last one set stays.
     """
+    workers_import_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(function, schema)
 
