@@ -3,24 +3,25 @@
 Neighbours are documents with one hub (here: equal texts). A round counts each hub's documents by shard and
 lets the smaller parts of a hub wish for the shard that holds most of it. Quotas say how many wishes between
 two shards are granted: as many as come back the other way, and as many more as there are unlinked documents
-to send back in exchange. So no round changes a count by more than the exchange evens out. Only DataFrame
-functions; the driver sees one number for each pair of shards.
+to send back in exchange. So no round changes a count by more than the exchange evens out. Rounds go on until no
+wish can be granted. Hubs that hold much of a shard are placed first, each in as few shards as there is room.
+Only DataFrame functions; the driver sees two numbers for each pair of shards, and the sizes of the large hubs.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tersa.llm.common import Scratch, gapless, with_row
 from tersa.sources.local import local_frame
 
 SHARDS = 40
-ROUNDS = 5
-#: It also ends with a round that moves less than one in so many linked documents.
-SETTLED = 50
+#: Hubs of at least one in so many of a shard's documents are placed by the driver, at most twice as many for each shard.
+LARGE = 8
 
 
 def _quotas(wishes: Counter, spare: Counter) -> tuple[dict, Counter]:
@@ -36,6 +37,70 @@ def _quotas(wishes: Counter, spare: Counter) -> tuple[dict, Counter]:
     return {k: n for k, n in granted.items() if n}, surplus
 
 
+def _pack(sizes: list[tuple[int, int]], room: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """hub -> (shard, documents): whole shards first, then the rests where they fit best; ``room`` is used up."""
+    out, rests = {}, []
+    for hub, left in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        out[hub] = []
+        while left and left >= max(room):
+            s = room.index(max(room))
+            out[hub].append((s, room[s]))
+            left, room[s] = left - room[s], 0
+        rests.append((left, hub))
+    for left, hub in sorted(rests, key=lambda x: (-x[0], x[1])):
+        while left:
+            fits = [s for s, r in enumerate(room) if r >= left]
+            s = min(fits, key=lambda s: room[s]) if fits else room.index(max(room))
+            n = min(left, room[s])
+            out[hub].append((s, n))
+            left, room[s] = left - n, room[s] - n
+    return out
+
+
+def _place(ends: list[int], turn: Column) -> Column:
+    """How many of the ends lie at or below the turn."""
+    return F.size(F.filter(F.array(*[F.lit(b) for b in ends]), lambda b: b <= turn))
+
+
+def _deal(known: DataFrame, many: DataFrame, n: int, shards: int) -> DataFrame:
+    """(_row, hub, shard, placed): large hubs in as few shards as they can, then all others evenly in what is left."""
+    spark, room = known.sparkSession, [n // shards + (s < n % shards) for s in range(shards)]
+    large = many.where(LARGE * F.col("_n") >= n // shards)
+    plan = _pack([(r.hub, r["_n"]) for r in large.collect()], room)  # at most 2 * LARGE * shards, or ``shards`` rows in all
+    open_ = [s for s in range(shards) if room[s]] or [0]
+    ends = list(accumulate(room[s] for s in open_))
+    others = known
+    if plan:
+        text = lambda x: ",".join(map(str, x))
+        rows = [(h, text(s for s, _ in x), text(accumulate(k for _, k in x))) for h, x in plan.items()]
+        table = local_frame(spark, rows, "hub bigint, _to string, _ends string")
+        table = F.broadcast(table.select("hub", *[F.split(c, ",").cast("array<bigint>").alias(c) for c in ("_to", "_ends")]))
+        others = known.join(table.select("hub"), "hub", "left_anti")
+        ranked = gapless(known.join(table, "hub"), n, ["_row"], ["hub"], "_rank")
+        place = F.size(F.filter("_ends", lambda b: b <= F.col("_rank")))
+        placed = ranked.select("_row", "hub", F.element_at("_to", place + 1).cast("int").alias("shard"), F.lit(True).alias("placed"))
+    ranked = gapless(others, n, ["_row"], [], "_rank")
+    shard = F.element_at(F.array(*[F.lit(s) for s in open_]), _place(ends, F.col("_rank")) + 1)
+    dealt = ranked.select("_row", "hub", shard.alias("shard"), F.lit(False).alias("placed"))
+    return dealt.union(placed) if plan else dealt
+
+
+def _exchangeable(parts: DataFrame) -> bool:
+    """Whether two hubs could exchange documents between two shards, whichever way ties fall."""
+    own = parts.groupBy("hub").agg(F.max("size").alias("_top"), F.collect_list(F.struct("shard", "size")).alias("_all"))
+    part = own.select("hub", "_top", "_all", F.explode("_all").alias("p"))  # at most ``shards`` parts a hub
+    to = F.explode(F.filter("_all", lambda x: (x["size"] == F.col("_top")) & (x["shard"] != F.col("p.shard")))).alias("q")
+    part = part.select("p", "_top", to)
+    ways = part.groupBy(F.col("p.shard").alias("s"), F.col("q.shard").alias("t")).agg(
+        F.count_if(F.col("p.size") < F.col("_top")).alias("less"), F.count_if(F.col("p.size") == F.col("_top")).alias("tied"))
+    found = {(r.s, r.t): (r.less, r.tied) for r in ways.collect()}  # at most shards ** 2
+    for (s, t), (less, tied) in found.items():
+        back = found.get((t, s), (0, 0))[0]
+        if tied > 1 or (less and (back or tied)) or (back and tied):
+            return True
+    return False
+
+
 def _send_back(fillers: DataFrame, surplus: Counter, counts: Counter, spark) -> DataFrame:
     """Unlinked documents leave the shards with a surplus and fill those with a deficit."""
     leaving = [(t, n) for t, n in sorted(surplus.items()) if n > 0]
@@ -55,48 +120,52 @@ def _send_back(fillers: DataFrame, surplus: Counter, counts: Counter, spark) ->
     ranked = gapless(fillers, sum(counts.values()), ["_row"], ["shard"], "_rank")
     ranked = ranked.join(out, ranked["shard"] == out["_s"], "left")
     turn = F.col("_at") + F.col("_rank")
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= turn))
-    target = F.element_at(F.array(*[F.lit(t) for t in targets]), place + 1)
+    target = F.element_at(F.array(*[F.lit(t) for t in targets]), _place(bounds, turn) + 1)
     return ranked.select(
         *fillers.columns, F.when(F.col("_rank") < F.col("_n"), target).otherwise(F.col("shard")).cast("int").alias("to")
     )
 
 
-def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS) -> DataFrame:
     """(_row, shard): ``items`` has a distinct ``_row`` and a ``hub`` (null: no neighbours).
 
-    Counts of shards differ by at most one. It ends when nothing wishes to move, when a round moves next to
-    nothing, or after ``rounds``.
+    Counts of shards differ by at most one. It ends when no wish can be granted. As every document that moves goes
+    to a larger part of its hub, or to one as large, the parts' squares grow with each round that grants any.
     """
     spark = items.sparkSession
     n = items.count()
     many = items.where(F.col("hub").isNotNull()).groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     many = scratch.keep(many, "hubs")  # written, so that Spark can split a hub that holds much in the join
-    dealt = gapless(items.select("_row", "hub"), n, ["_row"], [], "_rank")
-    known = dealt.join(many.select(F.col("hub").alias("_hub")), F.col("hub") == F.col("_hub"), "left")
-    state = known.select("_row", F.col("_hub").alias("hub"), F.pmod("_rank", F.lit(shards)).cast("int").alias("shard"))
-    state, before = scratch.keep(state, "state0"), "state0"
+    known = items.select("_row", "hub").join(many.select(F.col("hub").alias("_hub")), F.col("hub") == F.col("_hub"), "left")
+    known = known.select("_row", F.col("_hub").alias("hub"))
+    first = scratch.keep(_deal(known, many, n, shards), "state0")
+    placed = first.where("placed").select("_row", "shard")
+    state, before = first.where("not placed").drop("placed"), None
     # unlinked documents of each shard: at most ``shards`` numbers, kept up to date by what the rounds move
     spare = Counter({r.shard: r["count"] for r in state.where("hub is null").groupBy("shard").count().collect()})
-    linked_rows = n - sum(spare.values())
-    for turn in range(1, rounds + 1):
+    turn, idle = 0, False
+    while True:
+        turn += 1
         linked, fillers = state.where("hub is not null"), state.where("hub is null")
         parts = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("size"))
         # the largest part whose shard can still take in documents, ties by a hash that differs by round: flows
-        # then go both ways, and a wish that could not be granted may turn round
-        # (a shard that could take in less than a hundredth of its size counts as full)
-        full = [s for s in range(shards) if not spare[s] or 100 * spare[s] * shards < n]
-        open_ = ~F.col("shard").isin(full) if spare and full else F.lit(True)
+        # then go both ways, and a wish that could not be granted may turn round; after a round without a grant
+        # any largest part, as documents can still be exchanged between full shards
+        full = [s for s in range(shards) if not spare[s]]
+        any_ = idle or len(full) in (0, shards)
+        open_ = F.lit(True) if any_ else ~F.col("shard").isin(full)
         order = F.struct("size", F.xxhash64("hub", "shard", F.lit(turn)).alias("tie"), "shard")
         best = parts.groupBy("hub").agg(F.max(F.when(open_, order)).alias("best"))
         wish = parts.join(best, "hub").where((F.col("best.shard") != F.col("shard")) & (order < F.col("best")))
         wish = scratch.keep(wish.select("hub", "shard", F.col("best.shard").alias("to"), "size"), f"wishes{turn}")
         flows = wish.groupBy("shard", "to").agg(F.sum("size").alias("size")).collect()  # at most shards ** 2
         granted, surplus = _quotas(Counter({(r.shard, r.to): r["size"] for r in flows}), spare)
-        if not flows:
-            break
         if not granted:
+            if any_ and (not flows or not _exchangeable(parts)):
+                break
+            idle = True
             continue
+        idle = False
         quota = local_frame(spark, [(s, t, k) for (s, t), k in granted.items()], "shard int, to int, _k bigint")
         movers = linked.join(wish.drop("size"), ["hub", "shard"], "left").select("_row", "hub", "shard", "to")
         wishing = movers.where("to is not null")
@@ -105,12 +174,10 @@ def propagate(items: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds:
         back = _send_back(fillers, surplus, spare, spark).select("_row", "hub", F.col("to").alias("shard"))
         stay = movers.where("to is null").select("_row", "hub", "shard")
         state = scratch.keep(stay.union(moved).union(back), f"state{turn}")
-        scratch.drop(before, f"wishes{turn}")
+        scratch.drop(f"wishes{turn}", *[before] * bool(before))
         before = f"state{turn}"
         spare.subtract(surplus)
-        if SETTLED * sum(granted.values()) < linked_rows:
-            break
-    return state.select("_row", "shard")
+    return state.select("_row", "shard").union(placed)
 
 
 def shard_documents(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, key: str = "doc_id") -> DataFrame:

@@ -53,3 +53,9 @@ def test_without_single_documents_pairs_still_meet(spark):
 
 def test_empty(spark):
     assert sharding.shard_documents(empty(spark), Scratch(spark, "t")).count() == 0
+
+
+def test_a_group_of_a_third_in_forty_shards_fills_fourteen(spark):
+    texts = [(i, sentence(i, 12)) for i in range(800)] + [(1000 + i, "the same") for i in range(400)]
+    (parts,) = spread(place(spark, texts, 40)).values()
+    assert len(parts) == 14
