@@ -27,6 +27,8 @@ MOST_HASHES = 48
 CHUNK = 1 << 20
 #: Lines of one key that a task compares; more are cut into blocks, and every pair of blocks is compared.
 BLOCK_ROWS = 512
+#: The same for whole texts, whose shingles are many.
+WHOLE_ROWS = 256
 
 
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -40,18 +42,21 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_
 
 
 class Lines:
-    """The lines of a chunk that have a shingle: place, words, content hashes and shingle hashes."""
+    """The lines of a chunk that have a shingle: place, words, content hashes and shingle hashes.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, shingle: int):
+    ``whole``: a text is one line, and fewer words than a shingle are one shingle.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, shingle: int, whole: bool = False):
         fold, every = lower_ascii(), np.arange(256)
-        lines = Words(data, offsets, every != 10, np.arange(256, dtype=np.uint8))
+        lines = Words(data, offsets, (every != 10) | whole, np.arange(256, dtype=np.uint8))
         not_space = np.ones(256, bool)
         not_space[[9, 10, 11, 12, 13, 32]] = False
         words = Words(data, offsets, not_space, fold)
         hashes = words.hashes()
         line = np.searchsorted(lines.starts, words.starts, side="right") - 1
         n = np.bincount(line, minlength=len(lines.starts))
-        long = np.flatnonzero(n >= shingle)
+        long = np.flatnonzero(n >= (1 if whole else shingle))
         self.row, self.words = lines.row[long], n[long]
         self.paragraph = (np.arange(len(lines.starts)) - lines.first[lines.row])[long]
         first = (np.cumsum(n) - n)[long]
@@ -65,10 +70,14 @@ class Lines:
         total = np.zeros(m, np.uint64)
         for j in range(shingle):
             total = total * np.uint64(0x100000001B3) + hashes[j : j + m]
-        whole = line[:m] == line[shingle - 1 : shingle - 1 + m]
-        self.shingles = mix(total[whole])
-        self.shingle_count = self.words - shingle + 1
+        inside = line[:m] == line[shingle - 1 : shingle - 1 + m]
+        self.shingle_count = np.maximum(self.words - shingle + 1, 1)
         self.shingle_first = np.cumsum(self.shingle_count) - self.shingle_count
+        self.shingles = np.empty(int(self.shingle_count.sum()), np.uint64)
+        short = np.zeros(len(self.shingles), bool)
+        short[self.shingle_first[self.words < shingle]] = True
+        self.shingles[~short] = mix(total[inside])
+        self.shingles[short] = self.content[0][self.words < shingle].view(np.uint64)
 
     def keys(self, bands: int, rows: int) -> np.ndarray:
         """One key for each line and band."""
@@ -89,14 +98,14 @@ class Lines:
         return [np.unique(self.shingles[a : a + n]) for a, n in zip(self.shingle_first[index], self.shingle_count[index])]
 
 
-def _lines(table: DataFrame, key: str, kind: str, shingle: int, bands: int, rows: int) -> DataFrame:
+def _lines(table: DataFrame, key: str, kind: str, shingle: int, bands: int, rows: int, whole: bool = False) -> DataFrame:
     """One row a line, with its place in the chunk."""
 
     def scan(batches):
         for batch in batches:
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 docs = read_chunk(payload.as_buffer())
-                lines = Lines(*text_column(docs), shingle)
+                lines = Lines(*text_column(docs), shingle, whole)
                 n = len(lines.row)
                 keys = lines.keys(bands, rows)
                 yield pa.RecordBatch.from_arrays([
@@ -133,18 +142,23 @@ def _colliding(batches):
         yield from out(np.array([held]))
 
 
+def _shared(x, y) -> int:
+    """Values that two sets, or two sorted arrays without repeats, have in common."""
+    return len(x & y) if isinstance(x, frozenset) else len(np.intersect1d(x, y, assume_unique=True))
+
+
 def _similar(sets: list, lines: np.ndarray, threshold: float):
     """A spanning forest of the lines whose Jaccard similarity reaches the threshold."""
     rest = list(range(len(lines)))
-    own = [frozenset(s) for s in sets]
     while rest:
         front, rest = [rest[0]], rest[1:]
         while front and rest:
             node = front.pop()
-            mine, left = own[node], []
+            mine, left = sets[node], []
             for other in rest:
-                shared = len(mine & own[other])
-                if shared >= threshold * (len(mine) + len(own[other]) - shared) - 1e-9:
+                least, most = sorted((len(mine), len(sets[other])))
+                shared = _shared(mine, sets[other]) if least >= threshold * most - 1e-9 else 0
+                if shared >= threshold * (least + most - shared) - 1e-9:
                     front.append(other)
                     yield lines[node], lines[other]
                 else:
@@ -152,8 +166,11 @@ def _similar(sets: list, lines: np.ndarray, threshold: float):
             rest = left
 
 
-def _verify(batches, threshold: float):
-    """Links inside each group of rows (group, line, shingles) that are sorted by group."""
+def _verify(batches, threshold: float, whole: bool = False):
+    """Links inside each group of rows (group, line, shingles) that are sorted by group.
+
+    Shingles of whole texts stay arrays, at a tenth of a set's memory.
+    """
     group, line, sets = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
     def out(end):
@@ -165,7 +182,7 @@ def _verify(batches, threshold: float):
     for batch in batches:
         group = np.concatenate((group, batch.column(0).to_numpy()))
         line = np.concatenate((line, batch.column(1).to_numpy()))
-        sets += batch.column(2).to_pylist()
+        sets += [x.values.to_numpy().view(np.uint64).copy() for x in batch.column(2)] if whole else map(frozenset, batch.column(2).to_pylist())
         last = int(np.searchsorted(group, group[-1])) if len(group) else 0
         if last:
             yield from out(last)
@@ -175,24 +192,27 @@ def _verify(batches, threshold: float):
 
 def near_paragraphs(
     docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, key: str = "doc_id",
+    whole: bool = False,
 ) -> DataFrame:
     """(key, paragraph, n_words, class_doc, class_paragraph, copies, removed) for paragraphs that have a near-duplicate.
 
     ``paragraph`` counts the text's lines that are not empty, from 0. Lines of fewer words than a shingle are left
     alone. The class is named by its first paragraph (smallest key, then place; null keys last), the only one
     that is not removed. Null and empty texts have no paragraphs; repeated rows have repeated paragraphs.
+    ``whole``: every text is one paragraph, however short.
     """
     kind = docs.schema[key].dataType.simpleString()
     bands, rows = tune(threshold, recall)
     table = scratch.keep(with_row(chunk_rows(docs.select(key, "text"), CHUNK), "chunk").select("chunk", "payload"), "chunks")
-    lines = scratch.keep(with_row(_lines(table, key, kind, shingle, bands, rows), "line"), "lines")
+    lines = scratch.keep(with_row(_lines(table, key, kind, shingle, bands, rows, whole), "line"), "lines")
     one = lines.groupBy("c1", "c2").agg(F.min(F.struct("line", "keys")).alias("one"))
     keyed = one.select(F.explode(F.array_distinct("one.keys")).alias("key"), F.col("one.line").alias("line"))
     sorted_keys = keyed.repartition("key").sortWithinPartitions("key", "line")
     members = scratch.keep(arrow_map(sorted_keys, _colliding, "key bigint, line bigint", rows=20_000), "members")
 
-    hot = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
-    hot = scratch.keep(hot.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "hot_keys")
+    block = WHOLE_ROWS if whole else BLOCK_ROWS
+    hot = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    hot = scratch.keep(hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot_keys")
     if hot.isEmpty():
         dealt = members.select(F.col("key").alias("group"), "line")
     else:
@@ -206,7 +226,7 @@ def near_paragraphs(
 
     def shingles(left: pa.Table, right: pa.Table) -> pa.Table:
         place = right.column("place").to_numpy()
-        sets = Lines(*text_column(read_chunk(left.column("payload")[0].as_buffer())), shingle).sets(place) if len(place) else []
+        sets = Lines(*text_column(read_chunk(left.column("payload")[0].as_buffer())), shingle, whole).sets(place) if len(place) else []
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
         return pa.Table.from_arrays([right.column("line").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["line", "shingles"])
@@ -214,7 +234,7 @@ def near_paragraphs(
     sets = table.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(shingles, "line bigint, shingles array<bigint>")
     sets = scratch.keep(sets, "shingles")
     runs = dealt.join(sets, "line").select("group", "line", "shingles").repartition("group").sortWithinPartitions("group")
-    links = arrow_map(runs, lambda it: _verify(it, threshold), "a bigint, b bigint", rows=2000)
+    links = arrow_map(runs, lambda it: _verify(it, threshold, whole), "a bigint, b bigint", rows=WHOLE_ROWS if whole else 2000)
     roots = components(scratch.keep(links, "links"), scratch)
 
     same = lines.groupBy("c1", "c2").agg(F.min("line").alias("one"), F.count(F.lit(1)).alias("copies"))
@@ -229,3 +249,24 @@ def near_paragraphs(
         F.col("doc").alias(key), "paragraph", "n_words", F.col("first.doc").alias("class_doc"),
         F.col("first.paragraph").alias("class_paragraph"), "copies", (F.col("line") != F.col("first.line")).alias("removed"),
     )
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:
+    """The documents without near-duplicates: whole texts linked by the exact Jaccard similarity of their shingles.
+
+    Of each class the row with the smallest key stays (null keys last, then by the text's hash), as one row. Texts
+    of fewer words than a shingle are linked if their words are equal, and so are texts without words.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), text_hash.alias("text_hash"))
+    found = near_paragraphs(docs.select(row.alias("row"), "text"), scratch, threshold, shingle, key="row", whole=True)
+    found = found.where("removed").select("row", F.col("class_doc").alias("first"))
+    blank = docs.where(F.coalesce("text", F.lit("")).rlike("^[\\x09-\\x0D ]*\\z")).groupBy(row.alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    least = blank.agg(F.min("row").alias("first"))
+    again = blank.join(F.broadcast(least)).where((F.col("row") != F.col("first")) | (F.col("n") > 1)).select("row", "first")
+    found = scratch.keep(found.union(again), "removed")
+    gone = found.where(F.col("row") != F.col("first")).select(F.col("row.id").alias("_key"), F.col("row.text_hash").alias("_hash")).distinct()
+    out = docs.join(gone, docs[key].eqNullSafe(F.col("_key")) & (text_hash == F.col("_hash")), "left_anti")
+    if not found.where(F.col("row") == F.col("first")).isEmpty():  # rows that repeat whole
+        out = out.dropDuplicates([key, "text"])
+    return out
