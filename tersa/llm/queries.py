@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm import decontaminate, lm_score, packing, paragraphs, quality, sharding, simhash, suffix_dedup, topk, toxicity
+from tersa.llm import (
+    decontaminate, lm_score, packing, paragraphs, prefix_trie, quality, sharding, simhash, suffix_dedup, topk, toxicity,
+)
 from tersa.llm.common import Scratch
 from tersa.workload.views import table
 
@@ -136,3 +138,38 @@ def op1(spark, sf_dir):
 @register("op7_near_paragraphs")
 def op7(spark, sf_dir):
     return paragraphs.near_paragraphs(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
+
+
+def _crc32_sql(text: str) -> str:
+    """DuckDB expression for the unsigned crc32 of an ASCII text, bit by bit."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT))), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), "
+        "lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"
+    )
+
+
+_OP11_SQL = rf"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(k := md5(length(role) || ':' || role || text),
+    w := len(regexp_extract_all(text, '[^ 	-]+'))) ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS t
+  FROM r GROUP BY conv_id),
+h AS (SELECT conv_id, t, {_crc32_sql('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM o),
+f AS (SELECT h.conv_id, list_concat(coalesce(o.t[1:h.h], []), h.t[h.h + 1:]) AS t FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, len(t) = d AS ends, t[d].w AS w, md5(array_to_string(list_transform(t[1:d], lambda x: x.k), ',')) AS node,
+    CASE WHEN d > 0 THEN md5(array_to_string(list_transform(t[1:d - 1], lambda x: x.k), ',')) END AS parent
+  FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM f)),
+n AS (SELECT node, any_value(d) AS depth, any_value(parent) AS parent, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids FROM p GROUP BY node),
+c AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (node)),
+s AS (SELECT p.node, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * coalesce(x.w, 0)) AS saved
+  FROM x JOIN p ON p.conv_id = x.conv_id AND p.d <= x.depth GROUP BY p.node)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(x.ids, '')) AS ends_sha256
+FROM x JOIN s ON s.node = x.node LEFT JOIN n u ON u.node = x.parent"""
+
+
+@register("op11_prefix_trie", _OP11_SQL)
+def op11(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), Scratch(spark, "op11"))
