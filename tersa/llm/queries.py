@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tersa.llm import (
-    decontaminate, lm_score, packing, paragraphs, prefix_trie, quality, sharding, simhash, suffix_dedup, topk, toxicity,
+    decontaminate, lm_score, packing, paragraphs, prefix_trie, quality, repair, sharding, simhash, suffix_dedup, topk, toxicity,
 )
 from tersa.llm.common import Scratch
 from tersa.workload.views import table
@@ -152,7 +152,8 @@ def _crc32_sql(text: str) -> str:
 _OP11_SQL = rf"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT conv_id, list(struct_pack(k := md5(length(role) || ':' || role || text),
-    w := len(regexp_extract_all(text, '[^ 	-]+'))) ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS t
+    w := len(regexp_extract_all(text, '[^ 	-
+]+'))) ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS t
   FROM r GROUP BY conv_id),
 h AS (SELECT conv_id, t, {_crc32_sql('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM o),
 f AS (SELECT h.conv_id, list_concat(coalesce(o.t[1:h.h], []), h.t[h.h + 1:]) AS t FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20),
@@ -173,3 +174,8 @@ FROM x JOIN s ON s.node = x.node LEFT JOIN n u ON u.node = x.parent"""
 @register("op11_prefix_trie", _OP11_SQL)
 def op11(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), Scratch(spark, "op11"))
+
+
+@register("op13_conversation_repair")
+def op13(spark, sf_dir):
+    return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
