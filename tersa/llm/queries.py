@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tersa.llm import (
-    decontaminate, lm_score, packing, paragraphs, prefix_trie, quality, repair, sharding, simhash, suffix_dedup, topk, toxicity,
+    decontaminate, lm_score, packing, paragraphs, prefix_trie, quality, repair, secrets, sharding, simhash, suffix_dedup, topk, toxicity,
 )
 from tersa.llm.common import Scratch
 from tersa.workload.views import table
@@ -179,3 +179,39 @@ def op11(spark, sf_dir):
 @register("op13_conversation_repair")
 def op13(spark, sf_dir):
     return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def _op12_kind(number: int, kind: str, pattern: str) -> str:
+    pattern = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT r, owner, {number} AS k, '{kind}' AS kind, i, g, m, {f"regexp_extract(m, {pattern}, 2)" if number == 0 else "m"} AS v FROM (
+    SELECT r, owner, unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS g, unnest(m) AS m FROM (
+      SELECT r, owner, regexp_extract_all(text, {pattern}) AS m, regexp_split_to_array(text, {pattern}) AS g FROM d) WHERE len(m) > 0)"""
+
+
+_OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+    regexp_replace(coalesce(source, ''), '/[^/]*$', '') AS owner FROM documents),
+c AS ({" UNION ALL ".join(_op12_kind(k, kind, p) for k, (kind, p) in enumerate(zip(secrets.KINDS, secrets.PATTERNS)))}),
+p AS (SELECT *, sum(g + length(m)) OVER (PARTITION BY r, k ORDER BY i) AS stop FROM c),
+s AS (SELECT r, owner, k, kind, stop - length(m) AS start, stop, v FROM p WHERE k > 0 OR length(v) >= {secrets.ASSIGN_LEAST}),
+o AS (SELECT v, count(DISTINCT owner) >= {secrets.COPIED_OWNERS} AS copied FROM s GROUP BY v),
+q AS (SELECT s.*, NOT copied AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND length(v) <= {secrets.TOKEN_MOST}
+    AND NOT regexp_matches(v, '{secrets.PLACEHOLDER}') AND len(list_distinct(string_split(v, ''))) >= {secrets.DIFFERENT} AS owned FROM s JOIN o USING (v)),
+u AS (SELECT * FROM q WHERE k < 3 OR (owned AND NOT EXISTS (
+    SELECT 1 FROM q b WHERE b.r = q.r AND b.k < 3 AND b.start < q.stop AND q.start < b.stop))),
+w AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+    string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, k) FILTER (WHERE k < 3) AS base,
+    string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, k) AS spans FROM u GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN w USING (r)"""
+
+
+@register("op12_secret_ownership", _OP12_SQL)
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found, _, _ = secrets.scan_secrets(docs, Scratch(spark, "op12"))
+    base = F.sha2(F.array_join("base", ",").cast("binary"), 256)
+    return found.select(
+        "doc.doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), F.array_join("spans", ",").alias("spans")
+    )
