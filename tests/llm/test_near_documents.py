@@ -1,8 +1,7 @@
 from llm_fixtures import TEXTS, documents, empty, sentence
 
-import corpus_pipeline
-
-SF = "/root/testdata/sf0.001"
+from tersa.llm import paragraphs
+from tersa.llm.common import Scratch
 
 
 def shingles(text):
@@ -21,7 +20,7 @@ def brute(texts):
 
 
 def kept(spark, texts):
-    return sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), SF).collect())
+    return sorted((r.doc_id is None, r.doc_id or 0) for r in paragraphs.one_of_each(documents(spark, texts), Scratch(spark, "near")).collect())
 
 
 def edited(seed, n, edits):
@@ -49,4 +48,4 @@ def test_awkward_documents(spark):
 
 
 def test_empty(spark):
-    assert corpus_pipeline.drop_near_duplicates(spark, empty(spark), SF).count() == 0
+    assert paragraphs.one_of_each(empty(spark), Scratch(spark, "near")).count() == 0
