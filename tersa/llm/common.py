@@ -247,6 +247,13 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     )
 
 
+def rows_by_text(docs: DataFrame, which: DataFrame, key: str, how: str) -> DataFrame:
+    """The rows of docs (``left_semi``) in which, or not in it (``left_anti``): (_key, _hash) of the text; any column names may be there."""
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text_hash = F.xxhash64(F.coalesce("row.text", F.lit("")))
+    return kept.join(which, F.col(f"row.`{key}`").eqNullSafe(F.col("_key")) & (text_hash == F.col("_hash")), how).select("row.*")
+
+
 def hold(column: str | Column) -> Column:
     """crc32 of a number's decimal text, as the fold of labelled rows is defined."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"))

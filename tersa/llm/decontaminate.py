@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tersa.llm.common import Scratch, Words, arrow_map, chunks, list_array, lower_ascii, mix, text_column, with_row
+from tersa.llm.common import Scratch, Words, arrow_map, chunks, list_array, lower_ascii, mix, rows_by_text, text_column, with_row
 
 WINDOW = 13
 GRAM = 5
@@ -158,8 +158,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     named = docs.select(F.struct(F.col(key).alias("id"), text_hash.alias("text_hash")).alias("_id"), "text")
     judged, _ = contamination(named, benchmark, scratch, key="_id", **options)
-    bad = judged.where(contaminated()).select("_id").distinct()
-    return docs.join(bad, docs[key].eqNullSafe(F.col("_id.id")) & (text_hash == F.col("_id.text_hash")), "left_anti")
+    bad = judged.where(contaminated()).select(F.col("_id.id").alias("_key"), F.col("_id.text_hash").alias("_hash")).distinct()
+    return rows_by_text(docs, bad, key, "left_anti")
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tersa.llm.common import (
-    Scratch, Words, _power_tables, arrow_map, chunk_rows, components, lower_ascii, mix, read_chunk, text_column, with_row,
+    Scratch, Words, _power_tables, arrow_map, chunk_rows, components, lower_ascii, mix, read_chunk, rows_by_text, text_column, with_row,
 )
 
 SHINGLE = 5
@@ -266,7 +266,7 @@ def one_of_each(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     again = blank.join(F.broadcast(least)).where((F.col("row") != F.col("first")) | (F.col("n") > 1)).select("row", "first")
     found = scratch.keep(found.union(again), "removed")
     gone = found.where(F.col("row") != F.col("first")).select(F.col("row.id").alias("_key"), F.col("row.text_hash").alias("_hash")).distinct()
-    out = docs.join(gone, docs[key].eqNullSafe(F.col("_key")) & (text_hash == F.col("_hash")), "left_anti")
+    out = rows_by_text(docs, gone, key, "left_anti")
     if not found.where(F.col("row") == F.col("first")).isEmpty():  # rows that repeat whole
         out = out.dropDuplicates([key, "text"])
     return out

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.common import Scratch, arrow_map, components, text_column
+from tersa.llm.common import Scratch, arrow_map, components, rows_by_text, text_column
 
 DISTANCE = 4
 SHINGLE = 4
@@ -196,8 +196,7 @@ def one_of_each(docs: DataFrame, scratch: Scratch, distance: int = DISTANCE, shi
     found = scratch.keep(near_duplicates(docs, scratch, distance, shingle, key), "found")
     kept = found.where(F.col(key).eqNullSafe(F.col(f"keeper.{key}")) & (F.col("text_hash") == F.col("keeper.text_hash")))
     kept = kept.groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    out = docs.join(kept.select("_key", "_hash"), docs[key].eqNullSafe(F.col("_key")) & (text_hash == F.col("_hash")), "left_semi")
+    out = rows_by_text(docs, kept.select("_key", "_hash"), key, "left_semi")
     if not kept.where("_n > 1").isEmpty():  # rows that repeat whole
         out = out.dropDuplicates([key, "text"])
     return out

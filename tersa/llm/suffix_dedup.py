@@ -17,6 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tersa.llm.common import Scratch, arrow_map, chunk_rows, mix, read_chunk, slices, text_column, with_row
 from tersa.llm.induced_sort import DEPTH, sorted_suffixes
@@ -337,7 +338,10 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, whole_characters: bool = F
     replies = sent.where("shard >= 0").groupBy("shard").applyInArrow(_answer, "chunk bigint, shard bigint, reply binary")
     own_runs = sent.where("shard < 0").select("chunk", "shard", F.col("segments").alias("reply"))
     replies = scratch.keep(replies.union(own_runs), "replies")
-    row_type = docs.schema.simpleString()
+    schema = T.StructType([
+        T.StructField("doc", docs.schema), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
+        T.StructField("kept", T.BinaryType()),
+    ])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = read_chunk(left.column("payload")[0].as_buffer())
@@ -377,7 +381,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, whole_characters: bool = F
         ], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = packed.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    return joined.applyInArrow(finish, f"doc {row_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return joined.applyInArrow(finish, schema)
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id") -> DataFrame:

@@ -3,6 +3,7 @@ import sys
 
 import pytest
 from llm_fixtures import documents, empty, sentence
+from pyspark.sql import functions as F
 
 from test_decontaminate import brute as brute_hits
 from test_packing import check_plan
@@ -82,8 +83,13 @@ def test_awkward_and_empty_tables_pass_every_stage(spark):
     texts = [*plain, (20, plain[0][1]), (21, None), (22, ""), (None, sentence(99, 30)), (5, plain[5][1])]
     for docs in (documents(spark, texts), empty(spark)):
         docs = docs.select("doc_id", "text", "lang", "source", "n_chars", "_row", "rank", "hash", "score")
+        docs = docs.withColumns({c: F.lit("x") for c in ("_key", "_hash", "_id", "_n", "row", "key")}).withColumns({
+            "whole": F.lit(1), "list": F.array(F.lit("a")), "map": F.create_map(F.lit("k"), F.lit(2)), "at": F.current_timestamp(),
+        })
+        names = docs.columns
         for _, stage in corpus_pipeline.STAGES:
             folder = spark.conf.get("spark.checkpoint.dir") + f"/awkward-{os.urandom(4).hex()}"
             stage(spark, docs, SF).write.parquet(folder)
-            docs = spark.read.parquet(folder)
+            given, docs = docs, spark.read.parquet(folder)
+        assert given.columns == names and dict(given.dtypes)["map"] == "map<string,int>"
         docs.count()
