@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tersa.functions import dates, names, numbers, text
 from tersa.functions import vocabulary as V
 from tersa.operators.catalog import DATE, NUMBER, OTHER, TEXT, kind_of
-from tersa.operators.selection import FEW_VALUES, exact_medians, ordered_medians, shared
+from tersa.operators.selection import FEW_VALUES, exact_medians, grouped_medians, ordered_medians, shared
 from tersa.sources.checkpoints import has_checkpoint_folder, reliable_checkpoint
 from tersa.sources.local import local_frame
 
@@ -457,10 +457,15 @@ class Analysis:
             .groupBy("position")
             .agg(F.sum(F.col("w") * F.pow(F.col("v") - F.col("mean"), 2)).alias("squares"))
         )
+        typed = [r.position for r in found if self.kinds[r.position] == NUMBER]
+        worded = [r for r in found if self.kinds[r.position] != NUMBER]
         parts = []
+        if typed:
+            cells = self._read_typed(self.typed_rows()).where(F.col("position").isin(typed))
+            parts.append(grouped_medians(cells.select("position", F.col("number").alias("v")), "position"))
         for select, chosen in (
-            (ordered_medians, [r.position for r in found if r.unique_count <= FEW_VALUES]),
-            (exact_medians, [r.position for r in found if r.unique_count > FEW_VALUES]),
+            (ordered_medians, [r.position for r in worded if r.unique_count <= FEW_VALUES]),
+            (exact_medians, [r.position for r in worded if r.unique_count > FEW_VALUES]),
         ):
             if chosen:
                 some = limits.drop("mean").where(F.col("position").isin(chosen))

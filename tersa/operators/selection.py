@@ -1,9 +1,11 @@
 """Exact medians that never gather a column's values into one task.
 
-``median``/``percentile`` keep every distinct value of a group in one aggregation buffer. Here a value
-is a 64-bit number that orders like it (its exponent, then its mantissa). Four counting passes find
-16 bits each, with at most 65 536 counters per group, however the values are spread. All passes are plain
-aggregates with map-side combine over one shared exchange.
+``median``/``percentile`` keep every distinct value of a group in one aggregation buffer. ``grouped_medians`` selects
+with pivots instead: a quantile sketch gives two splitters round the middle of each group, and one more pass counts what
+lies outside and keeps what lies between, a few values in ten thousand. Both passes combine on the map side.
+
+``exact_medians`` is for weighted values. A value is a 64-bit number that orders like it (its exponent, then its
+mantissa). Four counting passes find 16 bits each, with at most 65 536 counters per group, however the values are spread.
 """
 
 from __future__ import annotations
@@ -12,6 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FEW_VALUES = 65_536
+#: A splitter's rank is off by at most one row in so many; the bracket leaves room for four times that.
+SKETCH_ACCURACY = 10_000
+_MARGIN = 4 / SKETCH_ACCURACY
+#: Equal parts of a bracket, so that no task sorts all that lies in it.
+_PARTS = 1024
 _LEAST = -1022  # the exponent of zero and of all numbers below the normal ones
 
 
@@ -62,13 +69,15 @@ def _pick(counted: DataFrame, group: list[str], order: str, before: Column, keep
     return ranked.where(hit).select(*keep, "below")
 
 
-def _wanted_ranks(limits: DataFrame, key: str) -> DataFrame:
-    """(key, rank): the one or two middle ranks of each key."""
-    total = F.col("total")
-    ranks = F.array_distinct(
+def _middle_ranks(total: Column) -> Column:
+    return F.array_distinct(
         F.array(F.floor((total + 1) / 2).cast("bigint"), F.floor(total / 2 + 1).cast("bigint"))
     )
-    return limits.select(key, F.explode(ranks).alias("rank"))
+
+
+def _wanted_ranks(limits: DataFrame, key: str) -> DataFrame:
+    """(key, rank): the one or two middle ranks of each key."""
+    return limits.select(key, F.explode(_middle_ranks(F.col("total"))).alias("rank"))
 
 
 def ordered_medians(values: DataFrame, limits: DataFrame, key: str) -> DataFrame:
@@ -104,12 +113,45 @@ def exact_medians(values: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     return hit.groupBy(key).agg(F.avg("v").alias("median"))
 
 
+def splitters(numbers: DataFrame, key: str) -> DataFrame:
+    """(key, total, low, high): values whose ranks lie closely below and above each group's middle; one sketch a task."""
+    around = F.percentile_approx("v", [0.5 - _MARGIN, 0.5 + _MARGIN], SKETCH_ACCURACY)
+    found = numbers.groupBy(key).agg(F.count("v").alias("total"), around.alias("around"))
+    return found.select(key, "total", F.col("around")[0].alias("low"), F.col("around")[1].alias("high"))
+
+
+def bracketed(numbers: DataFrame, bounds: DataFrame, key: str) -> DataFrame:
+    """(key, total, part, v, w): the distinct values between the splitters with their counts.
+
+    Parts cut the bracket into equal widths, in the order of the values; all that lies below or above is one row
+    without a value, in the first or the last part.
+    """
+    placed = numbers.join(F.broadcast(bounds), key)  # one row of bounds for each key
+    side = F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0)
+    placed = placed.withColumn("side", side).withColumn("v", F.when(F.col("side") == 0, F.col("v")))
+    counted = placed.groupBy(key, "total", "low", "high", "side", "v").agg(F.count(F.lit(1)).alias("w"))
+    # halves, so that the width of a bracket cannot overflow
+    share = (F.col("v") / 2 - F.col("low") / 2) / F.nullif(F.col("high") / 2 - F.col("low") / 2, F.lit(0.0))
+    part = F.coalesce(F.least(F.floor(share * _PARTS), F.lit(_PARTS)), F.lit(0)) + F.col("side") * (_PARTS + 1)
+    return shared(counted.select(key, "total", part.cast("int").alias("part"), "v", "w"), key, "part", "v")
+
+
 def grouped_medians(numbers: DataFrame, key: str = "k") -> DataFrame:
-    """(key, median): the exact medians of (key, v); one grouping of the values serves all passes."""
-    counted = numbers.where(F.col("v").isNotNull()).groupBy(key, "v").agg(F.count(F.lit(1)).alias("w"))
-    counted = shared(counted, key, "v")
-    limits = counted.groupBy(key).agg(F.sum("w").alias("total"))
-    return exact_medians(counted, limits, key)
+    """(key, median): the exact medians of (key, v), NULLs ignored. Keys are few (columns): their splitters are broadcast.
+
+    A middle outside its bracket would break the sketch's promise of accuracy; that is an error, not another value.
+    """
+    known = numbers.select(key, "v").where(F.col("v").isNotNull())
+    values = bracketed(known, splitters(known, key), key)
+    parts = values.groupBy(key, "total", "part").agg(F.sum("w").alias("w"))
+    parts = parts.select(key, "part", "w", F.explode(_middle_ranks(F.col("total"))).alias("rank"))
+    part = _pick(parts, [key, "rank"], "part", F.lit(0), [key, "rank", "part"])
+    part = part.withColumnRenamed("below", "base")
+    inside = values.select(key, "part", "v", "w").join(F.broadcast(part), [key, "part"])
+    hit = _pick(inside, [key, "rank"], "v", F.col("base"), [key, "rank", "v"])
+    sound = F.when(F.count_if(F.col("v").isNull()) == 0, F.avg("v"))
+    broken = F.raise_error(F.lit("INEXACT_SKETCH: a median lies outside its bracket")).cast("double")
+    return hit.groupBy(key).agg(sound.alias("median")).select(key, F.coalesce("median", broken).alias("median"))
 
 
 def column_median(df: DataFrame, number: Column) -> DataFrame:

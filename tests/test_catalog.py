@@ -10,7 +10,10 @@ from tersa import (
     quality_overall, register_operation,
 )
 from tersa.operators.catalog import remove_duplicates, unregister_operation
-from tersa.operators.selection import _with_order, column_median, exact_medians, most_frequent
+from tersa.operators import selection
+from tersa.operators.selection import (
+    _with_order, bracketed, column_median, exact_medians, grouped_medians, most_frequent, splitters,
+)
 
 
 @pytest.fixture
@@ -171,6 +174,35 @@ def test_exact_median(spark, values):
     assert column_median(df, F.col("x")).first()[0] == statistics.median(values)
 
 
+@pytest.mark.parametrize("values", [
+    "1 + id * 1e-12", "CAST(id % 3 AS DOUBLE)", "pow(10.0D, id % 300 - 150)", "IF(id < 700000, 5.0D, rand(1))", "-id * 1e300 / 1e6",
+])
+def test_medians_of_a_million_values_by_pivots(spark, values):
+    """Two splitters leave a few values in ten thousand, however a million are spread, and no part of them is large."""
+    df = spark.range(1_000_000).selectExpr("CAST(id % 2 AS INT) AS k", f"{values} AS v")
+    exact = df.groupBy("k").agg(F.percentile("v", 0.5).alias("median"))
+    assert sorted(map(tuple, grouped_medians(df).collect())) == sorted(map(tuple, exact.collect()))
+    kept = bracketed(df, splitters(df, "k"), "k").where("v IS NOT NULL").groupBy("part").count()
+    most = kept.agg(F.max("count"), F.sum("count")).first()
+    assert most[1] <= 2 * 500_000 * 10 / selection.SKETCH_ACCURACY and most[0] <= 500
+
+
+def test_a_bracket_that_misses_is_an_error(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("0 AS k", "CAST(id AS DOUBLE) AS v")
+    wrong = spark.sql("SELECT 0 AS k, 1000L AS total, 700.0D AS low, 800.0D AS high")
+    monkeypatch.setattr(selection, "splitters", lambda numbers, key: wrong)
+    with pytest.raises(Exception, match="INEXACT_SKETCH"):
+        grouped_medians(df).collect()
+
+
+def test_medians_of_groups_read_their_source_twice(spark, tmp_path):
+    spark.range(5000).selectExpr("id % 4 AS k", "rand(5) AS v").write.parquet(str(tmp_path / "t"))
+    medians = grouped_medians(spark.read.parquet(str(tmp_path / "t")))
+    medians.collect()
+    plan = medians._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 2
+
+
 def test_weighted_medians_by_key(spark):
     rows = [("a", 1.0, 3), ("a", 2.0, 1), ("a", -5.0, 1), ("a", None, 9), ("b", 7.0, 2), ("b", 8.0, 2)]
     df = spark.createDataFrame(rows, "k string, v double, w bigint")
