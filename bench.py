@@ -42,9 +42,9 @@ def clean_with_audit(spark):
         Step("fill_missing", "total", {"strategy": "median"}),
         Step("clamp_range", "total", {"min_value": 0, "max_value": 400000.0}),
     ]
-    done = execute_plan(view(spark, SF_DIR, "pedidos"), steps)
-    run(done.frame)
-    run(done.audit)
+    watched = execute_plan(view(spark, SF_DIR, "pedidos"), steps).watched()
+    run(watched.frame)
+    run(watched.audit())
 
 
 def dedup_lineitem_by_key(spark):

@@ -203,8 +203,8 @@ def _fill_stages(kind, params):
 
 def fill_statistics(
     df: DataFrame, wanted: list[tuple[str, str, dict]], prefix: str = "__statistics"
-) -> tuple[DataFrame, list[Column]]:
-    """The table with its statistics, and the filling value of each (column, kind, parameters).
+) -> tuple[dict[str, Column], list[Column]]:
+    """The statistics as columns to add to the table, and the filling value of each (column, kind, parameters).
 
     All means are one scalar subquery, all medians another, all most frequent texts a third, whatever
     the number of columns. Each is a column of its own, named with ``prefix``, that the fills read fields of:
@@ -261,7 +261,7 @@ def fill_statistics(
             values.append(F.coalesce(value, default))
         else:
             values.append(numbers.float_text(value) if kind == TEXT else value)
-    return df.withColumns(extra), values
+    return extra, values
 
 
 # --- what counts as a changed cell -------------------------------------------------------------
@@ -441,7 +441,8 @@ def apply_operation(
         return map_large_category(df, column, params["mappings"])
     names = df.columns
     if needs_statistic(operation, params):
-        df, (fill,) = fill_statistics(df, [(column, kinds[column], params)])
+        extra, (fill,) = fill_statistics(df, [(column, kinds[column], params)])
+        df = df.withColumns(extra)
         params = {**params, "__fill__": fill}
     for stage in op.stages(kinds[column], params):
         df = df.withColumn(column, stage(F.col(f"`{column}`")))

@@ -4,26 +4,28 @@ Consecutive row steps are fused: the n-th stage of every column goes into the n-
 a plan of hundreds of steps is a handful of projections. Only steps that need an aggregate of the
 current table (mean, median, mode) or that remove rows start a new segment.
 
-The audit is one ordinary aggregate for each segment rather than an accumulator that rides on the
-write: accumulators count twice when a lost executor makes Spark re-run a map stage. What a dedup drops is
-the difference of its neighbours' row counts.
+The audit is lazy: one ordinary aggregate for each segment. ``Execution.watched`` counts on the write instead. All flags behind
+the last step that removes rows ride to the end of the plan and are observed there, in the stage that writes: Spark takes the
+metrics of a result task once, however often it is retried or a map stage before it is run again. Segments before such
+a step keep their aggregate. What a dedup drops is the difference of its neighbours' row counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from time import perf_counter
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tersa.operators import catalog
 from tersa.plans.steps import Step, numbered, plan_from_json
 from tersa.sources.checkpoints import has_checkpoint_folder, reliable_checkpoint
 from tersa.sources.files import write_clean
-from tersa.sources.hygiene import count_empty_rows, drop_empty_rows, fingerprint
+from tersa.sources.hygiene import count_empty_rows, drop_empty_rows, empty_row_counts, fingerprint
 from tersa.sources.local import local_frame
 
 AUDIT_COLUMNS = (
@@ -32,6 +34,17 @@ AUDIT_COLUMNS = (
 )
 
 
+@dataclass
+class Watched:
+    """The clean table, to be written once and whole, and its audit, to be asked for after that.
+
+    ``audit`` waits for the write; it reads what the write counted, and aggregates only what lies before a dedup.
+    """
+
+    frame: DataFrame
+    audit: Callable[[], DataFrame]
+
+
 @dataclass
 class Execution:
     """Outcome of a plan: everything is lazy until written or shown."""
@@ -42,6 +55,13 @@ class Execution:
     applied: list[Step]
     skipped: list[Step]
     errors: list[tuple[Step, str]] = field(default_factory=list)
+    _watch: Callable[[], Watched] | None = None
+
+    def watched(self) -> Watched:
+        """The table with counters for the audit on it; each call gives a table for one write."""
+        if self._watch is None:
+            raise ValueError("INVALID_PARAMETER: a stream is written without an audit")
+        return self._watch()
 
     @property
     def status(self) -> str:
@@ -78,22 +98,27 @@ def _hash_text(side: str) -> Column:
 
 
 class _Segment:
-    """Row and schema steps that share projections over one base table."""
+    """Row and schema steps that share projections over one base table.
+
+    ``link`` makes the base from the table of the segment before; it is None where rows were removed in between.
+    """
 
-    def __init__(self, base: DataFrame, hidden: set[str] = frozenset()):
-        self.base = base
+    def __init__(self, base: DataFrame, hidden: set[str] = frozenset(), link: Callable[[DataFrame], DataFrame] | None = None):
+        self.base, self.link = base, link
         self.names = {c: c for c in base.columns if c not in hidden}  # visible name -> physical column
         self.kinds = catalog.column_kinds(base)
         self.layers: list[dict[str, Column]] = []
         self.flags: list[dict[str, Column]] = []
         self.depth: dict[str, int] = {}
         self.audited: list[tuple[int, Step, list[str]]] = []
+        self.total = ""  # the name of its totals in the audit
 
     @classmethod
     def mapped(cls, df: DataFrame, position: int, step: Step, kind: str, params: dict) -> _Segment:
         """A segment that begins with a large dictionary: the value before rides along for the count."""
         saved = f"__before_{position}"
-        segment = cls(catalog.map_large_category(df, step.target, params["mappings"], saved), {saved})
+        link = lambda table: catalog.map_large_category(table, step.target, params["mappings"], saved)
+        segment = cls(link(df), {saved}, link)
         changed = catalog.get_operation(step.operation).changed
         flag = changed(F.col(saved), F.col(f"`{step.target}`"), kind, params)
         segment.flags[segment._layer(0)][f"__modified_{position}"] = flag
@@ -147,8 +172,8 @@ class _Segment:
         self.kinds[phys] = op.result_kind(kind, params)
         self.audited.append((position, step, list(flags)))
 
-    def _project(self, with_flags: bool) -> DataFrame:
-        df = self.base
+    def _project(self, with_flags: bool, base: DataFrame | None = None) -> DataFrame:
+        df = self.base if base is None else base
         for layer, flags in zip(self.layers, self.flags):
             df = df.withColumns({**layer, **flags} if with_flags else layer)
         return df
@@ -157,13 +182,20 @@ class _Segment:
         df = self._project(with_flags=False)
         return df.select(*[F.col(f"`{p}`").alias(n) for n, p in self.names.items()])
 
+    def counts(self) -> dict[str, str]:
+        """What the steps count: name in the totals -> flag column."""
+        return {f"{f}_{position}": f"__{f}_{position}" for position, _, flags in self.audited for f in flags}
+
     def totals(self) -> DataFrame:
         """One row: the segment's rows and what its steps counted; reads only the columns they touch."""
-        df = self._project(with_flags=True)
-        totals = [F.count(F.lit(1)).alias("rows")]
-        for position, _, flags in self.audited:
-            totals += [F.count_if(f"__{f}_{position}").alias(f"{f}_{position}") for f in flags]
-        return df.agg(*totals)
+        counted = [F.count_if(flag).alias(name) for name, flag in self.counts().items()]
+        return self._project(with_flags=True).agg(F.count(F.lit(1)).alias("rows"), *counted)
+
+    def flagged(self, base: DataFrame, carried: list[str]) -> DataFrame:
+        """The segment's table over another base, with its flags and those that the base carries."""
+        df = self._project(with_flags=True, base=base)
+        visible = [F.col(f"`{p}`").alias(n) for n, p in self.names.items()]
+        return df.select(*visible, *carried, *self.counts().values())
 
     def entries(self, totals: Column) -> list[Column]:
         """The audit entries of the segment's steps, read from its totals."""
@@ -188,11 +220,44 @@ class _Audit:
         entry = _audit_entry(position, step, status, empty, {"modified": empty})
         self.entries.append(entry.withField("message", F.lit(message)))
 
-    def frame(self) -> DataFrame:
+    def frame(self, observed: dict[str, Column] | None = None) -> DataFrame:
+        """The entries; ``observed`` totals take the place of the aggregates of that name."""
         if not self.entries:
             return local_frame(self.spark, [], AUDIT_COLUMNS)
         one = local_frame(self.spark, [(1,)], "one int")
-        return one.withColumns(self.totals).select(F.inline(F.array(*self.entries)))
+        return one.withColumns({**self.totals, **(observed or {})}).select(F.inline(F.array(*self.entries)))
+
+
+def _literal_struct(values: dict) -> Column:
+    return F.struct(*[F.lit(v).cast("bigint").alias(k) for k, v in values.items()])
+
+
+def _watch(audit: _Audit, tail: list[_Segment], unpurged: DataFrame | None) -> Watched:
+    """``tail``: the segments behind the last step that removes rows; ``unpurged``: the first one's table with its empty rows."""
+    at_source, at_end = Observation(), Observation()
+    df = tail[0].base
+    if unpurged is not None:
+        df = drop_empty_rows(unpurged.observe(at_source, *empty_row_counts(unpurged)))
+    carried: list[str] = []
+    for segment in tail:
+        df = segment.flagged(segment.link(df) if segment.link else df, carried)
+        carried += segment.counts().values()
+    visible = [c for c in df.columns if c not in carried]
+    if carried or audit.entries:
+        df = df.observe(at_end, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(c) for c in carried])
+
+    def entries() -> DataFrame:
+        if not audit.entries:
+            return audit.frame()
+        found = at_end.get
+        observed = {} if unpurged is None else {"__purge": _literal_struct(at_source.get)}
+        for segment in tail:
+            counts = {name: found[flag] for name, flag in segment.counts().items()}
+            if segment.total:
+                observed[segment.total] = _literal_struct({"rows": found["rows"], **counts})
+        return audit.frame(observed)
+
+    return Watched(df.select(*[F.col(f"`{c}`") for c in visible]), entries)
 
 
 def _audit_entry(position: int, step: Step, status: str, rows: Column, counts: dict) -> Column:
@@ -260,12 +325,14 @@ def execute_plan(
         audit.entries.append(_audit_entry(0, purge, "applied", counted["rows_kept"], {"modified": counted["rows_purged"]}))
         df = drop_empty_rows(df)
     segment = _Segment(df)
+    tail, shuffled = [segment], False
     dedup: tuple[int, Step, Column] | None = None  # waits for the row count of the segment after it
 
     def close(current: _Segment, counted: bool = False) -> DataFrame:
         nonlocal dedup
         if counted or dedup or current.audited:
-            totals = audit.total(f"__segment_{len(audit.totals)}", current.totals())
+            current.total = f"__segment_{len(audit.totals)}"
+            totals = audit.total(current.total, current.totals())
             if dedup:
                 position, step, before = dedup
                 dropped = {"modified": before - totals["rows"]}
@@ -295,20 +362,25 @@ def execute_plan(
                     after = reliable_checkpoint(after)
                 dedup = (position, step, segment.rows)
                 segment = _Segment(after)
+                tail = [segment]
             elif catalog.needs_statistic(step.operation, params):
                 if position not in fills:  # a barrier for this step and those after it that it can serve
                     together = _statistic_steps(plan, position, segment.visible_kinds())
                     current = close(segment)
                     wanted = [(s.target, segment.visible_kinds()[s.target], p) for _, s, p in together]
-                    known, values = catalog.fill_statistics(current, wanted, f"__statistics_{position}")
+                    extra, values = catalog.fill_statistics(current, wanted, f"__statistics_{position}")
                     fills |= dict(zip([i for i, _, _ in together], values))
-                    segment = _Segment(known, set(known.columns) - set(current.columns))
+                    link = lambda table, extra=extra: table.withColumns(extra)
+                    segment = _Segment(link(current), set(extra), link)
+                    tail.append(segment)
                 params["__fill__"] = fills[position]
                 segment.add(position, step, params)
             elif step.operation == "normalize_category" and len(params["mappings"]) > catalog.SMALL_MAPPING:
                 current = close(segment)
                 kind = segment.visible_kinds()[step.target]
                 segment = _Segment.mapped(current, position, step, kind, params)
+                shuffled |= len(params["mappings"]) > catalog.BROADCAST_MAPPING
+                tail.append(segment)
             else:
                 segment.add(position, step, params)
             applied.append(step)
@@ -316,9 +388,11 @@ def execute_plan(
             errors.append((step, str(exc)))
             audit.literal(position, step, "error", str(exc))
     frame = close(segment)
-    # A stream has no totals to read: its audit is empty.
-    entries = local_frame(df.sparkSession, [], AUDIT_COLUMNS) if df.isStreaming else audit.frame()
-    return Execution(source, frame, entries, applied, skipped, errors)
+    if df.isStreaming:  # a stream has no totals to read: its audit is empty
+        return Execution(source, frame, local_frame(df.sparkSession, [], AUDIT_COLUMNS), applied, skipped, errors)
+    # empty rows are counted at the source, which is in the stage that writes only if nothing is shuffled on the way
+    purged = source if purge_empty_rows and tail[0].base is df and not shuffled else None
+    return Execution(source, frame, audit.frame(), applied, skipped, errors, lambda: _watch(audit, tail, purged))
 
 
 def _statistic_steps(plan: list, position: int, kinds: dict[str, str]) -> list[tuple[int, Step, dict]]:
@@ -344,15 +418,18 @@ def run_plan(
 ) -> tuple[Execution, DataFrame]:
     """Execute a plan, write the clean table and sum up the run.
 
-    Returns the execution and one summary row, with the path, the start and the seconds taken. Steps that
+    Returns the execution and one summary row, with the path, the start and the seconds taken. The write counts for the
+    execution's audit. Steps that
     remove rows are checkpointed if the session names a folder, so that writing and auditing do
     not shuffle the table again.
     """
     options.setdefault("checkpoint", has_checkpoint_folder(df.sparkSession))
     started, clock = datetime.now(timezone.utc), perf_counter()
     done = execute_plan(df, steps, **options)
-    write_clean(done.frame, path, format)
+    watched = done.watched()
+    write_clean(watched.frame, path, format)
     seconds = round(perf_counter() - clock, 3)
+    done.audit = watched.audit()
     reader = df.sparkSession.read
     written = reader.parquet(path) if format == "parquet" else reader.option("header", True).csv(path)
     summary = done.summary(written).withColumns({

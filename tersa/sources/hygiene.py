@@ -29,14 +29,19 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.where(~is_empty_row(df))
 
 
-def count_empty_rows(df: DataFrame) -> DataFrame:
-    """One row: rows read, rows purged, rows kept."""
+def empty_row_counts(df: DataFrame) -> list[Column]:
+    """Aggregates: rows read, rows purged, rows kept."""
     empty = is_empty_row(df)
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(empty).alias("rows_purged"),
         F.count_if(~empty).alias("rows_kept"),
-    )
+    ]
+
+
+def count_empty_rows(df: DataFrame) -> DataFrame:
+    """One row: rows read, rows purged, rows kept."""
+    return df.agg(*empty_row_counts(df))
 
 
 def validate_ingest(

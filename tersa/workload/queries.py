@@ -835,6 +835,35 @@ def e4(spark, sf_dir):
     return audit.select("step_id", "operation", "status", "rows", "modified")
 
 
+def _audit_of_write(df, steps, folder, **options):
+    """The audit that the write of the clean table has counted."""
+    watched = execute_plan(df, steps, **options).watched()
+    write_clean(watched.frame, folder)
+    return watched.audit()
+
+
+@register("e4_audit_on_write", _AUDIT_SQL)
+def e4_write(spark, sf_dir):
+    """The same counts, taken by the write itself."""
+    audit = _audit_of_write(view(spark, sf_dir, "clientes"), _client_steps(), shared_folder(spark, "audit"))
+    return audit.select("step_id", "operation", "status", "rows", "modified")
+
+
+@register("e5_audit_on_write_after_dedup", _with("vacias", f"""
+, k AS (SELECT clave, estado, prioridad FROM vacias WHERE NOT ({_EMPTY})),
+u AS (SELECT DISTINCT estado, prioridad FROM k),
+n AS (SELECT (SELECT count(*) FROM vacias) AS read, (SELECT count(*) FROM k) AS kept, (SELECT count(*) FROM u) AS left_over,
+  (SELECT count(*) FROM k WHERE clave IS NULL) AS gaps, (SELECT count(*) FROM u WHERE estado <> lower(estado)) AS lowered)
+SELECT step_id, r AS rows, m AS modified FROM n, LATERAL (VALUES ('STEP-000', kept, read - kept), ('STEP-001', kept, gaps),
+  ('STEP-002', kept, kept), ('STEP-003', left_over, kept - left_over), ('STEP-004', left_over, lowered)) AS t(step_id, r, m)"""))
+def e5_write(spark, sf_dir):
+    """What lies before the dedup is aggregated, what lies behind it is counted by the write."""
+    steps = [Step("fill_missing", "clave"), Step("drop_column", "clave"), Step("remove_duplicates"),
+             Step("normalize_case", "estado", {"mode": "lower"})]
+    audit = _audit_of_write(view(spark, sf_dir, "vacias"), steps, shared_folder(spark, "audit"), purge_empty_rows=True)
+    return audit.select("step_id", "rows", "modified")
+
+
 @register("e4_audit_large_mapping", """
 SELECT count(*) AS rows, count(*) FILTER (WHERE regexp_full_match(p_brand, 'Brand#\\d+') AND p_brand <> 'Brand#11') AS modified
 FROM part""")

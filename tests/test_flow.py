@@ -1,12 +1,16 @@
 """Profile, quality, plan, execution and KPIs over small dirty tables with known answers."""
 
 import json
+import re
 import statistics
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 import fixtures_data as D
+from conftest import ROOT
 from tersa import (
     Analysis, Step, before_after, drop_empty_rows, execute_plan, guardrail, kpi_report,
     mask_by_hint, masked_sample, plan_from_json, plan_to_json, profile, profile_report,
@@ -459,7 +463,10 @@ def test_steps_of_long_plans_keep_their_order(spark):
 
 
 def _nodes(df, name):
-    return df._jdf.queryExecution().executedPlan().toString().count(name)
+    """Nodes of the plan; of one that has run, of its final form (the printed text also has the first one)."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    final = re.findall(r"== Final Plan ==(.*?)== Initial Plan ==", text, re.S)
+    return sum(part.count(name) for part in final) if final else text.count(name)
 
 
 def test_statistics_after_a_dedup_read_the_source_a_fixed_number_of_times(spark, tmp_path):
@@ -515,6 +522,80 @@ def test_an_audit_reads_each_segment_once(spark, tmp_path):
     assert _nodes(done.audit, "FileScan") == 4
 
 
+def _plans():
+    big = {f" t{i}": f"T{i}" for i in range(2000)}
+    return [
+        ([Step("trim_text", "t"), Step("fill_missing", "x", {"strategy": "median"}), Step("convert_datetime", "d"),
+          Step("normalize_case", "t", {"mode": "upper"}), Step("drop_column", "nope")], {"purge_empty_rows": True}),
+        ([Step("trim_text", "t"), Step("remove_duplicates"), Step("fill_missing", "x", {"strategy": "mean"}),
+          Step("normalize_case", "t", {"mode": "upper"})], {"purge_empty_rows": True}),
+        ([Step("remove_duplicates"), Step("trim_text", "t"), Step("remove_duplicates")], {"checkpoint": True}),
+        ([Step("normalize_category", "t", {"mappings": big}), Step("rename_column", "t", {"new_name": "u"}),
+          Step("trim_text", "u"), Step("fill_missing", "x", {"strategy": "mean"}), Step("drop_column", "x")], {}),
+        ([], {"purge_empty_rows": True}), ([], {}),
+    ]
+
+
+@pytest.mark.parametrize("number", range(6))
+def test_a_write_counts_what_the_lazy_audit_counts(spark, tmp_path, number):
+    source, out = str(tmp_path / "source"), str(tmp_path / "clean")
+    spark.range(300).selectExpr(
+        "IF(id > 280, NULL, id % 200) AS id", "IF(id % 7 = 0 OR id > 280, NULL, id % 10 * 1.0D) AS x",
+        "IF(id > 280, ' ', concat(' t', id % 3)) AS t", "IF(id > 280, '', IF(id % 2 = 0, '2026-01-05', 'bad')) AS d",
+    ).write.parquet(source)
+    steps, options = _plans()[number]
+    done = execute_plan(spark.read.parquet(source), steps, order_by="id", **options)
+    watched = done.watched()
+    watched.frame.write.parquet(out)
+    audit = watched.audit()
+    assert sorted(map(tuple, audit.collect())) == sorted(map(tuple, done.audit.collect()))
+    assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, done.frame.collect()))
+    if number in (0, 3, 4):  # nothing to aggregate: the audit reads no table
+        assert _nodes(audit, "FileScan") == 0
+
+
+def test_write_and_audit_are_one_job_where_nothing_is_shuffled(spark, tmp_path):
+    spark.range(200).selectExpr("id", "concat(' t', id % 3) AS t").write.parquet(str(tmp_path / "a"))
+    watched = execute_plan(spark.read.parquet(str(tmp_path / "a")), [Step("trim_text", "t"), Step("drop_column", "id")]).watched()
+    context = spark.sparkContext
+    context.setJobGroup("watched", "")
+    try:
+        watched.frame.write.parquet(str(tmp_path / "b"))
+        audit = [tuple(r)[5:7] for r in watched.audit().collect()]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(audit) == [(200, 200), (200, 200)]
+    assert len(context.statusTracker().getJobIdsForGroup("watched")) <= 2  # the write, and the local rows of the audit
+
+
+def test_a_task_that_fails_once_does_not_count_twice(spark, tmp_path):
+    """A writer that fails in each task's first attempt, after rows have been counted."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from tersa import Step, execute_plan
+spark = (SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "5").getOrCreate())
+spark.sparkContext.setLogLevel("OFF")
+
+def fail_once(batches):
+    for i, batch in enumerate(batches):
+        if i == 3 and TaskContext.get().attemptNumber() == 0:
+            raise RuntimeError("lost")
+        yield batch
+
+df = spark.range(0, 100, 1, 4).selectExpr("id", "concat(' t', id % 3) AS t")
+steps = [Step("trim_text", "t"), Step("normalize_case", "t", {{"mode": "upper"}})]
+watched = execute_plan(df, steps).watched()
+watched.frame.mapInArrow(fail_once, watched.frame.schema).write.parquet({str(tmp_path / "out")!r})
+print("COUNTS", sorted((r.rows, r.modified) for r in watched.audit().collect()), spark.read.parquet({str(tmp_path / "out")!r}).count())
+"""
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert "COUNTS [(100, 100), (100, 100)] 100" in ran.stdout, ran.stdout[-500:] + ran.stderr[-500:]
+
+
 def test_audit_without_steps_is_empty(spark):
     done = execute_plan(spark.range(3).toDF("x"), [])
     assert done.audit.count() == 0 and "modified" in done.audit.columns
