@@ -5,6 +5,7 @@ from tersa.operators.catalog import apply_operation, list_operations, register_o
 from tersa.operators.kpi import category_breakdown, kpi_report
 from tersa.operators.privacy import mask_by_hint, mask_embedded, masked_sample
 from tersa.operators.profile import profile, profile_report
+from tersa.operators.state import ProfileStore, merge_states, profile_of_states, profile_state
 from tersa.operators.quality import before_after, quality_issues, quality_overall, quality_scores
 from tersa.plans.execute import execute_plan, replay_plan, run_plan
 from tersa.plans.propose import guardrail, propose_plan, propose_steps
@@ -16,10 +17,10 @@ from tersa.sources.hygiene import (
 from tersa.streaming.replay import replay_stream
 
 __all__ = [
-    "Analysis", "Step", "apply_operation", "before_after", "category_breakdown",
+    "Analysis", "ProfileStore", "Step", "apply_operation", "before_after", "category_breakdown",
     "count_empty_rows", "dataset_metadata", "drop_empty_rows", "duplicate_rows", "execute_plan",
     "fingerprint", "guardrail", "kpi_report", "list_operations", "mask_by_hint", "mask_embedded",
-    "masked_sample", "plan_from_json", "plan_to_json", "profile", "profile_report",
+    "masked_sample", "merge_states", "plan_from_json", "plan_to_json", "profile", "profile_of_states", "profile_report", "profile_state",
     "propose_plan", "propose_steps", "quality_issues", "quality_overall", "quality_scores",
     "register_operation", "replay_plan", "replay_stream", "review", "run_plan", "scan_csv",
     "scan_parquet",

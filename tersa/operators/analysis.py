@@ -338,29 +338,11 @@ class Analysis:
         return counted.withColumns(constants)
 
     def _classified(self, counted: DataFrame) -> DataFrame:
-        class_counts = F.array(*[F.col(f"class_{i + 1}") for i in range(len(dates.FORMAT_CLASSES))])
         names_array = F.array(*[F.lit(c) for c in self.columns])
         kinds_array = F.array(*[F.lit(k) for k in self.kinds])
         slot = F.col("position") + 1
-        top = F.array_max("class_counts")
-        standard = (
-            F.coalesce("first_class", F.lit(1))
-            if self.date_standard == "first"
-            else F.array_position("class_counts", top).cast("int")
-        )
-        labelled = (
-            counted.withColumns({
-                "column_name": F.element_at(names_array, slot),
-                "kind": F.element_at(kinds_array, slot),
-                "class_counts": class_counts,
-            })
-            .withColumn("standard_class", standard)
-            .withColumn("standard_dates", F.element_at("class_counts", F.col("standard_class")))
-            .drop(*[f"class_{i + 1}" for i in range(len(dates.FORMAT_CLASSES))], "class_counts", "first_class")
-        )
-        return labelled.withColumn("inferred_type", infer_type()).withColumn(
-            "semantic_hint", semantic_hint()
-        )
+        named = counted.withColumns({"column_name": F.element_at(names_array, slot), "kind": F.element_at(kinds_array, slot)})
+        return classified(named, self.date_standard)
 
     @cached_property
     def checked_facts(self) -> DataFrame:
@@ -501,6 +483,24 @@ class Analysis:
 # --- decisions on fact rows ------------------------------------------------------------------------
 
 
+def classified(counted: DataFrame, date_standard: str = "dominant") -> DataFrame:
+    """Adds the date standard, the inferred type and the semantic hint to counted facts with column_name and kind."""
+    class_counts = F.array(*[F.col(f"class_{i + 1}") for i in range(len(dates.FORMAT_CLASSES))])
+    top = F.array_max("class_counts")
+    standard = (
+        F.coalesce("first_class", F.lit(1))
+        if date_standard == "first"
+        else F.array_position("class_counts", top).cast("int")
+    )
+    labelled = (
+        counted.withColumn("class_counts", class_counts)
+        .withColumn("standard_class", standard)
+        .withColumn("standard_dates", F.element_at("class_counts", F.col("standard_class")))
+        .drop(*[f"class_{i + 1}" for i in range(len(dates.FORMAT_CLASSES))], "class_counts", "first_class")
+    )
+    return labelled.withColumn("inferred_type", infer_type()).withColumn("semantic_hint", semantic_hint())
+
+
 def infer_type() -> Column:
     present = F.col("rows") - F.col("nulls")
     plain = present - F.col("markers")

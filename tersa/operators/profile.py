@@ -42,8 +42,13 @@ def profile(source: DataFrame | Analysis, order_by: str | None = None, approx: b
         facts.join(analysis.number_stats(), "position", "left")
         .join(analysis.samples(), "position", "left")
     )
+    return profile_rows(joined, analysis.approx)
+
+
+def profile_rows(facts: DataFrame, estimated: bool) -> DataFrame:
+    """The profile's columns from classified facts with samples and statistics."""
     numeric = F.col("inferred_type") == "numeric"
-    return joined.select(
+    return facts.select(
         "position",
         "column_name",
         "inferred_type",
@@ -58,7 +63,7 @@ def profile(source: DataFrame | Analysis, order_by: str | None = None, approx: b
         round2(F.col("median")).alias("median"),
         round2(F.col("std")).alias("std"),
         _column_warnings().alias("warnings"),
-        F.lit(analysis.approx).alias("estimated"),
+        F.lit(estimated).alias("estimated"),
     )
 
 

@@ -17,6 +17,7 @@ from tersa.operators.profile import profile, profile_report
 from tersa.operators.quality import (
     before_after, quality_issues, quality_overall, quality_scores, score_band,
 )
+from tersa.operators.state import ProfileStore
 from tersa.plans.execute import execute_plan, replay_plan, run_plan
 from tersa.plans.propose import guardrail, propose_plan
 from tersa.plans.steps import Step, collect_steps, plan_to_json
@@ -519,6 +520,39 @@ def p12_approx(spark, sf_dir):
     return p.select("column_name", "inferred_type", "semantic_hint", "null_count", "min_value", "max_value", "mean", "estimated")
 
 
+def _stored_profile(spark, sf_dir, name: str, key: str, parts: int):
+    """A view that comes in parts, each profiled alone; the first one is profiled again and replaces itself."""
+    df, store = view(spark, sf_dir, name), ProfileStore(spark, shared_folder(spark, "profile"))
+    for i in [*range(parts), 0]:
+        store.add(df.where(F.col(key) % parts == i), f"part {i}", order_by=key)
+    return store
+
+
+@register("p12_profile_of_parts", O.analysed("pedidos") + f"""
+SELECT column_name, inferred_type, semantic_hint, nulls AS null_count, {_PCT} AS null_percentage, {_NUMERIC.format('lo')} AS min_value,
+  {_NUMERIC.format('hi')} AS max_value, {_NUMERIC.format('round_even(mean, 2)')} AS mean, {_NUMERIC.format('round_even(sd, 2)')} AS std,
+  true AS estimated, true AS unique_close, true AS median_close, true AS sampled FROM facts""")
+def p12_parts(spark, sf_dir):
+    """Three parts, profiled one by one and merged; sketches are held against the exact profile of the whole table."""
+    merged = _stored_profile(spark, sf_dir, "pedidos", "id_pedido", 3).profile()
+    exact = profile(view(spark, sf_dir, "pedidos"), order_by="id_pedido").select(
+        "column_name", F.col("unique_count").alias("unique"), F.col("median").alias("middle"),
+        (F.col("max_value") - F.col("min_value")).alias("width"),
+    )
+    near = F.abs(F.col("unique_count") - F.col("unique")) <= F.col("unique") * 0.03
+    middle = F.coalesce(F.abs(F.col("median") - F.col("middle")) <= F.col("width") * 0.03, F.col("median").isNull() & F.col("middle").isNull())
+    return merged.join(exact, "column_name").select(
+        "column_name", "inferred_type", "semantic_hint", "null_count", "null_percentage", "min_value", "max_value", "mean", "std",
+        "estimated", near.alias("unique_close"), middle.alias("median_close"), (F.size("sample_values") > 0).alias("sampled"),
+    )
+
+
+@register("p1_rows_of_parts", _with("clientes", """
+SELECT 'part ' || CAST(id_cliente % 4 AS INTEGER) AS part, count(*) AS rows FROM clientes GROUP BY 1"""))
+def p1_parts(spark, sf_dir):
+    return _stored_profile(spark, sf_dir, "clientes", "id_cliente", 4).parts()
+
+
 # --- Q: quality --------------------------------------------------------------------------------------
 
 _SEVERITY = """CASE kind WHEN 'nulls' THEN CASE WHEN share > 50 THEN 'critical' WHEN share > 20 THEN 'high' ELSE 'medium' END
