@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tersa.functions import dates, numbers, text
 from tersa.functions import vocabulary as V
-from tersa.operators.selection import grouped_medians, most_frequent
+from tersa.operators.selection import frequent_values, grouped_medians, most_frequent
 from tersa.sources.hygiene import row_hash
 from tersa.sources.local import local_frame
 
@@ -246,9 +246,7 @@ def fill_statistics(
         found |= {i: row[f"s{i}"] for i in slots["median"]}
     words = [i for i in slots["mode"] if wanted[i][1] == TEXT]
     if words:
-        counted = stacked(words, present, "string").where("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-        first = Window.partitionBy("k").orderBy(F.desc("n"), "v")
-        top = counted.withColumn("place", F.row_number().over(first)).where("place = 1")
+        top = frequent_values(stacked(words, present, "string"), 1)
         row = attached("mode", picked(top, "v", words, "string"))
         found |= {i: row[f"s{i}"] for i in words}
     for i in set(slots["mode"]) - set(words):  # other types keep theirs: one subquery a column

@@ -19,6 +19,8 @@ SKETCH_ACCURACY = 10_000
 _MARGIN = 4 / SKETCH_ACCURACY
 #: Equal parts of a bracket, so that no task sorts all that lies in it.
 _PARTS = 1024
+#: Hash buckets by which frequent values are found, and how many more than asked for are counted at once.
+BUCKETS, SPARE_BUCKETS = 4096, 16
 _LEAST = -1022  # the exponent of zero and of all numbers below the normal ones
 
 
@@ -159,9 +161,35 @@ def column_median(df: DataFrame, number: Column) -> DataFrame:
     return grouped_medians(df.select(F.lit(1).alias("k"), number.alias("v"))).agg(F.max("median").alias("median"))
 
 
+def frequent_values(values: DataFrame, k: int, key: str = "k") -> DataFrame:
+    """(key, v, n, rank): the k most frequent non-null values of each key, the smaller value first on a tie; exact.
+
+    Values are not shuffled. A first pass counts hash buckets, at most ``BUCKETS`` small rows a task; no value occurs more
+    often than its bucket. Values of the fullest buckets are counted, and then those of other buckets only if their count
+    reaches the k-th value found: where none does, the last pass is empty and Spark skips it. Keys are few (columns).
+    """
+    known = values.select(key, "v").where(F.col("v").isNotNull())
+    known = known.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(BUCKETS)).cast("int"))
+    buckets = known.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "bucket"))
+    buckets = shared(buckets, key, "bucket").withColumn("place", place)  # at most BUCKETS rows a key
+    wanted = F.col("place") <= k + SPARE_BUCKETS
+
+    def counted(chosen: DataFrame) -> DataFrame:
+        inside = known.join(F.broadcast(chosen.select(key, "bucket")), [key, "bucket"], "left_semi")
+        return inside.groupBy(key, "v").agg(F.count(F.lit(1)).alias("n"))
+
+    best = Window.partitionBy(key).orderBy(F.desc("n"), "v")
+    first = shared(counted(buckets.where(wanted)), key, "v")
+    first = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    floors = first.where(F.col("rank") == k).select(F.col(key).alias("_key"), F.col("n").alias("least"))
+    open_ = buckets.where(~wanted).join(F.broadcast(floors), F.col(key) == F.col("_key"), "left")
+    rest = counted(open_.where(F.col("n") >= F.coalesce("least", F.lit(0))))
+    found = first.drop("rank").unionByName(rest)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def most_frequent(df: DataFrame, value: Column) -> DataFrame:
     """One row, one column ``value``: the most frequent non-null value, smallest on a tie."""
-    counted = df.select(value.alias("value")).where(F.col("value").isNotNull())
-    counted = counted.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.orderBy(F.desc("n"), F.asc("value")).limit(1)
-    return top.agg(F.max("value").alias("value"))
+    top = frequent_values(df.select(F.lit(0).alias("k"), value.alias("v")), 1)
+    return top.agg(F.max("v").alias("value"))

@@ -17,6 +17,7 @@ from tersa.operators.profile import profile, profile_report
 from tersa.operators.quality import (
     before_after, quality_issues, quality_overall, quality_scores, score_band,
 )
+from tersa.operators.selection import frequent_values
 from tersa.operators.state import ProfileStore
 from tersa.plans.execute import execute_plan, replay_plan, run_plan
 from tersa.plans.propose import guardrail, propose_plan
@@ -553,6 +554,29 @@ def p1_parts(spark, sf_dir):
     return _stored_profile(spark, sf_dir, "clientes", "id_cliente", 4).parts()
 
 
+_FREQUENT = {
+    "lineitem": ["l_returnflag", "l_partkey", "l_shipdate", "l_quantity", "l_orderkey"], "events": ["user_id", "event_type"],
+}
+
+
+@register("t8d_frequent_values", "SELECT column_name, value, n, rank FROM (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n,
+  row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS rank FROM {t} WHERE {c} IS NOT NULL GROUP BY 1, 2"""
+    for t, columns in _FREQUENT.items() for c in columns) + ") WHERE rank <= 5")
+def t8d_frequent(spark, sf_dir):
+    """The five most frequent values of columns with few, many and nearly equal counts, in one plan a table."""
+    def top(name, columns):
+        def text(c):
+            return F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c == "l_shipdate" else F.col(c).cast("string")
+
+        cells = [x for c in columns for x in (F.lit(c), text(c))]
+        df = table(spark, sf_dir, name).select(F.stack(F.lit(len(columns)), *cells).alias("column_name", "v"))
+        return frequent_values(df, 5, "column_name")
+
+    found = [top(name, columns) for name, columns in _FREQUENT.items()]
+    return found[0].unionByName(found[1]).select("column_name", F.col("v").alias("value"), "n", F.col("rank").cast("bigint").alias("rank"))
+
+
 # --- Q: quality --------------------------------------------------------------------------------------
 
 _SEVERITY = """CASE kind WHEN 'nulls' THEN CASE WHEN share > 50 THEN 'critical' WHEN share > 20 THEN 'high' ELSE 'medium' END

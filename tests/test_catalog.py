@@ -12,7 +12,7 @@ from tersa import (
 from tersa.operators.catalog import remove_duplicates, unregister_operation
 from tersa.operators import selection
 from tersa.operators.selection import (
-    _with_order, bracketed, column_median, exact_medians, grouped_medians, most_frequent, splitters,
+    _with_order, bracketed, column_median, exact_medians, frequent_values, grouped_medians, most_frequent, splitters,
 )
 
 
@@ -218,6 +218,56 @@ def test_most_frequent(spark):
     assert most_frequent(df.limit(0), F.col("v")).first()[0] is None
 
 
+def _brute_top(rows, k):
+    from collections import Counter
+
+    counts = Counter((key, v) for key, v in rows if v is not None)
+    out = []
+    for key in {key for key, _ in counts}:
+        best = sorted((-n, v) for (x, v), n in counts.items() if x == key)[:k]
+        out += [(key, v, -n, i + 1) for i, (n, v) in enumerate(best)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_frequent_values_are_exact_with_ties(spark, monkeypatch, k):
+    monkeypatch.setattr(selection, "BUCKETS", 64)
+    monkeypatch.setattr(selection, "SPARE_BUCKETS", 2)
+    rows = [(1, f"v{i % 9}") for i in range(60)] + [(2, f"w{i}") for i in range(300)]  # ties of a few, ties of all
+    rows += [(3, f"z{i * i % 251}") for i in range(900)] + [(3, "hot")] * 500 + [(4, None)] * 5 + [(5, "one")]
+    df = spark.createDataFrame(rows, "k int, v string").repartition(5)
+    assert sorted((tuple(r) for r in frequent_values(df, k).collect()), key=str) == _brute_top(rows, k)
+    assert frequent_values(df.limit(0), k).count() == 0
+
+
+def _shuffled_rows(spark, make):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    group = f"shuffled-{make.__name__}-{id(make)}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        make()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    tracker, total = spark.sparkContext.statusTracker(), 0
+    for job in tracker.getJobIdsForGroup(group):
+        for stage in tracker.getJobInfo(job).stageIds:
+            total += store.lastStageAttempt(stage).shuffleWriteRecords()
+    return total
+
+
+def test_a_clear_winner_shuffles_no_values(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 400_000, 1, 4).selectExpr("IF(id % 10 = 0, 'hot', concat('v', id)) AS v").write.parquet(path)
+    df = spark.read.parquet(path)
+
+    def clear():
+        assert most_frequent(df, F.col("v")).first()[0] == "hot"
+
+    files = df.rdd.getNumPartitions()
+    assert _shuffled_rows(spark, clear) < 2 * files * selection.BUCKETS + 20_000  # of 360 000 different values
+
+
 def test_numbers_order_as_their_64_bits(spark):
     """One number for each double, in the same order, so no pass of a median meets a crowded cell."""
     import random
