@@ -24,6 +24,7 @@ from tersa.functions import vocabulary as V
 from tersa.operators.catalog import DATE, NUMBER, OTHER, TEXT, kind_of
 from tersa.operators.selection import FEW_VALUES, exact_medians, grouped_medians, ordered_medians, shared
 from tersa.sources.checkpoints import has_checkpoint_folder, reliable_checkpoint
+from tersa.sources.files import row_number_in_files
 from tersa.sources.local import local_frame
 
 _NARROW_BYTES = 40
@@ -55,7 +56,8 @@ class Analysis:
     instead of scanning and shuffling the table again.
 
     ``order_by`` names the column that defines row order; it decides which values count as the
-    first ones. Without it scan order does, which is only stable for tables read from files. ``date_standard`` is ``dominant`` (the most frequent
+    first ones. Without it the rows' order in the table's Parquet files does, however these are split; for
+    other tables it is the order of the scan. ``date_standard`` is ``dominant`` (the most frequent
     format class of a column is its standard) or ``first`` (the class of its first value).
     """
 
@@ -89,7 +91,7 @@ class Analysis:
         return [i for i, k in enumerate(self.kinds) if k in kinds]
 
     def _row(self) -> Column:
-        return F.col(f"`{self.order_by}`") if self.order_by else F.monotonically_increasing_id()
+        return F.col(f"`{self.order_by}`") if self.order_by else row_number_in_files(self.df)
 
     def text_rows(self) -> DataFrame:
         """(row, position, text): one row per cell of the columns that are read as text."""

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tersa.functions import dates, numbers, text
 from tersa.functions import vocabulary as V
 from tersa.operators.selection import frequent_values, grouped_medians, most_frequent
+from tersa.sources.files import row_order
 from tersa.sources.hygiene import row_hash
 from tersa.sources.local import local_frame
 
@@ -382,14 +383,14 @@ def remove_duplicates(
 ) -> DataFrame:
     """Drop repeated rows; with a key, keep the first row per key.
 
-    "First" follows ``order_by`` (scan order if not given); a row hash settles ties, so the result
-    does not depend on partitioning. The filter on ``row_number`` makes Spark keep one row per key
+    "First" follows ``order_by``, else the order of the rows in the table's files; a row hash settles ties, so the
+    result does not depend on partitioning. The filter on ``row_number`` makes Spark keep one row per key
     and task before the shuffle, so a hot key costs one row per task.
     """
     if not subset_columns:
         return df.dropDuplicates()
     order = F.col(f"`{order_by}`") if order_by else F.col("__row")
-    ranked = df if order_by else df.withColumn("__row", F.monotonically_increasing_id())
+    ranked = df if order_by else df.withColumn("__row", row_order(df))
     ranked = ranked.withColumn("__tie", row_hash(df))
     keys = [F.col(f"`{c}`") for c in subset_columns]
     window = Window.partitionBy(*keys).orderBy(order.asc_nulls_last(), "__tie")

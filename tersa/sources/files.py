@@ -6,7 +6,8 @@ import csv
 import io
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,6 +139,40 @@ def type_plain_numbers(df: DataFrame) -> DataFrame:
     )
 
 
+def _resolves(df: DataFrame, *names: str) -> bool:
+    try:
+        return "_metadata" not in df.columns and bool(df.select(*names).schema)
+    except AnalysisException:
+        return False
+
+
+def row_order(df: DataFrame) -> Column:
+    """A column that orders rows as the files hold them: by file name, then by place in the file.
+
+    The order does not depend on how files are split, packed into partitions or scheduled. Parquet knows each row's index; in
+    other formats it is the split's offset and the row's turn in it. Tables that do not come straight from files (after a join of
+    files, a union, a grouping, or from a view) have the order of the scan.
+    """
+    turn = F.monotonically_increasing_id()
+    path = F.col("_metadata.file_path") if _resolves(df, "_metadata.file_path") else None
+    if path is not None and _resolves(df, "_metadata.row_index"):
+        return F.struct(path.alias("file"), F.col("_metadata.row_index").alias("row"))
+    if path is not None and _resolves(df, "_metadata.file_block_start"):
+        return F.struct(path.alias("file"), F.col("_metadata.file_block_start").alias("block"), turn.alias("row"))
+    return turn
+
+
+def row_number_in_files(df: DataFrame) -> Column:
+    """One bigint for each row of Parquet files, in the order of the rows of a file; files are ordered by a hash of their names.
+
+    It is as stable as ``row_order`` and cheap to aggregate. Other tables have the order of the scan.
+    """
+    if not _resolves(df, "_metadata.file_name", "_metadata.row_index"):
+        return F.monotonically_increasing_id()
+    file = F.xxhash64("_metadata.file_name").bitwiseAND(F.lit((1 << 23) - 1))
+    return F.shiftleft(file, 40) + F.col("_metadata.row_index")
+
+
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -287,6 +287,15 @@ def t9b(spark, sf_dir):
     return apply_operation(df, "remove_duplicates", order_by="event_id", subset_columns=["user_id", "event_type"])
 
 
+@register("t9b_keep_first_in_file", """
+SELECT l_orderkey, l_suppkey, l_returnflag, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY i) AS r
+  FROM (SELECT *, row_number() OVER () AS i FROM lineitem)) WHERE r = 1""")
+def t9b_file(spark, sf_dir):
+    """Without a column of order, the first row is the one that comes first in the file, however it is split."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_extendedprice")
+    return apply_operation(df, "remove_duplicates", subset_columns=["l_suppkey", "l_returnflag"])
+
+
 @register("t10_rename_column", "SELECT s_suppkey, s_name AS proveedor, s_acctbal FROM supplier")
 def t10(spark, sf_dir):
     df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
@@ -478,6 +487,20 @@ def p6_approx(spark, sf_dir):
     return p.select("column_name", F.array_join("sample_values", "|").alias("sample_values"))
 
 
+@register("p6_sample_values_in_file", " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, string_agg(v, '|' ORDER BY i) AS sample_values FROM (SELECT {c} AS v, min(i) AS i FROM
+  (SELECT *, row_number() OVER () AS i FROM {t}) GROUP BY 1 ORDER BY 2 LIMIT 5)""" for c, t in (
+    ("o_orderstatus", "orders"), ("o_orderpriority", "orders"), ("event_type", "events"), ("p_name", "part"), ("p_type", "part"))))
+def p6_file(spark, sf_dir):
+    """The first values in the order of the file's rows, in both modes."""
+    found = []
+    for name, columns, approx in (("orders", ["o_orderstatus", "o_orderpriority"], False), ("events", ["event_type"], True),
+                                  ("part", ["p_name", "p_type"], False)):
+        found.append(profile(table(spark, sf_dir, name).select(*columns), approx=approx))
+    samples = found[0].unionByName(found[1]).unionByName(found[2])
+    return samples.select("column_name", F.array_join("sample_values", "|").alias("sample_values"))
+
+
 @register("p5_unique_decimals", """
 SELECT 'importe' AS column_name, count(DISTINCT o_custkey) AS unique_count FROM orders""")
 def p5_decimals(spark, sf_dir):

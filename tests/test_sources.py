@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import fixtures_data as D
 from tersa import (
     count_empty_rows, dataset_metadata, drop_empty_rows, fingerprint, scan_csv, scan_parquet,
-    validate_ingest, write_clean,
+    apply_operation, profile, validate_ingest, write_clean,
 )
 from tersa.sources.files import sniff_delimiter
 
@@ -104,3 +104,59 @@ def test_long_quoted_fields_in_malformed_rows(spark, csv_file):
     long = "x" * 100_000 + '""' * 1000
     path = csv_file(f'a,b\n1,"{long}",3\n2,"{long}"\n3,y\n')
     assert [r.a for r in scan_csv(spark, path, sep=",").orderBy("a").collect()] == [2, 3]
+
+
+def _first_rows(df):
+    kept = apply_operation(df, "remove_duplicates", subset_columns=["k"])
+    samples = {r.column_name: r.sample_values for r in profile(df).collect()}
+    return sorted(map(tuple, kept.collect())), samples
+
+
+def test_first_rows_do_not_depend_on_splits(spark, tmp_path):
+    """One file and many, read whole and in small splits: the same rows and values come first, without a column of order."""
+    rows = [(f"k{i * 7919 % 40}", f"v{i * 104729 % 5000}", i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, v string, i long").coalesce(1)
+    first = {}
+    for k, v, i in rows:
+        first.setdefault(k, (k, v, i))
+    seen = []
+    for name, files in (("one", 1), ("many", 50)):
+        path = str(tmp_path / name)
+        df.repartitionByRange(files, "i").sortWithinPartitions("i").write.option("parquet.block.size", 16_384).parquet(path)
+        for split in ("128m", "20k", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            try:
+                kept, samples = _first_rows(spark.read.parquet(path))
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+            assert kept == sorted(first.values())
+            seen.append((name, samples))
+    assert len({str(s) for n, s in seen if n == "one"}) == 1 == len({str(s) for n, s in seen if n == "many"})
+    assert seen[0][1]["v"] == [v for _, v, _ in rows[:5]]
+
+
+def test_first_rows_of_csv_files_do_not_depend_on_splits(spark, tmp_path):
+    rows = [(f"k{i * 7919 % 40}", f"v{i}") for i in range(5000)]
+    path = str(tmp_path / "t.csv")
+    with open(path, "w") as out:
+        out.write("k,v\n" + "".join(f"{k},{v}\n" for k, v in rows))
+    first = {}
+    for k, v in rows:
+        first.setdefault(k, (k, v))
+    for split in ("128m", "5k", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            df = spark.read.option("header", True).csv(path)
+            assert sorted(map(tuple, apply_operation(df, "remove_duplicates", subset_columns=["k"]).collect())) == sorted(first.values())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_tables_without_files_have_the_order_of_the_scan(spark):
+    df = spark.range(10).selectExpr("id % 3 AS k", "id", "1 AS _metadata")
+    assert apply_operation(df, "remove_duplicates", subset_columns=["k"]).count() == 3
+    assert apply_operation(df.unionByName(df), "remove_duplicates", subset_columns=["k"]).count() == 3
