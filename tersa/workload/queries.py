@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tersa.functions import dates, masks, names, numbers, text
 from tersa.functions import vocabulary as V
-from tersa.operators import kpi
+from tersa.operators import kpi, spelling
 from tersa.operators.analysis import Analysis, duplicate_rows
 from tersa.operators.catalog import apply_operation
 from tersa.operators.privacy import mask_by_hint, mask_embedded, masked_sample
@@ -600,6 +600,43 @@ def t8d_frequent(spark, sf_dir):
     return found[0].unionByName(found[1]).select("column_name", F.col("v").alias("value"), "n", F.col("rank").cast("bigint").alias("rank"))
 
 
+# --- T3: proposed spellings ----------------------------------------------------------------------------
+
+_CLUSTERS = f"""
+, cells AS (SELECT 'nombre' AS column_name, nombre AS value FROM productos UNION ALL SELECT 'marca', marca FROM productos),
+vals AS (SELECT column_name, value, trim(value) AS label, array_to_string(list_sort(list_distinct(string_split(trim(regexp_replace(
+    translate(lower(value), '{spelling.ACCENTED}', '{spelling.PLAIN}'), '[\\p{{Z}}\\p{{P}}\\p{{S}}\\p{{C}}]+', ' ', 'g')), ' '))), ' ') AS key,
+    count(*) AS n FROM cells WHERE value IS NOT NULL GROUP BY ALL),
+labels AS (SELECT column_name, key, label, sum(n) AS n FROM vals WHERE key <> '' GROUP BY ALL),
+nodes AS (SELECT column_name, key, sum(n) AS n, first(label ORDER BY n DESC, label) AS canonical,
+    regexp_replace(key, '[^0-9]+', ' ', 'g') AS digits FROM labels GROUP BY ALL),
+parents AS (SELECT a.column_name, a.key, arg_max(b.key, (b.n, b.key)) AS parent FROM nodes a JOIN nodes b ON a.column_name = b.column_name
+    AND a.digits = b.digits AND length(a.key) BETWEEN 5 AND 64 AND length(b.key) BETWEEN 5 AND 64 AND b.n >= 4 * a.n
+    AND damerau_levenshtein(a.key, b.key) = 1 GROUP BY ALL),
+paths AS (SELECT column_name, key, key AS root, 0 AS steps FROM nodes UNION ALL
+  SELECT w.column_name, w.key, p.parent, w.steps + 1 FROM paths w JOIN parents p ON p.column_name = w.column_name AND p.key = w.root),
+roots AS (SELECT column_name, key, arg_max(root, steps) AS root FROM paths GROUP BY ALL),
+proposed AS (SELECT v.column_name, v.value, e.canonical, v.n, CAST(e.n AS BIGINT) AS canonical_n,
+    CASE WHEN v.key = r.root THEN 'spelling' ELSE 'typo' END AS kind
+  FROM vals v JOIN roots r USING (column_name, key) JOIN nodes e ON e.column_name = r.column_name AND e.key = r.root WHERE v.value <> e.canonical)"""
+
+
+@register("t3_propose_mappings", _with("productos", _CLUSTERS + " SELECT * FROM proposed").replace("WITH ", "WITH RECURSIVE ", 1))
+def t3_propose(spark, sf_dir):
+    """Spellings and typos of both columns; brands that differ in a digit stay apart."""
+    return spelling.propose_mappings(view(spark, sf_dir, "productos"), ["nombre", "marca"])
+
+
+@register("t3_apply_proposals", _with("productos", _CLUSTERS + """
+SELECT id_producto, coalesce(a.canonical, nombre) AS nombre, coalesce(b.canonical, marca) AS marca FROM productos
+  LEFT JOIN proposed a ON a.column_name = 'nombre' AND a.value = nombre LEFT JOIN proposed b ON b.column_name = 'marca' AND b.value = marca
+""").replace("WITH ", "WITH RECURSIVE ", 1))
+def t3_apply(spark, sf_dir):
+    """Proposed, taken over into a plan and executed."""
+    df = view(spark, sf_dir, "productos")
+    return execute_plan(df, spelling.mapping_steps(spelling.propose_mappings(df))).frame
+
+
 # --- Q: quality --------------------------------------------------------------------------------------
 
 _SEVERITY = """CASE kind WHEN 'nulls' THEN CASE WHEN share > 50 THEN 'critical' WHEN share > 20 THEN 'high' ELSE 'medium' END

@@ -84,6 +84,15 @@ SELECT c_name AS empleado, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegm
   c_acctbal AS salario, CAST(c_nationkey * 5 AS DOUBLE) AS productividad,
   c_nationkey AS absentismo_dias
 FROM @customer"""),
+    "productos": (["part"], """
+SELECT p_partkey AS id_producto,
+  CASE p_partkey % 40 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat('  ', p_name, ' ')
+    WHEN 2 THEN concat(split_part(p_name, ' ', 2), ' - ', split_part(p_name, ' ', 1))
+    WHEN 3 THEN concat(left(p_name, 2), 'x', substr(p_name, 4)) WHEN 4 THEN concat(left(p_name, 3), substr(p_name, 5))
+    WHEN 5 THEN concat(left(p_name, 5), substr(p_name, 7, 1), substr(p_name, 6, 1), substr(p_name, 8))
+    WHEN 6 THEN replace(p_name, 'a', 'á') WHEN 7 THEN NULL WHEN 8 THEN '-' ELSE p_name END AS nombre,
+  CASE WHEN p_partkey % 50 = 9 THEN lower(p_brand) ELSE p_brand END AS marca
+FROM @part"""),
     "actividad": (["events"], "SELECT user_id AS usuario, event_type AS tipo FROM @events"),
 }
 
