@@ -21,6 +21,8 @@ _MARGIN = 4 / SKETCH_ACCURACY
 _PARTS = 1024
 #: Hash buckets by which frequent values are found, and how many more than asked for are counted at once.
 BUCKETS, SPARE_BUCKETS = 4096, 16
+#: Values of so many bytes are grouped by themselves.
+GROUP_BYTES = 256 << 20
 _LEAST = -1022  # the exponent of zero and of all numbers below the normal ones
 
 
@@ -161,14 +163,23 @@ def column_median(df: DataFrame, number: Column) -> DataFrame:
     return grouped_medians(df.select(F.lit(1).alias("k"), number.alias("v"))).agg(F.max("median").alias("median"))
 
 
-def frequent_values(values: DataFrame, k: int, key: str = "k") -> DataFrame:
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def frequent_values(values: DataFrame, k: int, key: str = "k", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(key, v, n, rank): the k most frequent non-null values of each key, the smaller value first on a tie; exact.
 
-    Values are not shuffled. A first pass counts hash buckets, at most ``BUCKETS`` small rows a task; no value occurs more
+    If Spark estimates the values at ``group_bytes`` or less, they are grouped: no more than that can be shuffled. Else values are
+    not shuffled. A first pass counts hash buckets, at most ``BUCKETS`` small rows a task; no value occurs more
     often than its bucket. Values of the fullest buckets are counted, and then those of other buckets only if their count
     reaches the k-th value found: where none does, the last pass is empty and Spark skips it. Keys are few (columns).
     """
     known = values.select(key, "v").where(F.col("v").isNotNull())
+    best = Window.partitionBy(key).orderBy(F.desc("n"), "v")
+    if _estimated_bytes(known) <= group_bytes:
+        grouped = known.groupBy(key, "v").agg(F.count(F.lit(1)).alias("n"))
+        return grouped.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     known = known.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(BUCKETS)).cast("int"))
     buckets = known.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "bucket"))
@@ -179,7 +190,6 @@ def frequent_values(values: DataFrame, k: int, key: str = "k") -> DataFrame:
         inside = known.join(F.broadcast(chosen.select(key, "bucket")), [key, "bucket"], "left_semi")
         return inside.groupBy(key, "v").agg(F.count(F.lit(1)).alias("n"))
 
-    best = Window.partitionBy(key).orderBy(F.desc("n"), "v")
     first = shared(counted(buckets.where(wanted)), key, "v")
     first = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     floors = first.where(F.col("rank") == k).select(F.col(key).alias("_key"), F.col("n").alias("least"))
