@@ -7,7 +7,8 @@ from tersa.operators.privacy import mask_by_hint, mask_embedded, masked_sample
 from tersa.operators.profile import profile, profile_report
 from tersa.operators.state import ProfileStore, merge_states, profile_of_states, profile_state
 from tersa.operators.quality import before_after, quality_issues, quality_overall, quality_scores
-from tersa.plans.execute import execute_plan, replay_plan, run_plan
+from tersa.plans.execute import execute_plan, fit_plan, replay_plan, run_plan
+from tersa.operators.spelling import apply_proposals, mapping_steps, propose_mappings
 from tersa.plans.propose import guardrail, propose_plan, propose_steps
 from tersa.plans.steps import Step, plan_from_json, plan_to_json, review
 from tersa.sources.files import scan_csv, scan_parquet, scan_table, write_clean
@@ -17,11 +18,11 @@ from tersa.sources.hygiene import (
 from tersa.streaming.replay import replay_stream
 
 __all__ = [
-    "Analysis", "ProfileStore", "Step", "apply_operation", "before_after", "category_breakdown",
+    "Analysis", "ProfileStore", "Step", "apply_operation", "apply_proposals", "before_after", "category_breakdown",
     "count_empty_rows", "dataset_metadata", "drop_empty_rows", "duplicate_rows", "execute_plan",
-    "fingerprint", "guardrail", "kpi_report", "list_operations", "mask_by_hint", "mask_embedded",
+    "fingerprint", "fit_plan", "guardrail", "kpi_report", "list_operations", "mapping_steps", "mask_by_hint", "mask_embedded",
     "masked_sample", "merge_states", "plan_from_json", "plan_to_json", "profile", "profile_of_states", "profile_report", "profile_state",
-    "propose_plan", "propose_steps", "quality_issues", "quality_overall", "quality_scores",
+    "propose_mappings", "propose_plan", "propose_steps", "quality_issues", "quality_overall", "quality_scores",
     "register_operation", "replay_plan", "replay_stream", "review", "run_plan", "scan_csv",
     "scan_parquet",
     "scan_table", "validate_ingest", "write_clean",

@@ -194,6 +194,8 @@ def _present(kind: str) -> Stage:
 def _fill_stages(kind, params):
     """``__fill__`` carries the statistic as a column (a scalar subquery) for the other strategies."""
     fill = params.get("__fill__")
+    if fill is None and "fitted" in params:
+        fill = F.lit(params["fitted"]).cast(params["fitted_type"])
     if fill is None:
         value = params.get("value", V.DEFAULT_FILL)
         if _fills_as_text(kind, params):
@@ -449,4 +451,5 @@ def apply_operation(
 
 
 def needs_statistic(operation: str, params: dict) -> bool:
-    return operation == "fill_missing" and params.get("strategy", "constant") != "constant"
+    """Whether a step reads the whole table first; one that was fitted carries its statistic."""
+    return operation == "fill_missing" and params.get("strategy", "constant") != "constant" and "fitted" not in params

@@ -13,7 +13,7 @@ a step keep their aggregate. What a dedup drops is the difference of its neighbo
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from time import perf_counter
 
@@ -413,6 +413,32 @@ def _statistic_steps(plan: list, position: int, kinds: dict[str, str]) -> list[t
     return found
 
 
+def fit_plan(df: DataFrame, steps: list[Step], order_by: str | None = None) -> list[Step]:
+    """The plan with the statistics of its mean, median and mode fills on this table written into their steps.
+
+    A fitted plan is plain JSON and looks at one row at a time: on other rows, or on a stream, it fills with the values that it was fitted
+    with. Steps that cannot be applied stay as they are. Each group of fills that share a barrier is one round of jobs.
+    """
+    fitted = numbered(steps)
+    for position, step in enumerate(fitted, 1):
+        params = {k: v for k, v in step.parameters.items() if k != "column"}
+        if step.status == "rejected" or not catalog.needs_statistic(step.operation, params):
+            continue
+        current = execute_plan(df, fitted[: position - 1], order_by=order_by).frame
+        kinds = catalog.column_kinds(current)
+        together = _statistic_steps(list(enumerate(fitted, 1)), position, kinds)
+        if not together or together[0][0] != position:
+            continue
+        wanted = [(s.target, kinds[s.target], p) for _, s, p in together]
+        extra, values = catalog.fill_statistics(current, wanted)
+        found = local_frame(df.sparkSession, [(1,)], "one int").withColumns(extra).select(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+        types = [f.dataType.simpleString() for f in found.schema]
+        row = found.select(*[F.col(c).cast("string") for c in found.columns]).first()
+        for (at, other, _), value, kind in zip(together, row, types):
+            fitted[at - 1] = replace(other, parameters={**other.parameters, "fitted": value, "fitted_type": kind})
+    return fitted
+
+
 def run_plan(
     df: DataFrame, steps: list[Step], path: str, format: str = "parquet", **options
 ) -> tuple[Execution, DataFrame]:

@@ -19,7 +19,7 @@ from tersa.operators.quality import (
 )
 from tersa.operators.selection import frequent_values
 from tersa.operators.state import ProfileStore
-from tersa.plans.execute import execute_plan, replay_plan, run_plan
+from tersa.plans.execute import execute_plan, fit_plan, replay_plan, run_plan
 from tersa.plans.propose import guardrail, propose_plan
 from tersa.plans.steps import Step, collect_steps, plan_to_json
 from tersa.sources.files import scan_csv, scan_parquet, write_clean
@@ -1086,6 +1086,40 @@ def e10_stream(spark, sf_dir):
     return scan_parquet(spark, f"{folder}/rows")
 
 
+_EVENTS_WITH_GAPS = ["event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "upper(event_type) AS event_type", "IF(event_id % 9 = 0, NULL, value) AS value"]
+
+
+def _streamed(spark, sf_dir, steps, watermark=None):
+    """The events as a stream through a plan, run until the input is used up."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    cleaned = replay_stream(stream.selectExpr(*_EVENTS_WITH_GAPS), plan_to_json(steps), watermark)
+    folder = shared_folder(spark, "stream")
+    query = (cleaned.writeStream.format("parquet").trigger(availableNow=True)
+             .option("checkpointLocation", f"{folder}/state").start(f"{folder}/rows"))
+    query.awaitTermination()
+    return scan_parquet(spark, f"{folder}/rows")
+
+
+@register("e10_fitted_stream", """
+WITH e AS (SELECT event_id, user_id, lower(event_type) AS event_type, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS value FROM events)
+SELECT event_id, user_id, event_type, least(coalesce(value, (SELECT median(value) FROM e)), 90.0) AS value FROM e""")
+def e10_fitted(spark, sf_dir):
+    """A plan with a median, fitted on the table and replayed on a stream of it."""
+    steps = fit_plan(table(spark, sf_dir, "events").selectExpr(*_EVENTS_WITH_GAPS), [
+        Step("fill_missing", "value", {"strategy": "median"}), Step("normalize_case", "event_type", {"mode": "lower"}),
+        Step("clamp_range", "value", {"min_value": None, "max_value": 90.0}),
+    ])
+    return _streamed(spark, sf_dir, steps).select("event_id", "user_id", "event_type", "value")
+
+
+@register("e10_stream_without_duplicates", "SELECT DISTINCT user_id, lower(event_type) AS event_type FROM events")
+def e10_dedup(spark, sf_dir):
+    steps = [Step("normalize_case", "event_type", {"mode": "lower"}),
+             Step("remove_duplicates", parameters={"subset_columns": ["user_id", "event_type"]}), Step("drop_column", "value")]
+    return _streamed(spark, sf_dir, steps, ("ts", "36500 days")).select("user_id", "event_type")
+
+
 # --- K: KPIs -----------------------------------------------------------------------------------------
 
 

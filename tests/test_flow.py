@@ -5,6 +5,7 @@ import re
 import statistics
 import subprocess
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import fixtures_data as D
 from conftest import ROOT
 from tersa import (
-    Analysis, Step, before_after, drop_empty_rows, execute_plan, guardrail, kpi_report,
+    Analysis, Step, before_after, drop_empty_rows, execute_plan, fit_plan, guardrail, kpi_report,
     mask_by_hint, masked_sample, plan_from_json, plan_to_json, profile, profile_report,
     propose_plan, propose_steps, quality_issues, quality_overall, quality_scores, replay_plan,
     replay_stream, review, run_plan, scan_csv,
@@ -352,11 +353,80 @@ def test_stream_replay(spark, tmp_path):
     assert query.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [
         (1, "Ana SA", 1.5), (2, "Luis", None)]
-    for bad in (Step("remove_duplicates"), Step("fill_missing", "t", {"strategy": "mode"})):
+    for bad in (Step("remove_duplicates"), Step("fill_missing", "t", {"strategy": "mode"})):  # no watermark, not fitted
         with pytest.raises(ValueError, match="stream"):
             replay_stream(stream, [bad])
 
 
+def _events(spark, n):
+    return spark.range(n).selectExpr(
+        "id", "timestamp_seconds(1700000000 + id DIV 3) AS ts", "concat(' k', id % 50) AS k", "IF(id % 7 = 0, NULL, id % 50 * 1.25D) AS x",
+        "IF(id % 5 = 0, NULL, concat('w', id % 50 % 3)) AS w", "IF(id % 11 = 0, NULL, CAST(id % 50 AS INT)) AS i",
+    )
+
+
+_STREAMED = [
+    Step("trim_text", "k"), Step("fill_missing", "x", {"strategy": "median"}), Step("fill_missing", "w", {"strategy": "mode"}),
+    Step("fill_missing", "i", {"strategy": "mode"}), Step("clamp_range", "x", {"min_value": 5, "max_value": 50}),
+    Step("fill_missing", "x", {"strategy": "mean"}), Step("fill_missing", "nope", {"strategy": "mean"}, status="rejected"),
+]
+
+
+def test_a_fitted_plan_is_json_and_gives_the_same_table(spark):
+    df = _events(spark, 400)
+    fitted = fit_plan(df, _STREAMED)
+    assert plan_from_json(plan_to_json(fitted)) == fitted
+    plain, again = execute_plan(df, _STREAMED).frame, execute_plan(df, plan_from_json(plan_to_json(fitted))).frame
+    assert plain.dtypes == again.dtypes and sorted(map(str, plain.collect())) == sorted(map(str, again.collect()))
+    few = execute_plan(df.where("id % 7 = 0 AND id < 40"), fitted).frame.select("x").distinct().collect()
+    whole = execute_plan(df, _STREAMED).frame.where("id % 7 = 0").select("x").distinct().collect()
+    assert few == whole  # other rows are filled with what the plan was fitted with
+    assert fit_plan(df, [Step("fill_missing", "ts", {"strategy": "median"})])[0].parameters == {"strategy": "median"}
+    empty = fit_plan(df.where("false"), [Step("fill_missing", "x", {"strategy": "mean"})])
+    assert execute_plan(df, empty).frame.where("x IS NULL").count() == df.where("x IS NULL").count()
+
+
+def test_a_stream_in_batches_with_a_restart_gives_the_batch_answer(spark, tmp_path):
+    df = _events(spark, 600)
+    for i in range(6):
+        df.where(f"id DIV 100 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    steps = fit_plan(df, _STREAMED) + [Step("remove_duplicates", parameters={"subset_columns": ["k"]}), Step("drop_column", "id")]
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def run(batches):
+        writer = replay_stream(stream, plan_to_json(steps), ("ts", "1 hour")).writeStream.option("checkpointLocation", str(tmp_path / "state"))
+        if batches is None:
+            query = writer.trigger(availableNow=True).start(str(tmp_path / "out"))
+            assert query.awaitTermination(240)
+        else:
+            query = writer.start(str(tmp_path / "out"))
+            while len([p for p in query.recentProgress if p["numInputRows"]]) < batches and query.exception() is None:
+                time.sleep(0.2)
+            query.stop()
+
+    run(2)
+    run(None)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    batch = execute_plan(df, steps, order_by="id").frame
+    columns = ["k", "w"]
+    assert sorted(map(tuple, got.select(columns).collect())) != [] and got.count() == batch.count() == 50
+    assert sorted(r.k for r in got.collect()) == sorted(r.k for r in batch.collect())
+    assert got.columns == batch.columns and got.where("x IS NULL OR w IS NULL OR i IS NULL").count() == 0
+
+
+def test_streams_refuse_what_needs_all_rows(spark, tmp_path):
+    _events(spark, 5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(_events(spark, 1).schema).parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="watermark"):
+        replay_stream(stream, [Step("remove_duplicates")])
+    with pytest.raises(ValueError, match="stream"):
+        replay_stream(stream, [Step("fill_missing", "x", {"strategy": "mean"})], ("ts", "1 hour"))
+    with pytest.raises(ValueError, match="event time"):
+        replay_stream(stream, [Step("drop_column", "ts"), Step("remove_duplicates")], ("ts", "1 hour"))
+    with pytest.raises(ValueError):
+        replay_stream(stream, [Step("remove_duplicates", parameters={"subset_columns": ["nope"]})], ("ts", "1 hour"))
+
+
 def test_results_do_not_depend_on_partitioning(load):
     df = load(D.ORDERS).withColumn("i", F.monotonically_increasing_id())
     df = df.sparkSession.createDataFrame(df.collect(), df.schema)
