@@ -2,6 +2,7 @@
 
 from tersa.operators.analysis import Analysis, duplicate_rows
 from tersa.operators.catalog import apply_operation, list_operations, register_operation
+from tersa.operators.compare import compare_tables
 from tersa.operators.kpi import category_breakdown, kpi_report
 from tersa.operators.privacy import mask_by_hint, mask_embedded, masked_sample
 from tersa.operators.profile import profile, profile_report
@@ -18,7 +19,7 @@ from tersa.sources.hygiene import (
 from tersa.streaming.replay import replay_stream
 
 __all__ = [
-    "Analysis", "ProfileStore", "Step", "apply_operation", "apply_proposals", "before_after", "category_breakdown",
+    "Analysis", "ProfileStore", "Step", "apply_operation", "apply_proposals", "before_after", "category_breakdown", "compare_tables",
     "count_empty_rows", "dataset_metadata", "drop_empty_rows", "duplicate_rows", "execute_plan",
     "fingerprint", "fit_plan", "guardrail", "kpi_report", "list_operations", "mapping_steps", "mask_by_hint", "mask_embedded",
     "masked_sample", "merge_states", "plan_from_json", "plan_to_json", "profile", "profile_of_states", "profile_report", "profile_state",

@@ -201,5 +201,10 @@ def frequent_values(values: DataFrame, k: int, key: str = "k", group_bytes: int
 
 def most_frequent(df: DataFrame, value: Column) -> DataFrame:
     """One row, one column ``value``: the most frequent non-null value, smallest on a tie."""
-    top = frequent_values(df.select(F.lit(0).alias("k"), value.alias("v")), 1)
+    values = df.select(F.lit(0).alias("k"), value.alias("v"))
+    if _estimated_bytes(values) <= GROUP_BYTES:
+        counted = values.where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        top = counted.orderBy(F.desc("n"), F.asc("v")).limit(1)
+    else:
+        top = frequent_values(values, 1, group_bytes=0)
     return top.agg(F.max("v").alias("value"))

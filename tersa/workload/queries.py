@@ -12,6 +12,7 @@ from tersa.functions import vocabulary as V
 from tersa.operators import kpi, spelling
 from tersa.operators.analysis import Analysis, duplicate_rows
 from tersa.operators.catalog import apply_operation
+from tersa.operators.compare import compare_tables
 from tersa.operators.privacy import mask_by_hint, mask_embedded, masked_sample
 from tersa.operators.profile import profile, profile_report
 from tersa.operators.quality import (
@@ -637,6 +638,42 @@ def t3_apply(spark, sf_dir):
     return execute_plan(df, spelling.mapping_steps(spelling.propose_mappings(df))).frame
 
 
+# --- S9, Q10: two versions of a table ------------------------------------------------------------------
+
+_VERSIONS = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 97 <> 3"""
+_CHANGED = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 89 = 5 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderkey % 83 = 7 THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 101 <> 4"""
+
+
+@register("s9_compare_tables", f"""
+WITH a AS ({_VERSIONS}), b AS ({_CHANGED}), j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+  CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS status,
+  CASE WHEN a.o_orderkey IS NULL OR b.o_orderkey IS NULL THEN '' ELSE concat_ws('|',
+    CASE WHEN a.o_orderstatus <> b.o_orderstatus THEN 'o_orderstatus' END,
+    CASE WHEN a.o_totalprice IS DISTINCT FROM b.o_totalprice THEN 'o_totalprice' END) END AS changed_columns,
+  a IS DISTINCT FROM b AS differs FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey)
+SELECT o_orderkey, status, changed_columns FROM j WHERE differs""")
+def s9_compare(spark, sf_dir):
+    """Keys added, removed and changed between two versions of the orders, with the columns that changed."""
+    orders = table(spark, sf_dir, "orders")
+    before, after = (spark.sql(text.replace("FROM orders", "FROM {orders}"), orders=orders) for text in (_VERSIONS, _CHANGED))
+    found = compare_tables(before, after, ["o_orderkey"])
+    return found.select("o_orderkey", "status", F.array_join("changed_columns", "|").alias("changed_columns"))
+
+
+@register("q10_what_a_plan_changed", _with("clientes", f"""
+, p AS (SELECT id_cliente, nombre_cliente, {O.smart_title('nombre_cliente')} AS titulo, unidades, coalesce(unidades, 0) AS lleno FROM clientes)
+SELECT id_cliente, concat_ws('|', CASE WHEN nombre_cliente <> titulo THEN 'nombre_cliente' END, CASE WHEN unidades IS NULL THEN 'unidades' END)
+  AS changed_columns FROM p WHERE nombre_cliente <> titulo OR unidades IS NULL"""))
+def q10_changed(spark, sf_dir):
+    """The customers that a plan changes, and where."""
+    df = view(spark, sf_dir, "clientes")
+    done = execute_plan(df, [Step("normalize_case", "nombre_cliente"), Step("fill_missing", "unidades", {"value": 0})])
+    clean = done.frame.withColumn("unidades", F.col("unidades").cast(df.schema["unidades"].dataType))
+    found = compare_tables(df, clean, ["id_cliente"])
+    return found.select("id_cliente", F.array_join("changed_columns", "|").alias("changed_columns"))
+
+
 # --- Q: quality --------------------------------------------------------------------------------------
 
 _SEVERITY = """CASE kind WHEN 'nulls' THEN CASE WHEN share > 50 THEN 'critical' WHEN share > 20 THEN 'high' ELSE 'medium' END

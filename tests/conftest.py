@@ -48,3 +48,20 @@ def apply(texts):
         return [r.r for r in rows]
 
     return run
+
+
+def shuffled_rows(spark, make):
+    """Rows that the jobs of ``make`` write to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    group = f"shuffled-{make.__name__}-{id(make)}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        make()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    tracker, total = spark.sparkContext.statusTracker(), 0
+    for job in tracker.getJobIdsForGroup(group):
+        for stage in tracker.getJobInfo(job).stageIds:
+            total += store.lastStageAttempt(stage).shuffleWriteRecords()
+    return total

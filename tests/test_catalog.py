@@ -10,6 +10,7 @@ from tersa import (
     quality_overall, register_operation,
 )
 from tersa.operators.catalog import remove_duplicates, unregister_operation
+from conftest import shuffled_rows
 from tersa.operators import selection
 from tersa.operators.selection import (
     _with_order, bracketed, column_median, exact_medians, frequent_values, grouped_medians, most_frequent, splitters,
@@ -212,7 +213,9 @@ def test_weighted_medians_by_key(spark):
     assert {r.k: r.median for r in exact_medians(df, limits, "k").collect()} == {"a": 1.0, "b": 7.5}
 
 
-def test_most_frequent(spark):
+@pytest.mark.parametrize("few", [0, 1 << 40])
+def test_most_frequent(spark, monkeypatch, few):
+    monkeypatch.setattr(selection, "GROUP_BYTES", few)
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "v string")
     assert most_frequent(df, F.col("v")).first()[0] == "a"
     assert most_frequent(df.limit(0), F.col("v")).first()[0] is None
@@ -241,22 +244,6 @@ def test_frequent_values_are_exact_with_ties(spark, monkeypatch, k):
         assert frequent_values(df.limit(0), k, group_bytes=group_bytes).count() == 0
 
 
-def _shuffled_rows(spark, make):
-    store = spark.sparkContext._jsc.sc().statusStore()
-    group = f"shuffled-{make.__name__}-{id(make)}"
-    spark.sparkContext.setJobGroup(group, "")
-    try:
-        make()
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    tracker, total = spark.sparkContext.statusTracker(), 0
-    for job in tracker.getJobIdsForGroup(group):
-        for stage in tracker.getJobInfo(job).stageIds:
-            total += store.lastStageAttempt(stage).shuffleWriteRecords()
-    return total
-
-
 def test_a_clear_winner_shuffles_no_values(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(0, 400_000, 1, 4).selectExpr("IF(id % 10 = 0, 'hot', concat('v', id)) AS v").write.parquet(path)
@@ -268,7 +255,7 @@ def test_a_clear_winner_shuffles_no_values(spark, tmp_path):
         assert [r.v for r in frequent_values(cells, 1, group_bytes=0).collect()] == ["hot"]
 
     files = df.rdd.getNumPartitions()
-    assert _shuffled_rows(spark, clear) < 2 * files * selection.BUCKETS + 20_000  # of 360 000 different values
+    assert shuffled_rows(spark, clear) < 2 * files * selection.BUCKETS + 20_000  # of 360 000 different values
 
 
 def test_numbers_order_as_their_64_bits(spark):
