@@ -106,19 +106,19 @@ def maximal_segments(sums: list[tuple[float, float]]) -> list[tuple[int, int, fl
     ``sums``: for each run of positive words, the sum of scores before and after it. Returns first run, last run
     and score. A run joins the last segment that starts from a lower sum and ends below this one's.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, the nearest one that starts lower
     for i, (before, after) in enumerate(sums):
-        first, low = i, before
+        first, low, j = i, before, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
+                j = found[j][4]  # all in between start as high as this one
             if j < 0 or found[j][3] >= after:
-                found.append((first, i, low, after))
+                found.append((first, i, low, after, j))
                 break
-            first, low = found[j][0], found[j][2]
+            first, low, link = found[j][0], found[j][2], found[j][4]
             del found[j:]
-    return [(a, b, high - low) for a, b, low, high in found]
+            j = link
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 @dataclass

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -45,6 +46,17 @@ def test_linear_scan_finds_every_maximal_segment(seed):
     assert brute_segments(scores) == got
 
 
+def test_a_million_runs_are_scanned_in_seconds():
+    """Sums that fall through the text: every run starts lower than all before it, or higher than the last but lower than none."""
+    down = [(-3.0 * i, -3.0 * i + 2) for i in range(10**6)]
+    saw = [(-i % 1000 - i / 1e4, -i % 1000 - i / 1e4 + 0.5) for i in range(10**6)]
+    began = time.process_time()
+    assert len(toxicity.maximal_segments(down)) == 10**6
+    assert len(toxicity.maximal_segments(saw)) > 1000
+    assert len(toxicity.maximal_segments([(float(i), i + 0.9) for i in range(10**6)])) == 1
+    assert time.process_time() - began < 60
+
+
 def test_held_out_accuracy(spark):
     read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
     labels = {r.doc_id: r.toxic for r in read("labels").collect()}
