@@ -12,7 +12,6 @@ is the mode for tables with hundreds of high-cardinality columns.
 
 from __future__ import annotations
 
-import json
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -28,6 +27,8 @@ from tersa.sources.files import row_number_in_files
 from tersa.sources.local import local_frame
 
 _NARROW_BYTES = 40
+#: Hash buckets of a column's values whose first rows are kept to find the first values.
+SAMPLE_BUCKETS = 4096
 
 
 def weight(condition: Column) -> Column:
@@ -371,8 +372,7 @@ class Analysis:
     def samples(self, k: int = 5) -> DataFrame:
         """(position, sample_values): the first k distinct non-blank values of each column.
 
-        In approximate mode values are not grouped: a pass then finds each column's first rows, and
-        columns that repeat a few values in these take another pass without them.
+        In approximate mode values are not grouped: only cells up to the row where the k-th value begins are.
         """
         parts = []
         if self.has(TEXT, OTHER):
@@ -384,34 +384,30 @@ class Analysis:
             parts.append(typed.select("position", shown, "first", "n"))
         values = reduce(DataFrame.unionByName, parts)
         window = Window.partitionBy("position").orderBy("first", "n", "text")
-        if self.approx:
-            return self._first_values(values, window, k)
+        return self._first_values(values, window, k) if self.approx else self._listed(values, window, k)
+
+    def _first_values(self, values: DataFrame, window: Window, k: int) -> DataFrame:
+        """The first k distinct values of ungrouped cells, in two passes that shuffle a fixed number of rows a task.
+
+        The first pass finds the first row of each hash bucket of values. Whatever comes first in the k buckets that
+        begin first has begun by the last of these rows, and all k values have; the second pass groups only the cells up to it.
+        """
+        bucket = F.pmod(F.xxhash64("text"), F.lit(SAMPLE_BUCKETS)).alias("bucket")
+        begins = values.select("position", "first", bucket).groupBy("position", "bucket").agg(F.min("first").alias("first"))
+        order = Window.partitionBy("position").orderBy("first")
+        earliest = begins.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        limits = earliest.groupBy("position").agg(F.when(F.count("rank") == k, F.max("first")).alias("limit"))
+        limits = limits.select(F.col("position").alias("_position"), "limit")  # one row a column
+        near = values.join(F.broadcast(limits), F.col("position") == F.col("_position"))
+        near = near.where(F.col("limit").isNull() | F.col("first").isNull() | (F.col("first") <= F.col("limit")))
+        counted = near.groupBy("position", "text").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+        return self._listed(counted, window, k)
+
+    def _listed(self, values: DataFrame, window: Window, k: int) -> DataFrame:
         first = values.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
         listed = F.array_sort(F.collect_list(F.struct("rank", "text")))["text"]
         return first.groupBy("position").agg(F.array_distinct(listed).alias("sample_values"))
 
-    def _first_values(self, values: DataFrame, window: Window, k: int) -> DataFrame:
-        """The first k distinct values of ungrouped cells; at most k passes, ``10 * k`` rows a column each."""
-        found: dict[int, list[str]] = {i: [] for i in range(len(self.columns))}
-        open_, size = list(found), 10 * k
-        while open_:
-            known = [
-                (F.col("position") == i) & F.col("text").isin(found[i]) for i in open_ if found[i]
-            ]
-            rest = values.where(F.col("position").isin(open_))
-            rest = rest.where(~reduce(Column.__or__, known)) if known else rest
-            ranked = rest.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= size)
-            rows = ranked.select("position", "rank", "text").orderBy("position", "rank").collect()
-            read: dict[int, int] = {}
-            for r in rows:
-                read[r.position] = read.get(r.position, 0) + 1
-                if len(found[r.position]) < k and r.text not in found[r.position]:
-                    found[r.position].append(r.text)
-            open_ = [i for i in open_ if read.get(i, 0) == size and len(found[i]) < k]
-        listed = [(i, json.dumps(v)) for i, v in found.items() if v]
-        local = local_frame(self.df.sparkSession, listed, "position int, listed string")
-        return local.select("position", F.from_json("listed", "array<string>").alias("sample_values"))
-
     def _numbers(self, positions: list[int]) -> DataFrame:
         """(position, v, w): the numbers of some columns with their row counts."""
         parts = []

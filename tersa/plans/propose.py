@@ -89,13 +89,14 @@ def _findings(analysis: Analysis, tests: dict[str, tuple[Column, Column]]) -> Da
 
 
 def findings(
-    source: DataFrame | Analysis, ruleset: str = "rules", compat: bool = False, dataset: str = ""
+    source: DataFrame | Analysis, ruleset: str = "rules", compat: bool = False, dataset: str = "", issues: bool = True
 ) -> DataFrame:
-    """(dataset, position, column, kind, estimate) of one table."""
+    """(dataset, position, column, kind, estimate) of one table; without ``issues`` only what the fallbacks see."""
     analysis = _analysis(source)
-    fallback = _sampled_findings(analysis) if ruleset == "sampled" else _fallback_findings(analysis, compat)
-    issues = _issue_findings(analysis, compat)
-    return issues.unionByName(fallback).select(F.lit(dataset).alias("dataset"), "*")
+    found = _sampled_findings(analysis) if ruleset == "sampled" else _fallback_findings(analysis, compat)
+    if issues:
+        found = _issue_findings(analysis, compat).unionByName(found)
+    return found.select(F.lit(dataset).alias("dataset"), "*")
 
 
 def plan_from_findings(found: DataFrame, ruleset: str = "rules") -> DataFrame:

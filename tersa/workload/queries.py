@@ -21,7 +21,7 @@ from tersa.operators.quality import (
 from tersa.operators.selection import frequent_values
 from tersa.operators.state import ProfileStore
 from tersa.plans.execute import execute_plan, fit_plan, replay_plan, run_plan
-from tersa.plans.propose import guardrail, propose_plan
+from tersa.plans.propose import findings, guardrail, plan_from_findings, propose_plan
 from tersa.plans.steps import Step, collect_steps, plan_to_json
 from tersa.sources.files import scan_csv, scan_parquet, write_clean
 from tersa.sources.hygiene import (
@@ -901,7 +901,23 @@ _plan("r3_rule_validity", "pedidos", _plan_sql("pedidos"), where="operation IN (
 _plan("r4_rule_integrity", "clientes", _plan_sql("clientes"), where="operation = 'clamp_range'")
 _plan("r5_rule_completeness", "pedidos", _plan_sql("pedidos"), where="operation = 'fill_missing'")
 _plan("r6_fallback_case", "zonas", _plan_sql("zonas"), where="operation = 'normalize_case'")
-# The fallback trim has no query: white space always raises an issue, whose rule wins (r2, tests/test_flow.py).
+
+
+@register("r7_fallback_trim", O.analysed("clientes") + """
+SELECT column_name AS "column", row_count AS affected_rows_estimate, CAST(0.95 AS DOUBLE) AS confidence,
+  CAST(0.98 AS DOUBLE) AS confidence_with_issues FROM checked WHERE excess_space > 0""")
+def r7(spark, sf_dir):
+    """The fallback trims what has excess space. White space also raises an issue, whose surer rule wins where issues are known."""
+    analysis = Analysis(view(spark, sf_dir, "clientes"), order_by="id_cliente")
+
+    def trims(found):
+        return plan_from_findings(found).where("operation = 'trim_text'").select("column", "affected_rows_estimate", "confidence")
+
+    alone, both = trims(findings(analysis, issues=False)), trims(findings(analysis))
+    both = both.select("column", F.col("confidence").alias("confidence_with_issues"))
+    return alone.join(both, "column", "left")
+
+
 _plan("r8_fallback_numeric_compat", "zonas", _plan_sql("zonas", compat=True), compat=True,
       where="operation = 'convert_numeric'")
 _plan("r9_fallback_clamp", "zonas", _plan_sql("zonas"), where="operation = 'clamp_range'")

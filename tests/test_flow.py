@@ -358,6 +358,19 @@ def test_stream_replay(spark, tmp_path):
             replay_stream(stream, [bad])
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 4096])
+def test_first_values_of_ungrouped_cells_are_exact(spark, monkeypatch, buckets):
+    """Also where values share buckets, one value fills the first rows, and some rows have no place in the order."""
+    from tersa.operators import analysis
+
+    monkeypatch.setattr(analysis, "SAMPLE_BUCKETS", buckets)
+    rows = [(i, "same", f"v{i * 31 % 17}", i % 3 if i % 2 else None) for i in range(400)]
+    rows += [(400 + i, f"late {i % 9}", " ", None) for i in range(100)] + [(None, "nowhere", "x", 7)]
+    df = spark.createDataFrame(rows, "id long, a string, b string, c int").repartition(5)
+    listed = lambda approx: sorted((r.column_name, r.sample_values) for r in profile(df, order_by="id", approx=approx).collect())
+    assert listed(True) == listed(False)
+
+
 def _events(spark, n):
     return spark.range(n).selectExpr(
         "id", "timestamp_seconds(1700000000 + id DIV 3) AS ts", "concat(' k', id % 50) AS k", "IF(id % 7 = 0, NULL, id % 50 * 1.25D) AS x",

@@ -160,3 +160,22 @@ def test_tables_without_files_have_the_order_of_the_scan(spark):
     df = spark.range(10).selectExpr("id % 3 AS k", "id", "1 AS _metadata")
     assert apply_operation(df, "remove_duplicates", subset_columns=["k"]).count() == 3
     assert apply_operation(df.unionByName(df), "remove_duplicates", subset_columns=["k"]).count() == 3
+
+
+def test_fingerprint_values(spark):
+    """Each row's 64 bits, chained over values and null flags, computed by another implementation."""
+    import xxhash
+
+    def row_hash(i, t):
+        h = 42
+        for v, raw in ((i, None if i is None else i.to_bytes(8, "little", signed=True)), (t, None if t is None else t.encode())):
+            h = h if raw is None else xxhash.xxh64(raw, seed=h).intdigest()
+            h = xxhash.xxh64(int(v is None).to_bytes(4, "little"), seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    rows = [(1, "a"), (-7, None), (None, "é漢"), (None, None), (1, "a"), (2**62, "")]
+    got = fingerprint(spark.createDataFrame(rows, "i bigint, t string")).first()
+    hashes, xor = [row_hash(*r) for r in rows], 0
+    for h in hashes:
+        xor ^= h
+    assert (got.row_count, got.hash_xor, got.hash_sum) == (6, xor, str(sum(hashes)))
