@@ -116,7 +116,8 @@ def contamination(
     ASCII punctuation, space and control, lower-cased in ASCII. A benchmark text under ``window`` words
     is one window; one without words, or null, gives none. Null and empty documents have no words.
     Rows that repeat are judged one by one; item ids that repeat are one item, a null id is ``''``.
-    An empty benchmark contaminates nothing. Other columns are not read.
+    An empty benchmark contaminates nothing; an empty table gives no rows. A very long text is read in one task. Other columns are
+    not read, whatever their names.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("_item"), "text")

@@ -287,7 +287,8 @@ def score_documents(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS, sha
     """(key, n_words, log_likelihood, per_word): whole documents; higher is likelier.
 
     Words are runs of bytes outside ASCII white space, lower-cased in ASCII. Null and texts without words have
-    no words, a sum of 0 and no mean (null). Repeated rows are learnt from and scored one by one.
+    no words, a sum of 0 and no mean (null). Repeated rows are learnt from and scored one by one; an empty table gives no rows.
+    A very long text is scored in one task, in batches of its words. Other columns are not read, whatever their names.
     """
     frequent = frequent_words(docs, scratch)
     corpus = scratch.keep(with_row(tokenised(docs, frequent, key)), "corpus")

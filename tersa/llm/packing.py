@@ -98,7 +98,8 @@ def token_pieces(
     """The ids of each text and an end id, in pieces of at most ``capacity``; null is an empty text.
 
     Only longer documents are cut: into full pieces, after a first one of what is left over. Every row
-    gives at least one piece, so repeated rows and ids do too. Other columns are not read.
+    gives at least one piece, so repeated rows and ids do too; an empty table gives none. A very long text is encoded in
+    one task. Other columns are not read, whatever their names.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     tail = array("I", [end]).tobytes()
@@ -283,7 +284,7 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, size: st
     """Adds sequence_id and offset: sequences of at most ``capacity``, gapless from 0, as few as found.
 
     Sizes must lie between 1 and ``capacity``. Equal sizes take their places in the order of a row
-    number, so repeated rows are packed one by one; an empty table stays empty.
+    number, so repeated rows are packed one by one; an empty table stays empty. Other columns are kept.
     """
     numbered = scratch.keep(with_row(pieces, "_piece"), "pieces")
     counts = {r[0]: r[1] for r in numbered.groupBy(size).count().collect()}  # at most ``capacity`` rows

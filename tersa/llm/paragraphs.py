@@ -198,7 +198,8 @@ def near_paragraphs(
 
     ``paragraph`` counts the text's lines that are not empty, from 0. Lines of fewer words than a shingle are left
     alone. The class is named by its first paragraph (smallest key, then place; null keys last), the only one
-    that is not removed. Null and empty texts have no paragraphs; repeated rows have repeated paragraphs.
+    that is not removed. Null and empty texts have no paragraphs; repeated rows have repeated paragraphs; an empty table gives no
+    rows. A very long text is read in one task. Other columns are not read, whatever their names.
     ``whole``: every text is one paragraph, however short.
     """
     kind = docs.schema[key].dataType.simpleString()

@@ -252,7 +252,8 @@ def classify(
 ) -> DataFrame:
     """(key, held_out, score): the probability of label 1 for every row; repeated rows are scored one by one.
 
-    Null and empty texts are scored by their zero features. Without labels the score is a half.
+    Null and empty texts are scored by their zero features. Without labels the score is a half; an empty table gives no rows.
+    A very long text is read in one task. Other columns are not read, whatever their names.
     """
     fitted, table = learn(docs, labels, scratch, label, held_out, sample_rows, key)
     model = docs.sparkSession.sparkContext.broadcast(fitted)
@@ -269,7 +270,10 @@ def classify(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents that score ``threshold`` or more, with the columns they have; rows are judged in place."""
+    """The documents that score ``threshold`` or more, with the columns they have, whatever their names; rows are judged in place.
+
+    Null text is judged as empty text. Repeated rows are judged alike; an empty table stays empty. A very long text is read in one task.
+    """
     fitted, _ = learn(docs, labels, scratch, **options)
     scratch.drop("features")
     model = docs.sparkSession.sparkContext.broadcast(fitted)

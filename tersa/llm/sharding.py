@@ -185,7 +185,7 @@ def shard_documents(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, key
 
     Links are equal texts, by their 64-bit hash (a collision would only place two texts together). Null texts
     have no bytes and no neighbours; empty texts are equal texts. Repeated rows are placed one by one. An empty
-    table stays empty.
+    table stays empty. Of a text, however long, only size, crc32 and hash go on. Other columns are not read, whatever their names.
     """
     text = F.coalesce("text", F.lit(""))
     items = docs.select(

@@ -175,7 +175,8 @@ def near_duplicates(
 
     Copies are one fingerprint before any pair is looked for. Rows that repeat, and equal fingerprints,
     are in one component; a null key counts only where a component has no other. ``keeper`` is the
-    (key, text_hash) that stays of a component: the smallest, nulls last.
+    (key, text_hash) that stays of a component: the smallest, nulls last. Null texts have no words, as empty ones; an empty table
+    gives no rows. A very long text is hashed in one task. Other columns are not read, whatever their names.
     """
     marked = scratch.keep(fingerprints(docs, shingle, key), "fingerprints")
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("text_hash")))
@@ -192,7 +193,10 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, distance: int = DISTANCE, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:
-    """The documents without near-duplicates: of each component its smallest key stays, as one row."""
+    """The documents without near-duplicates: of each component its smallest key stays, as one row, with all its columns.
+
+    Nulls, repeats, empty tables and long texts are as in ``near_duplicates``; other columns may have any names.
+    """
     found = scratch.keep(near_duplicates(docs, scratch, distance, shingle, key), "found")
     kept = found.where(F.col(key).eqNullSafe(F.col(f"keeper.{key}")) & (F.col("text_hash") == F.col("keeper.text_hash")))
     kept = kept.groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))

@@ -319,7 +319,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, whole_characters: bool = F
 
     A byte goes if a 50-byte string covers it that also starts in a document with a smaller key, judged on
     the input. Documents with one key do not remove each other; a null key comes after all others. Null text is
-    empty. ``whole_characters`` keeps characters of which only some bytes are covered, so that ``kept`` is UTF-8.
+    empty; an empty table gives no rows. A very long text is a chunk of its own, whose segments tasks share. Other columns are kept in
+    ``doc``, whatever their names. ``whole_characters`` keeps characters of which only some bytes are covered, so that ``kept`` is UTF-8.
     """
     spark = docs.sparkSession
     table = scratch.keep(with_row(chunk_rows(docs, CHUNK), "chunk").select("chunk", "payload", "n_bytes"), "chunks")

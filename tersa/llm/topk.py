@@ -100,7 +100,8 @@ def top_k(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = 50, key
 
     Vectors that are null, or hold a null or non-finite component, and rows without a key take no part. Shorter
     vectors count as padded with zeros. Rows that repeat a key are rows of their own: each is a candidate, and a
-    query of its own where the key is divisible. Scores that do not fit a long raise an error.
+    query of its own where the key is divisible. Scores that do not fit a long raise an error. An empty table gives no
+    rows; other columns are not read, whatever their names.
     """
     width, total = vectors.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
     parts = max(1, -(-total // BLOCK))

@@ -208,7 +208,8 @@ def assess(
 
     A passage has its first word, end word and evidence in nats. Null and empty texts have no passages and are
     scored as such. Null labels and keys teach nothing; of labels that repeat a key the largest counts. Without
-    labels of both kinds the score is the smoothed share of ones. Repeated rows are scored one by one.
+    labels of both kinds the score is the smoothed share of ones. Repeated rows are scored one by one; an empty table gives no
+    rows. A very long text is scanned in one task, in time linear in its words. Other columns are not read, whatever their names.
     """
     known = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
     known = known.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
