@@ -129,7 +129,8 @@ def top_k(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = 50, key
     packs = scratch.keep(packs, "queries")
     asked = packs.agg(F.sum("queries")).first()[0] or 0
     groups = -(-asked // QUERIES_AT_ONCE) or 1
-    group = F.pmod(F.xxhash64("home"), F.lit(groups)).alias("group")
+    # an int as in the index rows: Spark deals ints and longs of one value to different tasks
+    group = F.pmod(F.xxhash64("home"), F.lit(groups)).cast("int").alias("group")
     each = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     # the stated queries meet every block: a block's task holds one group of them
     every_block = F.explode(F.sequence(F.lit(0), F.lit(max(many, 1) - 1))).alias("block")

@@ -43,6 +43,18 @@ def test_against_brute_force(spark, block, queries, monkeypatch):
     assert run(spark, rows, every=10) == brute(rows, 5, 10)
 
 
+def test_blocks_meet_their_queries_in_every_partition(spark):
+    rng = random.Random(6)
+    rows = [(i, as_float([rng.gauss(0, 1) for _ in range(4)])) for i in range(200)]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")  # as on tables too large for one partition
+    try:
+        assert run(spark, rows, every=10) == brute(rows, 5, 10)
+    finally:
+        spark.conf.set(coalesce, before)
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
