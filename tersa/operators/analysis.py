@@ -6,8 +6,8 @@ regex runs once per distinct value instead of once per row. All counts are then
 over those values, grouped by column. Typed columns (numbers, dates) keep their native values and
 skip everything that only text can need.
 
-``approx=True`` skips the grouping: no wide shuffle, approximate distinct counts and quantiles. It
-is the mode for tables with hundreds of high-cardinality columns.
+``approx=True`` groups only the text columns that have few values: no wide shuffle, approximate distinct counts
+and quantiles. It is the mode for tables with hundreds of high-cardinality columns.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ from tersa.sources.local import local_frame
 _NARROW_BYTES = 40
 #: Hash buckets of a column's values whose first rows are kept to find the first values.
 SAMPLE_BUCKETS = 4096
+#: Approximate mode: distinct values of a column that is grouped take so many bytes at most.
+FEW_BYTES = 16 << 20
+#: Copies of a grouped number that one row stands for until sketches read them.
+COPIES = 10_000
 
 
 def weight(condition: Column) -> Column:
@@ -94,10 +98,10 @@ class Analysis:
     def _row(self) -> Column:
         return F.col(f"`{self.order_by}`") if self.order_by else row_number_in_files(self.df)
 
-    def text_rows(self) -> DataFrame:
-        """(row, position, text): one row per cell of the columns that are read as text."""
+    def text_rows(self, positions: list[int] | None = None) -> DataFrame:
+        """(row, position, text): one row per cell of the columns that are read as text, or of some of them."""
         parts = []
-        for i in self._positions(TEXT, OTHER):
+        for i in self._positions(TEXT, OTHER) if positions is None else positions:
             c = F.col(f"`{self.columns[i]}`")
             parts += [F.lit(i), c if self.kinds[i] == TEXT else c.cast("string")]
         return self._stack(parts, 2, "position", "text")
@@ -129,8 +133,8 @@ class Analysis:
         stacked = F.stack(F.lit(len(parts) // width), *parts).alias(*names)
         return self.df.select(self._row().alias("row"), stacked)
 
-    def _counted(self, cells: DataFrame, *value: str) -> DataFrame:
-        if self.approx:
+    def _counted(self, cells: DataFrame, *value: str, grouped: bool) -> DataFrame:
+        if not grouped:
             one = F.lit(1).cast("bigint").alias("n")
             return cells.select("position", *value, one, F.col("row").alias("first"))
         counted = cells.groupBy("position", *value).agg(
@@ -138,16 +142,42 @@ class Analysis:
         )
         return shared(counted, "position", *value)
 
+    @cached_property
+    def grouped_columns(self) -> list[int]:
+        """The text columns whose equal values are grouped: all, or in approximate mode those of few and short values.
+
+        These are found by one pass without any reading of the texts. Regexes then run once for each of their values.
+        """
+        columns = self._positions(TEXT, OTHER)
+        if not self.approx or not columns:
+            return columns
+        size = self.text_rows().groupBy("position").agg(
+            F.approx_count_distinct(F.xxhash64("text")).alias("values"), F.max(F.octet_length("text")).alias("longest")
+        )
+        few = (F.col("values") <= FEW_VALUES) & (F.col("values") * F.coalesce("longest", F.lit(0)) <= FEW_BYTES)
+        return sorted(r.position for r in size.where(few).collect())
+
+    def _text_parts(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """The value tables of the grouped text columns and of the others."""
+        rest = [i for i in self._positions(TEXT, OTHER) if i not in self.grouped_columns]
+        return tuple(
+            self._counted(self.text_rows(some), "text", grouped=grouped) if some else None
+            for some, grouped in ((self.grouped_columns, True), (rest, False))
+        )
+
     @cached_property
     def text_values(self) -> DataFrame:
-        """(position, text, n, first): distinct text values with their count and first row."""
-        values = self._counted(self.text_rows(), "text")
+        """(position, text, n, first): distinct text values with their count and first row.
+
+        In approximate mode the cells of columns that are not grouped are rows of their own, with n = 1.
+        """
+        values = reduce(DataFrame.unionByName, [v for v in self._text_parts() if v is not None])
         return reliable_checkpoint(values) if self._materialize else values
 
     @cached_property
     def typed_values(self) -> DataFrame:
         """(position, whole, number, digits, n, first): the same for number and date columns."""
-        return self._counted(self.typed_rows(), *self._typed_keys)
+        return self._counted(self.typed_rows(), *self._typed_keys, grouped=not self.approx)
 
     @cached_property
     def text_cells(self) -> DataFrame:
@@ -156,10 +186,13 @@ class Analysis:
         The last stage is a generator: filters on what it yields are not pushed below it, where
         they would repeat the regexes.
         """
+        return self._read_text(self.text_values)
+
+    def _read_text(self, values: DataFrame) -> DataFrame:
         wordy = F.col("position").isin(self._positions(TEXT))
         t = F.col("t")
         return (
-            self.text_values.withColumn("t", text.strip(F.col("text")))
+            values.withColumn("t", text.strip(F.col("text")))
             .withColumns({
                 "low": F.lower("t"),
                 "bare": F.when(wordy, numbers.bare_number_text(t)),
@@ -265,19 +298,30 @@ class Analysis:
 
         Sketches run interpreted; in one aggregate with the counts they would slow all of them.
         """
-        parts = []
-        if self.has(TEXT, OTHER):
-            value = F.when(F.col("present"), F.xxhash64("text")).alias("value")
-            parts.append(self.text_cells.select("position", "number", value))
-        if self.has(NUMBER, DATE):
-            value = F.when(F.col("filled"), F.xxhash64(F.coalesce("whole", F.lit(0).cast("bigint")), "real", "digits"))
-            parts.append(self.typed_cells.select("position", "number", value.alias("value")))
-        return reduce(DataFrame.unionByName, parts).groupBy("position").agg(
+        return self.sketch_cells().groupBy("position").agg(
             F.approx_count_distinct("value").alias("unique_count"),
             F.stddev_samp("number").alias("std"),
             F.percentile_approx("number", 0.5, 10000).alias("median"),
         )
 
+    def sketch_cells(self) -> DataFrame:
+        """(position, number, value): what sketches read. ``value`` is a hash, NULL for no value.
+
+        A number comes once for each of its rows, grouped or not; a value that is no number may come once for all.
+        """
+        value = F.when(F.col("present"), F.xxhash64("text")).alias("value")
+        grouped, rest = self._text_parts() if self.has(TEXT, OTHER) else (None, None)
+        parts = []
+        if rest is not None:
+            parts.append(self._read_text(rest).select("position", "number", value))
+        if grouped is not None:
+            cells = self._read_text(grouped).select("position", "number", value, "n")
+            parts.append(_copied(cells))
+        if self.has(NUMBER, DATE):
+            value = F.when(F.col("filled"), F.xxhash64(F.coalesce("whole", F.lit(0).cast("bigint")), "real", "digits"))
+            parts.append(self.typed_cells.select("position", "number", value.alias("value")))
+        return reduce(DataFrame.unionByName, parts)
+
     def _text_facts(self) -> DataFrame:
         t, raw = F.col("t"), F.col("text")
         number, present, marker = F.col("number"), F.col("present"), F.col("marker")
@@ -478,6 +522,19 @@ class Analysis:
         return extra.groupBy("position").agg(F.sum("extra").alias("case_variants"))
 
 
+def _copied(cells: DataFrame) -> DataFrame:
+    """Each row with a number ``n`` times, the others once.
+
+    A row stands for ``COPIES`` of them at most while they are dealt to tasks, so that a frequent number is not one task's work.
+    """
+    last = F.when(F.col("number").isNotNull(), F.col("n") - 1).otherwise(F.lit(0).cast("bigint"))
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"), F.lit(COPIES).cast("bigint"))).alias("start")
+    dealt = cells.withColumn("last", last).select("*", starts).repartition(cells.sparkSession.sparkContext.defaultParallelism)
+    copies = F.least(F.col("last") - F.col("start") + 1, F.lit(COPIES)).cast("int")
+    each = dealt.select("position", "number", "value", F.explode(F.array_repeat(F.lit(True), copies)).alias("copy"))
+    return each.drop("copy")
+
+
 # --- decisions on fact rows ------------------------------------------------------------------------
 
 

@@ -33,21 +33,18 @@ _FLAGS = ["has_at", "has_percent", "has_currency", "has_code", "number_marks", "
 def profile_state(source: DataFrame | Analysis, part: str = "", order_by: str | None = None) -> DataFrame:
     """The state of one part: (part, position, column_name, kind, counts, lo, hi, mean, squares, sample_values, sketches).
 
-    The row at position -1 counts the part's rows. No value is shuffled: every task hands on one row a column.
+    The row at position -1 counts the part's rows. Only the values of text columns with few of them are shuffled: for all
+    else every task hands on one row a column.
     """
     df = source.df if isinstance(source, Analysis) else source
     analysis = Analysis(df, source.order_by if isinstance(source, Analysis) else order_by, approx=True)
-    counted, cells = [], []
+    counted = []
     if analysis.has(TEXT, OTHER):
         counted.append(analysis._text_facts())
-        value = F.when(F.col("present"), F.xxhash64("text"))
-        cells.append(analysis.text_cells.select("position", "number", value.alias("value")))
     if analysis.has(NUMBER, DATE):
         counted.append(analysis._typed_facts())
-        value = F.when(F.col("filled"), F.xxhash64(F.coalesce("whole", F.lit(0).cast("bigint")), "real", "digits"))
-        cells.append(analysis.typed_cells.select("position", "number", value.alias("value")))
     facts = reduce(DataFrame.unionByName, counted).drop("unique_count")
-    sketches = reduce(DataFrame.unionByName, cells).groupBy("position").agg(
+    sketches = analysis.sketch_cells().groupBy("position").agg(
         F.hll_sketch_agg("value", DISTINCT_BITS).alias("distinct_sketch"),
         F.kll_sketch_agg_double("number", F.lit(QUANTILE_SIZE)).alias("number_sketch"),
         F.avg("number").alias("mean"), (F.var_pop("number") * F.count("number")).alias("squares"),

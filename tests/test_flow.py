@@ -18,6 +18,7 @@ from tersa import (
     propose_plan, propose_steps, quality_issues, quality_overall, quality_scores, replay_plan,
     replay_stream, review, run_plan, scan_csv,
 )
+from tersa.operators import analysis as analysis_module
 from tersa.operators.analysis import duplicate_rows
 from tersa.operators.catalog import apply_operation
 from tersa.plans.steps import collect_steps
@@ -515,6 +516,28 @@ def test_approximate_samples_come_from_all_rows(spark):
     assert len(exact["v"].sample_values) == 5 and approx["v"].estimated and not exact["v"].estimated
 
 
+def test_approximate_mode_reads_few_values_once(spark, monkeypatch):
+    monkeypatch.setattr(analysis_module, "COPIES", 7)
+    monkeypatch.setattr(analysis_module, "FEW_VALUES", 20)
+    rows = [(i, [None, " ", "1,5", "N/D", "7"][i % 5], f"t{i}", ["12", "3"][i % 40 == 0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, few string, many string, num string").repartition(3)
+    a = Analysis(df, order_by="id", approx=True)
+    assert a.grouped_columns == [1, 3]
+    assert {r.position: (r["count"], r.n) for r in a.text_values.groupBy("position").agg(F.count("*").alias("count"), F.sum("n").alias("n")).collect()} == {
+        1: (5, 400), 2: (400, 400), 3: (2, 400)
+    }
+    cells = a.sketch_cells().where("number IS NOT NULL").groupBy("position", "number").count().collect()
+    assert {(r.position, r.number): r["count"] for r in cells if r.position} == {(1, 1.5): 80, (1, 7.0): 80, (3, 3.0): 10, (3, 12.0): 390}
+    exact, approx = by_name(profile(df, order_by="id")), by_name(profile(a))
+    for name in ("few", "many", "num"):
+        for c in ("inferred_type", "null_count", "sample_values", "min_value", "max_value", "mean", "std"):
+            assert approx[name][c] == exact[name][c]
+    assert approx["num"].median == 12.0 and approx["few"].unique_count == 3
+    long = spark.range(40).selectExpr("repeat(CAST(id % 2 AS STRING), 200) AS t")
+    monkeypatch.setattr(analysis_module, "FEW_BYTES", 399)
+    assert Analysis(long, approx=True).grouped_columns == []
+
+
 def test_approximate_mode_counts_case_variants_exactly(spark):
     df = spark.range(3000).selectExpr("concat('WORD', id) AS v").repartition(3)
     assert [r.case_variants for r in Analysis(df, approx=True).case_variants().collect()] == [0]
