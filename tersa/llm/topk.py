@@ -32,7 +32,7 @@ def _scaled(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(counts)
     bad = np.concatenate(([0], np.cumsum(~np.isfinite(values))))
     usable = np.asarray(column.is_valid()) & (bad[ends] == bad[ends - counts])
-    scaled = np.floor(SCALE * np.where(np.isfinite(values), values, 0))
+    scaled = np.floor(SCALE * np.where(np.repeat(usable, counts), values, 0))
     if len(scaled) and np.abs(scaled).max() >= 2.0**62:
         raise ArithmeticError("OVERFLOW: a scaled component does not fit a long")
     dense = np.zeros((len(counts), width), np.int64)

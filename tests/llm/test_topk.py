@@ -64,6 +64,11 @@ def test_awkward_vectors(spark):
     assert run(spark, rows) == brute(rows, 5, 50)
 
 
+def test_components_of_a_vector_that_takes_no_part_need_not_fit(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e30, float("nan")]), (2, [-1e30, None]), (3, [2.0, 2.0])]
+    assert run(spark, rows) == [(0, 1, 3, 6 * 256 * 256)]
+
+
 def test_few_and_no_vectors(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0])]) == []
