@@ -59,32 +59,43 @@ def _index(vectors: DataFrame, width: int, key: str) -> DataFrame:
     return arrow_map(kept, build, "n int, ids binary, matrix binary, order binary", rows=BLOCK)
 
 
-def threshold_search(matrix: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows and scores of the k best (ties to the smaller id), and how many rows were scored. ``skip``: no candidate."""
+def threshold_search(
+    matrix: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, skip: int = -1, floats: np.ndarray | None = None,
+    largest: float | None = None,
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows and scores of the k best (ties to the smaller id), and how many rows were scored. ``skip``: no candidate.
+
+    ``floats`` and ``largest``: the matrix as doubles and its largest absolute value, for a caller with many queries.
+    """
     n = len(matrix)
+    largest = float(np.abs(matrix).max(initial=0)) if largest is None else largest
     used = np.flatnonzero(query)
     up = query[used] > 0
-    exact = float(np.abs(matrix).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(len(query), 1)
+    exact = largest * float(np.abs(query).max(initial=0)) * max(len(query), 1)
     if exact >= 2.0**63:
         raise ArithmeticError("OVERFLOW: a score does not fit a long")
     kind = np.float64 if exact < 2.0**53 else np.int64
+    scorable = floats if floats is not None and kind is np.float64 else matrix
     wanted = query.astype(kind)
     seen = np.zeros(n, bool)
     if 0 <= skip < n:
         seen[skip] = True
     best, scores, depth, step, scored = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, FIRST_STEP, 0
     while depth < n:
-        to = min(depth + step, n)
-        ahead = order[n - to : n - depth, used[up]].ravel(), order[depth:to, used[~up]].ravel()
+        to = min(depth + step, n) if 2 * scored < n else n  # most rows are met: the rest is scored without a walk
         fresh = np.zeros(n, bool)
-        fresh[ahead[0]] = fresh[ahead[1]] = True
-        if not len(used):
+        if to == n or not len(used):
             fresh[:], to = True, n
+        else:
+            fresh[order[n - to : n - depth, used[up]]] = fresh[order[depth:to, used[~up]]] = True
         fresh = np.flatnonzero(fresh & ~seen)
         seen[fresh] = True
         scored += len(fresh)
-        found = (matrix[fresh].astype(kind) @ wanted).astype(np.int64)
+        found = (scorable[fresh].astype(kind, copy=False) @ wanted).astype(np.int64)
         best, scores = np.concatenate((best, fresh)), np.concatenate((scores, found))
+        if len(scores) > k > 0:  # ties with the k-th best stay
+            good = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            best, scores = best[good], scores[good]
         pick = np.lexsort((ids[best], -scores))[:k]
         best, scores = best[pick], scores[pick]
         depth, step = to, step * 2
@@ -143,11 +154,12 @@ def top_k(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = 50, key
             get = lambda name, kind: np.frombuffer(left.column(name)[0].as_buffer(), kind)
             ids, matrix = get("ids", np.int64), get("matrix", np.int64).reshape(n, width)
             order, block = get("order", np.int32).reshape(n, width), left.column("block")[0].as_py()
+            floats, largest = matrix.astype(np.float64), float(np.abs(matrix).max(initial=0))
             for home, *fields in zip(*(right.column(c) for c in ("home", "at", "ids", "rows"))):
                 at, query_ids, rows = (np.frombuffer(x.as_buffer(), np.int64) for x in fields)
                 for place, query_id, query in zip(at, query_ids, rows.reshape(len(at), width)):
                     skip = int(place) if home.as_py() == block else -1
-                    best, scores, _ = threshold_search(matrix, order, ids, query, k, skip)
+                    best, scores, _ = threshold_search(matrix, order, ids, query, k, skip, floats, largest)
                     out += [(home.as_py(), int(place), int(query_id), int(ids[b]), int(s)) for b, s in zip(best, scores)]
         names = ["home", "place", "query_id", "vec_id", "score"]
         columns = list(zip(*out)) if out else [[]] * 5
