@@ -4,6 +4,9 @@ A paragraph is a line. Lines of the same words are one line before anything is c
 five-word shingles is cut into bands, enough of them for the wanted recall at the threshold. Lines that share a
 band's key are compared by their exact Jaccard similarity; components of what is similar are the classes, of
 which the first paragraph stays.
+
+A passage is a run of words that texts share whatever lines it lies in. It is found by winnowing: of each run of so many
+words the part of half its length whose hash is least is the anchor, the same one in every text that has the run.
 """
 
 from __future__ import annotations
@@ -12,15 +15,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tersa.llm.common import (
-    Scratch, Words, _power_tables, arrow_map, chunk_rows, components, lower_ascii, mix, read_chunk, rows_by_text, text_column, with_row,
+    Scratch, Words, _power_tables, arrow_map, chunk_rows, components, lower_ascii, mix, read_chunk, rows_by_text, slices, text_column, with_row,
 )
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Words of the shortest passage: over 50.
+PASSAGE = 51
 RECALL = 0.995
 #: MinHash values of a line at most.
 MOST_HASHES = 48
@@ -41,6 +46,11 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_
     raise AssertionError
 
 
+def anchor_words(size: int) -> int:
+    """Words of an anchor: what two passages of ``size`` words at least have in common if they are linked."""
+    return size // 2 + 1
+
+
 class Lines:
     """The lines of a chunk that have a shingle: place, words, content hashes and shingle hashes.
 
@@ -59,13 +69,14 @@ class Lines:
         long = np.flatnonzero(n >= (1 if whole else shingle))
         self.row, self.words = lines.row[long], n[long]
         self.paragraph = (np.arange(len(lines.starts)) - lines.first[lines.row])[long]
-        first = (np.cumsum(n) - n)[long]
-        up, down = _power_tables(len(hashes) + 1)
-        self.content = []
+        self.first = first = (np.cumsum(n) - n)[long]
+        up, self._down = _power_tables(len(hashes) + 1)
+        self.content, self._sums = [], []
         for seed in (0, 0x5851F42D4C957F2D):
             sums = np.zeros(len(hashes) + 1, np.uint64)
             np.cumsum(mix(hashes ^ np.uint64(seed)) * up[: len(hashes)], out=sums[1:])
-            self.content.append(mix((sums[first + self.words] - sums[first]) * down[first]).view(np.int64))
+            self._sums.append(sums)
+            self.content.append(self.runs(first, self.words, -1))
         m = max(len(hashes) - shingle + 1, 0)
         total = np.zeros(m, np.uint64)
         for j in range(shingle):
@@ -79,6 +90,26 @@ class Lines:
         self.shingles[~short] = mix(total[inside])
         self.shingles[short] = self.content[0][self.words < shingle].view(np.uint64)
 
+    def runs(self, first: np.ndarray, words, which: int = 0) -> np.ndarray:
+        """A hash of each run of words of the chunk; which: one of the two."""
+        sums = self._sums[which]
+        return mix((sums[first + words] - sums[first]) * self._down[first]).view(np.int64)
+
+    def anchors(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Line, first word in the line and hash of the runs of half the size that are least in a run of ``size`` words."""
+        part = anchor_words(size)
+        long = np.flatnonzero(self.words >= size)
+        count = self.words[long] - size + 1
+        line, first = np.repeat(long, count), slices(self.first[long], count)
+        place, least = first, self.runs(first, part)
+        for j in range(1, size - part + 1):
+            other = self.runs(first + j, part)
+            less = other < least
+            place, least = np.where(less, first + j, place), np.where(less, other, least)
+        new = np.ones(len(line), bool)
+        new[1:] = (place[1:] != place[:-1]) | (line[1:] != line[:-1])
+        return line[new], (place - self.first[line])[new], least[new]
+
     def keys(self, bands: int, rows: int) -> np.ndarray:
         """One key for each line and band."""
         out = np.empty((len(self.row), bands), np.int64)
@@ -190,9 +221,64 @@ def _verify(batches, threshold: float, whole: bool = False):
     yield from out(len(group))
 
 
+def _texts(table: DataFrame, key: str, kind: str, size: int) -> DataFrame:
+    """One row a text of ``size`` words or more, with the places and hashes of its anchors."""
+
+    def scan(batches):
+        for batch in batches:
+            for payload in batch.column(0):
+                docs = read_chunk(payload.as_buffer())
+                texts = Lines(*text_column(docs), size, True)
+                text, at, anchor = texts.anchors(size)
+                long = np.flatnonzero(texts.words >= size)
+                ends = pa.array(np.searchsorted(text, np.append(long, len(texts.row))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    docs.column(docs.schema.get_field_index(key)).take(pa.array(texts.row[long])),
+                    pa.array(texts.content[0][long]), pa.array(texts.content[1][long]),
+                    pa.ListArray.from_arrays(ends, pa.array(anchor)), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))),
+                ], names=["doc", "c1", "c2", "anchor", "at"])
+
+    schema = f"doc {kind}, c1 bigint, c2 bigint, anchor array<bigint>, at array<int>"
+    return arrow_map(table.select("payload"), scan, schema, rows=8)
+
+
+def _passages(table: DataFrame, scratch: Scratch, key: str, kind: str, size: int) -> DataFrame:
+    """(key, first_word, n_words, class_doc, copies, removed): the passages that another row's text holds too.
+
+    ``table`` has the texts in chunks. Texts of the same words are one text before anchors are compared. Anchors that two rows
+    hold and that touch make one passage; its class is named by the first row that holds any of them.
+    """
+    part = anchor_words(size)
+    texts = scratch.keep(with_row(_texts(table, key, kind, size), "text"), "texts")
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "text")
+    contents = texts.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.count(F.lit(1)).cast("int").alias("copies"))
+    contents = scratch.keep(with_row(contents.orderBy("first"), "rank"), "contents")  # ranks follow the first rows' order
+    of = contents.select(F.col("first.text").alias("text"), "rank", "copies")
+    anchors = texts.select("text", "anchor", "at").join(of, "text").select("rank", "copies", F.explode(F.arrays_zip("anchor", "at")).alias("one"))
+    anchors = anchors.select("rank", "copies", "one.anchor", "one.at")
+    by = Window.partitionBy("anchor")
+    again = F.lag("rank").over(by.orderBy("rank", "at")).eqNullSafe(F.col("rank"))  # an anchor counts once a text
+    held = anchors.withColumn("copies", F.when(again, 0).otherwise(F.col("copies")))
+    held = held.select("rank", "at", F.min("rank").over(by).alias("class"), F.sum("copies").over(by).alias("copies")).where("copies > 1")
+    along = Window.partitionBy("rank").orderBy("at")
+    held = held.withColumn("new", (F.col("at") > F.lag("at").over(along) + part).cast("int"))
+    held = held.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(along))
+    found = held.groupBy("rank", "run").agg(
+        F.min("at").cast("bigint").alias("first_word"), (F.max("at") - F.min("at") + part).cast("bigint").alias("n_words"),
+        F.min("class").alias("class"), F.max("copies").alias("copies"),
+    )
+    classes = contents.select(F.col("rank").alias("class"), F.col("first").alias("class_first"))
+    found = found.join(classes, "class").join(contents.select("rank", "c1", "c2"), "rank")
+    found = scratch.keep(found.select("c1", "c2", "first_word", "n_words", "class_first", "copies"), "passages")
+    return texts.select("doc", "c1", "c2", "text").join(found, ["c1", "c2"]).select(
+        F.col("doc").alias(key), "first_word", "n_words", F.col("class_first.doc").alias("class_doc"), "copies",
+        (F.col("text") != F.col("class_first.text")).alias("removed"),
+    )
+
+
 def near_paragraphs(
     docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, key: str = "doc_id",
-    whole: bool = False,
+    whole: bool = False, passage: int | None = None,
 ) -> DataFrame:
     """(key, paragraph, n_words, class_doc, class_paragraph, copies, removed) for paragraphs that have a near-duplicate.
 
@@ -201,6 +287,9 @@ def near_paragraphs(
     that is not removed. Null and empty texts have no paragraphs; repeated rows have repeated paragraphs; an empty table gives no
     rows. A very long text is read in one task. Other columns are not read, whatever their names.
     ``whole``: every text is one paragraph, however short.
+    ``passage``: rows follow for passages that texts of two rows share, in whatever lines. Every run of that many words or more is found,
+    and of shorter ones those of half as many that an anchor marks. first_word counts the text's words from 0 (null for paragraphs),
+    n_words those that anchors cover, paragraph and class_paragraph are null, and copies are the most rows that share an anchor.
     """
     kind = docs.schema[key].dataType.simpleString()
     bands, rows = tune(threshold, recall)
@@ -237,6 +326,7 @@ def near_paragraphs(
     runs = dealt.join(sets, "line").select("group", "line", "shingles").repartition("group").sortWithinPartitions("group")
     links = arrow_map(runs, lambda it: _verify(it, threshold, whole), "a bigint, b bigint", rows=WHOLE_ROWS if whole else 2000)
     roots = components(scratch.keep(links, "links"), scratch)
+    scratch.drop("members", "shingles", "hot_keys", "links")
 
     same = lines.groupBy("c1", "c2").agg(F.min("line").alias("one"), F.count(F.lit(1)).alias("copies"))
     root = F.coalesce("root", "one")
@@ -246,10 +336,14 @@ def near_paragraphs(
     slim = lines.select("doc", "paragraph", "n_words", "c1", "c2", "line").join(rooted, ["c1", "c2"])
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "paragraph", "line")
     first = scratch.keep(slim.groupBy("root").agg(F.min(order).alias("first")), "first")
-    return slim.join(first, "root").select(
+    found = slim.join(first, "root").select(
         F.col("doc").alias(key), "paragraph", "n_words", F.col("first.doc").alias("class_doc"),
         F.col("first.paragraph").alias("class_paragraph"), "copies", (F.col("line") != F.col("first.line")).alias("removed"),
     )
+    if passage:
+        found = found.withColumn("first_word", F.lit(None).cast("bigint"))
+        found = found.unionByName(_passages(table, scratch, key, kind, passage), allowMissingColumns=True)
+    return found
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:

@@ -137,7 +137,7 @@ def op1(spark, sf_dir):
 
 @register("op7_near_paragraphs")
 def op7(spark, sf_dir):
-    return paragraphs.near_paragraphs(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
+    return paragraphs.near_paragraphs(table(spark, sf_dir, "documents"), Scratch(spark, "op7"), passage=paragraphs.PASSAGE)
 
 
 def _crc32_sql(text: str) -> str:
